@@ -16,6 +16,15 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def once(**values: Column) -> Column:
+    """Columns that are computed once per row, even when a later filter uses them.
+
+    A filter on a plain projection is evaluated below it and computes the value again;
+    one on a generator's output is not.
+    """
+    return F.inline(F.array(F.struct(*[v.alias(k) for k, v in values.items()])))
+
+
 def lines_of(content: Column) -> Column:
     """Lines split on LF only: a trailing LF gives a last empty line, CR is kept."""
     return F.split(content, "\n", -1)

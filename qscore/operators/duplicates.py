@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from qscore import constants as K
 from qscore.functions import code
-from qscore.functions.text import collapse_space
+from qscore.functions.text import bind, collapse_space, once
 from qscore.operators.findings import function_segments
 from qscore.operators.skew import join_few
+from qscore.shared import materialize
 
 
 def duplicate_blocks(files: DataFrame, normal=code.normal_body, least_chars: int = 1) -> DataFrame:
@@ -22,14 +23,13 @@ def duplicate_blocks(files: DataFrame, normal=code.normal_body, least_chars: int
     :func:`qscore.functions.code.structure` for the same code under other names. Bodies
     shorter than ``least_chars`` are boilerplate. "Earlier" is by (repo, path, line).
     """
-    body = normal(F.col("body"))
-    blocks = function_segments(files).select(
-        "repo",
-        "path",
-        "line_start",
-        "line_end",
-        F.when(F.length(body) >= least_chars, F.sha2(body.cast("binary"), 256)).alias("block"),
-    ).where("block is not null")
+    blocks = (
+        function_segments(files)
+        .select("repo", "path", "line_start", "line_end", once(body=normal(F.col("body"))))
+        .where(F.length("body") >= least_chars)
+        .withColumn("block", F.sha2(F.col("body").cast("binary"), 256))
+        .drop("body")
+    )
     groups = (
         blocks.groupBy("block")
         .agg(
@@ -82,13 +82,14 @@ _SLICE = 8  # hex digits of one min-hash; an md5 gives four
 
 def shingles(text: Column, words: int = WORDS) -> Column:
     """Distinct runs of ``words`` lower-case words; a shorter text is one run."""
-    tokens = F.split(collapse_space(F.lower(text)), " ")
-    last = F.greatest(F.size(tokens) - words, F.lit(0))
-    return F.array_distinct(
-        F.transform(
-            F.sequence(F.lit(0), last),
-            lambda i: F.array_join(F.slice(tokens, i + 1, words), " "),
-        )
+    return bind(
+        F.split(collapse_space(F.lower(text)), " "),
+        lambda tokens: F.array_distinct(
+            F.transform(
+                F.sequence(F.lit(0), F.greatest(F.size(tokens) - words, F.lit(0))),
+                lambda i: F.array_join(F.slice(tokens, i + 1, words), " "),
+            )
+        ),
     )
 
 
@@ -98,16 +99,34 @@ def bands(grams: Column) -> Column:
     Texts with Jaccard similarity s share a band with probability 1 - (1 - s^2)^8: 99.97 %
     at 0.8. Hashes are slices of md5, so that any engine can recompute them.
     """
-    keys = []
-    for salt in _SALTS:
+    def of_salt(grams: Column, salt: str) -> Column:
         hashes = F.transform(grams, lambda g: F.md5(F.concat(F.lit(salt), g).cast("binary")))
+        return bind(
+            hashes,
+            lambda h: F.array(
+                *[
+                    F.concat(F.lit(f"{salt}{n}"), _least(h, n), _least(h, n + 1))
+                    for n in (0, 2)
+                ]
+            ),
+        )
 
-        def least(n: int, hashes: Column = hashes) -> Column:
-            return F.array_min(F.transform(hashes, lambda h: F.substr(h, F.lit(1 + n * _SLICE), F.lit(_SLICE))))
+    return bind(grams, lambda g: F.concat(*[of_salt(g, salt) for salt in _SALTS]))
 
-        for n in (0, 2):
-            keys.append(F.concat(F.lit(salt), F.lit(str(n)), least(n), least(n + 1)))
-    return F.array(*keys)
+
+def _least(hashes: Column, n: int) -> Column:
+    """Smallest ``n``-th slice of the hashes."""
+    return F.array_min(F.transform(hashes, lambda h: F.substring(h, 1 + n * _SLICE, _SLICE)))
+
+
+def jaccard(one: Column, other: Column) -> Column:
+    """Exact similarity of the shingle sets of two texts."""
+
+    def of(a: Column, b: Column) -> Column:
+        both = F.size(F.array_intersect(a, b))
+        return F.round(both / (F.size(a) + F.size(b) - both), 6)
+
+    return bind(shingles(one), lambda a: bind(shingles(other), lambda b: of(a, b)))
 
 
 def near_duplicates(
@@ -138,7 +157,10 @@ def near_duplicates(
         .select(key, F.col("_first").alias(f"first_{key}"), F.lit(1.0).alias("jaccard"))
     )
     distinct = groups.select(F.col("_first").alias(key), "_text")
-    banded = distinct.select(key, F.explode(bands(shingles(F.col("_text")))).alias("_band"))
+    # Read twice below and dear to compute: written once.
+    banded = materialize(
+        distinct.select(key, F.explode(bands(shingles(F.col("_text")))).alias("_band")), "bands"
+    )
     firsts = banded.groupBy("_band").agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_first"))
     candidates = (
         join_few(
@@ -152,16 +174,12 @@ def near_duplicates(
     left = candidates.join(distinct, key)
     right = distinct.select(F.col(key).alias("_first"), F.col("_text").alias("_other"))
     pairs = join_few(left, right, "_first", spread=(key,))
-    mine, theirs = shingles(F.col("_text")), shingles(F.col("_other"))
-    compared = pairs.select(key, "_first", mine.alias("_a"), theirs.alias("_b")).select(
-        key,
-        F.col("_first").alias(f"first_{key}"),
-        F.size("_a").alias("_na"),
-        F.size("_b").alias("_nb"),
-        F.size(F.array_intersect("_a", "_b")).alias("_both"),
-    )
-    jaccard = F.col("_both") / (F.col("_na") + F.col("_nb") - F.col("_both"))
-    near = compared.select(key, f"first_{key}", F.round(jaccard, 6).alias("jaccard")).where(
-        F.col("jaccard") >= similar
+    near = (
+        pairs.select(
+            key,
+            F.col("_first").alias(f"first_{key}"),
+            once(jaccard=jaccard(F.col("_text"), F.col("_other"))),
+        )
+        .where(F.col("jaccard") >= similar)
     )
     return near.unionByName(copies)

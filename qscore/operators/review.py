@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from qscore import constants as K, schemas
 from qscore.functions import paths
 from qscore.functions.strict_json import strict
-from qscore.functions.text import scrub, trim_space
+from qscore.functions.text import once, scrub, trim_space
 from qscore.operators.scoring import total
 from qscore.operators.skew import first_rows
 
@@ -75,7 +75,7 @@ def pack_payload(
         F.when(F.col("is_truncated"), K.PAYLOAD_MARKER).otherwise(""),
     )
     return states.join(parts, key, "left").select(
-        key, trim_space(packed).alias("payload"), "n_files", "is_truncated"
+        key, once(payload=trim_space(packed)), "n_files", "is_truncated"
     )
 
 
@@ -183,7 +183,7 @@ _TEXTS = {".remediations": ("priority", "pillar", "location", "finding", "action
 
 def parse_reviews(answers: DataFrame) -> DataFrame:
     """Adds ``ok``, the two deductions (absent: 0) and ``remediations`` (absent: empty) to ``raw``."""
-    parsed = answers.withColumn("_e", strict(F.col("raw"), schemas.EVALUATION, _TEXTS))
+    parsed = answers.select("*", once(_e=strict(F.col("raw"), schemas.EVALUATION, _TEXTS)))
     adjust = "_e.pillar_adjustments."
     empty = F.array().cast(
         "array<struct<priority:string,pillar:string,location:string,finding:string,actionable_fix:string>>"
