@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -29,14 +29,24 @@ def walk_order(path: Column) -> Column:
     return F.split(path, "/")
 
 
+def _has_extension(path: Column, extensions: Sequence[str]) -> Column:
+    """Test of the lower-cased extension, without a regular expression.
+
+    What follows the last dot of the whole path is compared: it holds a slash, and so
+    matches nothing, where the last segment has no dot.
+    """
+    last = F.lower(F.substring_index(path, ".", -1))
+    return path.contains(".") & last.isin(*[e.lstrip(".") for e in extensions])
+
+
 def is_source(path: Column) -> Column:
-    return F.lower(extension(path)).isin(*K.SOURCE_EXTENSIONS)
+    return _has_extension(path, K.SOURCE_EXTENSIONS)
 
 
 def is_non_code(path: Column) -> Column:
     """Known names (case-sensitive) or extensions. Not the complement of is_source."""
-    return base_name(path).isin(*K.NON_CODE_NAMES) | F.lower(extension(path)).isin(
-        *K.NON_CODE_EXTENSIONS
+    return base_name(path).isin(*K.NON_CODE_NAMES) | _has_extension(
+        path, K.NON_CODE_EXTENSIONS
     )
 
 
@@ -61,7 +71,10 @@ def glob_regex(pattern: str) -> str | None:
     ``a/**`` also matches ``a``. ``*`` and ``?`` stay within a segment. ``[..]`` and
     ``{a,b}`` are supported. The result is valid both in Java and in RE2.
     """
-    out, pos, braces = [], 0, 0
+    out, pos, braces = ["^"], 0, 0
+    if pattern.startswith("**/"):
+        # Any directory, so the rest may start anywhere a segment does.
+        out, pos = ["(?:^|/)"], 3
     while pos < len(pattern):
         m = _TOKEN.match(pattern, pos)
         if m is None:
@@ -69,9 +82,9 @@ def glob_regex(pattern: str) -> str | None:
         kind, text = m.lastgroup, m.group()
         pos = m.end()
         if kind == "tail":
-            out.append("(?:/.*)?")
+            return None if braces else "".join(out) + r"(?:/|\z)"
         elif kind == "deep":
-            out.append("(?:.*/)?" if text.endswith("/") else ".*")
+            out.append("(?:(?s:.)*/)?" if text.endswith("/") else "(?s:.)*")
         elif kind == "star":
             out.append("[^/]*")
         elif kind == "one":
@@ -85,7 +98,7 @@ def glob_regex(pattern: str) -> str | None:
             out.append({"{": "(?:", "}": ")", ",": "|"}[text])
         else:
             out.append(re.escape(m.group("esc") or text))
-    return None if braces else "^(?s:" + "".join(out) + r")\z"
+    return None if braces else "".join(out) + r"\z"
 
 
 def matches_any(path: Column, patterns: Iterable[str]) -> Column:

@@ -76,47 +76,52 @@ def as_findings(duplicates: DataFrame) -> DataFrame:
 # ----------------------------------------------------------------------- near copies
 WORDS = 5
 SIMILAR = 0.8
-_SALTS = ("a", "b", "c", "d")
-_SLICE = 8  # hex digits of one min-hash; an md5 gives four
+BANDS, ROWS = 8, 2
+_PRIME = 2**31 - 1
+# (a, b) of the hash h -> (a h + b) mod _PRIME, one per band and row: powers of two
+# primitive roots of the prime.
+_HASHES = [(pow(48271, k, _PRIME), pow(16807, k, _PRIME)) for k in range(1, BANDS * ROWS + 1)]
 
 
-def shingles(text: Column, words: int = WORDS) -> Column:
-    """Distinct runs of ``words`` lower-case words; a shorter text is one run."""
+def word_runs(text: Column, words: int = WORDS) -> Column:
+    """Runs of ``words`` lower-case words, repeats included; a shorter text is one run."""
     return bind(
         F.split(collapse_space(F.lower(text)), " "),
-        lambda tokens: F.array_distinct(
-            F.transform(
-                F.sequence(F.lit(0), F.greatest(F.size(tokens) - words, F.lit(0))),
-                lambda i: F.array_join(F.slice(tokens, i + 1, words), " "),
-            )
+        lambda tokens: F.transform(
+            F.sequence(F.lit(0), F.greatest(F.size(tokens) - words, F.lit(0))),
+            lambda i: F.array_join(F.slice(tokens, i + 1, words), " "),
         ),
     )
 
 
-def bands(grams: Column) -> Column:
+def shingles(text: Column, words: int = WORDS) -> Column:
+    return F.array_distinct(word_runs(text, words))
+
+
+def bands(runs: Column) -> Column:
     """Eight band keys of two min-hashes each.
 
     Texts with Jaccard similarity s share a band with probability 1 - (1 - s^2)^8: 99.97 %
-    at 0.8. Hashes are slices of md5, so that any engine can recompute them.
+    at 0.8. One md5 per run gives 28 bits, from which every min-hash is computed, so that
+    any engine can do the same.
     """
-    def of_salt(grams: Column, salt: str) -> Column:
-        hashes = F.transform(grams, lambda g: F.md5(F.concat(F.lit(salt), g).cast("binary")))
-        return bind(
-            hashes,
-            lambda h: F.array(
-                *[
-                    F.concat(F.lit(f"{salt}{n}"), _least(h, n), _least(h, n + 1))
-                    for n in (0, 2)
-                ]
-            ),
-        )
+    numbers = F.transform(
+        runs, lambda r: F.conv(F.substring(F.md5(r.cast("binary")), 1, 7), 16, 10).cast("bigint")
+    )
 
-    return bind(grams, lambda g: F.concat(*[of_salt(g, salt) for salt in _SALTS]))
+    def least(hashes: Column, k: int) -> Column:
+        a, b = (F.lit(n).cast("bigint") for n in _HASHES[k])
+        return F.array_min(F.transform(hashes, lambda h: (h * a + b) % _PRIME)).cast("string")
 
+    def keys(hashes: Column) -> Column:
+        return F.array(
+            *[
+                F.concat_ws(":", F.lit(str(n)), *[least(hashes, n * ROWS + r) for r in range(ROWS)])
+                for n in range(BANDS)
+            ]
+        )
 
-def _least(hashes: Column, n: int) -> Column:
-    """Smallest ``n``-th slice of the hashes."""
-    return F.array_min(F.transform(hashes, lambda h: F.substring(h, 1 + n * _SLICE, _SLICE)))
+    return bind(numbers, keys)
 
 
 def jaccard(one: Column, other: Column) -> Column:
@@ -159,7 +164,7 @@ def near_duplicates(
     distinct = groups.select(F.col("_first").alias(key), "_text")
     # Read twice below and dear to compute: written once.
     banded = materialize(
-        distinct.select(key, F.explode(bands(shingles(F.col("_text")))).alias("_band")), "bands"
+        distinct.select(key, F.explode(bands(word_runs(F.col("_text")))).alias("_band")), "bands"
     )
     firsts = banded.groupBy("_band").agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_first"))
     candidates = (

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, functions as F
 
 from qscore import constants as K
@@ -48,13 +46,13 @@ def gate(
     policies: DataFrame,
     on: str = "repo",
     validate: bool = True,
-    blocking: DataFrame | None = None,
+    hard_fail: bool = False,
 ) -> DataFrame:
     """Exit code per score: 1 without a (valid) policy, 2 below its threshold, else 0.
 
-    ``blocking`` (repo, blocking_findings), from :func:`blocking_counts`, switches on the
-    hard-fail rule: where the policy asks for it, any CRITICAL or HIGH finding of any
-    pillar gives 2. The threshold is compared first; a total equal to it passes.
+    ``hard_fail`` needs ``blocking_findings`` in ``scores``: where the policy asks for it,
+    any CRITICAL or HIGH finding of any pillar gives 2. The threshold is compared first; a
+    total equal to it passes.
     """
     judged = violation(policies) if validate else policies.withColumn(
         "violation", F.lit(None).cast("string")
@@ -67,30 +65,18 @@ def gate(
         on,
         "left",
     )
-    hard = F.lit(False)
-    extra: Sequence[str] = ()
-    if blocking is not None:
-        rows = rows.join(blocking, "repo", "left").withColumn(
-            "blocking_findings", F.coalesce("blocking_findings", F.lit(0))
-        )
-        hard = F.coalesce("fail_on_critical_security", F.lit(False)) & (
-            F.col("blocking_findings") > 0
-        )
-        extra = ("blocking_findings",)
+    hard = (
+        F.coalesce("fail_on_critical_security", F.lit(False)) & (F.col("blocking_findings") > 0)
+        if hard_fail
+        else F.lit(False)
+    )
     exit_code = (
         F.when(F.col("_known").isNull() | F.col("violation").isNotNull(), K.EXIT_ERROR)
         .when(F.col("total") < F.col("target_threshold"), K.EXIT_FAIL)
         .when(hard, K.EXIT_FAIL)
         .otherwise(K.EXIT_PASS)
     )
-    return rows.select(*scores.columns, *extra, exit_code.alias("exit_code"))
-
-
-def blocking_counts(findings: DataFrame) -> DataFrame:
-    """CRITICAL and HIGH findings per repo."""
-    return findings.groupBy("repo").agg(
-        F.count_if(F.col("severity").isin(*K.BLOCKING_SEVERITIES)).alias("blocking_findings")
-    )
+    return rows.select(*scores.columns, exit_code.alias("exit_code"))
 
 
 def regression(base: DataFrame, target: DataFrame, key: str = "repo") -> DataFrame:

@@ -21,7 +21,7 @@ def total() -> Column:
 
 
 def finding_counts(findings: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """What the pillars need of a key's findings: two counts and a flag.
+    """What pillars and gate need of a key's findings: three counts and a flag.
 
     Combined before the shuffle: at most one row per key and task moves.
     """
@@ -33,13 +33,18 @@ def finding_counts(findings: DataFrame, keys: Sequence[str]) -> DataFrame:
             (pillar == K.SECURITY)
             & F.coalesce(severity.isin(*K.BLOCKING_SEVERITIES), F.lit(False))
         ).alias("has_breach"),
+        F.count_if(severity.isin(*K.BLOCKING_SEVERITIES)).alias("blocking_findings"),
     )
 
 
 def pillar_scores(
-    dimension: DataFrame, counts: DataFrame, keys: Sequence[str]
+    dimension: DataFrame, counts: DataFrame, keys: Sequence[str], blocking: bool = False
 ) -> DataFrame:
-    """Pillars and total of every key of ``dimension``; a key without findings scores 100."""
+    """Pillars and total of every key of ``dimension``; a key without findings scores 100.
+
+    Other columns of ``dimension``, such as the owner of a repo, are kept.
+    ``blocking`` adds ``blocking_findings``, the CRITICAL and HIGH findings of any pillar.
+    """
 
     def floor(points: float, count: str, each: float) -> Column:
         return F.greatest(
@@ -50,20 +55,30 @@ def pillar_scores(
     return (
         dimension.join(counts, list(keys), "left")
         .select(
-            *keys,
+            *dimension.columns,
             floor(top[K.STATIC], "n_static", K.STATIC_DEDUCTION).alias(K.STATIC),
             floor(top[K.ARCHITECTURE], "n_architecture", K.ARCHITECTURE_DEDUCTION).alias(
                 K.ARCHITECTURE
             ),
             F.lit(top[K.VERIFICATION]).alias(K.VERIFICATION),
             F.when(F.col("has_breach"), 0.0).otherwise(top[K.SECURITY]).alias(K.SECURITY),
+            *(
+                [F.coalesce("blocking_findings", F.lit(0)).alias("blocking_findings")]
+                if blocking
+                else []
+            ),
         )
         .withColumn("total", total())
     )
 
 
-def score(findings: DataFrame, dimension: DataFrame, keys: Sequence[str] = ("repo",)) -> DataFrame:
-    return pillar_scores(dimension, finding_counts(findings, keys), keys)
+def score(
+    findings: DataFrame,
+    dimension: DataFrame,
+    keys: Sequence[str] = ("repo",),
+    blocking: bool = False,
+) -> DataFrame:
+    return pillar_scores(dimension, finding_counts(findings, keys), keys, blocking)
 
 
 def apply_mutation_penalty(scores: DataFrame, coverage: DataFrame, key: str = "repo") -> DataFrame:

@@ -187,9 +187,13 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def as_files(lines: DataFrame) -> DataFrame:
-    """Lines to files. A file is one cell by the data model, so its lines fit one row."""
+    """Lines to files. A file is one cell by the data model, so its lines fit one row.
+
+    Grouping saves nothing before the shuffle here (a file's lines lie together anyway),
+    so lines are shuffled as they are and grouped once afterwards.
+    """
     ordered = F.sort_array(F.collect_list(F.struct("ln", "line")))
-    return lines.groupBy("repo", "path").agg(
+    return lines.repartition("repo", "path").groupBy("repo", "path").agg(
         F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("content")
     )
 

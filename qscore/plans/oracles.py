@@ -252,13 +252,19 @@ _CTES |= {
     "grams": """SELECT doc_id, text, list_distinct(list_transform(
         range(0, greatest(len(w) - 5, 0) + 1), lambda i: array_to_string(w[i + 1:i + 5], ' '))) AS g FROM tokens""",
     "uniques": "SELECT min(doc_id) AS doc_id, text FROM documents WHERE text IS NOT NULL GROUP BY text",
-    "hashes": """SELECT doc_id, salt, list_transform(g, lambda x: md5(salt || x)) AS h
-        FROM (SELECT doc_id, g, unnest(['a', 'b', 'c', 'd']) AS salt FROM grams
-        WHERE doc_id IN (SELECT doc_id FROM uniques))""",
-    "banded": """SELECT doc_id, salt || CAST(n AS VARCHAR)
-        || list_min(list_transform(h, lambda x: substr(x, 1 + n * 8, 8)))
-        || list_min(list_transform(h, lambda x: substr(x, 9 + n * 8, 8))) AS band
-        FROM (SELECT doc_id, salt, h, unnest([0, 2]) AS n FROM hashes)""",
+    "hashes": """SELECT doc_id, list_transform(g,
+        lambda x: CAST('0x' || substr(md5(x), 1, 7) AS BIGINT)) AS h
+        FROM grams WHERE doc_id IN (SELECT doc_id FROM uniques)""",
+    "mins": """SELECT doc_id, n, list_min(list_transform(h, lambda x: (x * a + b) % 2147483647)) AS m
+        FROM hashes, factors""",
+    "factors": "SELECT * FROM (VALUES "
+    + ", ".join(
+        f"({k - 1}, CAST({pow(48271, k, 2**31 - 1)} AS BIGINT), CAST({pow(16807, k, 2**31 - 1)} AS BIGINT))"
+        for k in range(1, 17)
+    )
+    + ") AS t(n, a, b)",
+    "banded": """SELECT doc_id, n // 2 || ':' || string_agg(m, ':' ORDER BY n) AS band
+        FROM mins GROUP BY doc_id, n // 2""",
     "linked": """SELECT DISTINCT b.doc_id, f.first_doc_id FROM banded b JOIN
         (SELECT band, min(doc_id) AS first_doc_id FROM banded GROUP BY band) f ON b.band = f.band
         WHERE b.doc_id <> f.first_doc_id""",
@@ -529,13 +535,13 @@ def _with_ctes(select: str) -> str:
     needed: list[str] = []
 
     def visit(sql: str, seen: tuple[str, ...] = ()) -> None:
-        for name in sorted(set(re.findall(r"(?:FROM|JOIN)\s+([a-z_]+)", sql))):
+        for name in sorted(set(re.findall(r"(?:FROM|JOIN|hashes,)\s+([a-z_]+)", sql))):
             if name in _CTES and name not in needed and name not in seen:
                 visit(_CTES[name], (*seen, name))
                 needed.append(name)
 
     visit(select)
-    body = ",\n".join(f"{n} AS ({_CTES[n]})" for n in needed)
+    body = ",\n".join(f"{n} AS MATERIALIZED ({_CTES[n]})" for n in needed)
     return f"WITH {body}\n{select}" if needed else select
 
 

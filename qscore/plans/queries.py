@@ -58,7 +58,7 @@ def _policies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _org_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(spark, sf_dir).join(corpus.repos(spark, sf_dir), "repo")
+    return scr.score(_findings(spark, sf_dir), corpus.repos(spark, sf_dir), blocking=True)
 
 
 def _range(df: DataFrame) -> DataFrame:
@@ -324,9 +324,8 @@ def gate(spark, sf_dir):
 
 @query
 def gate_with_findings(spark, sf_dir):
-    blocking = gt.blocking_counts(_findings(spark, sf_dir))
     return gt.gate(
-        _org_scores(spark, sf_dir), _policies(spark, sf_dir), on="org", blocking=blocking
+        _org_scores(spark, sf_dir), _policies(spark, sf_dir), on="org", hard_fail=True
     ).select("repo", "total", "blocking_findings", "exit_code")
 
 
