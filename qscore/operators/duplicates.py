@@ -144,15 +144,19 @@ def near_duplicates(
     their word shingles. At most eight comparisons per text, whatever the group sizes; a
     text is reported once for each first text it is close to.
     """
-    hashed = texts.where(F.col(column).isNotNull()).select(
-        key, F.col(column).alias("_text"), F.sha2(F.col(column).cast("binary"), 256).alias("_hash")
-    )
-    groups = hashed.groupBy("_hash").agg(
-        F.count(F.lit(1)).alias("_n"), F.min(key).alias("_first"), F.first("_text").alias("_text")
+    # One narrow pass over the texts; its small result is read several times below.
+    sketches = materialize(
+        texts.where(F.col(column).isNotNull()).select(
+            key,
+            F.sha2(F.col(column).cast("binary"), 256).alias("_hash"),
+            bands(word_runs(F.col(column))).alias("_bands"),
+        ),
+        "sketches",
     )
+    groups = sketches.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_first"))
     copies = (
         join_few(
-            hashed.select(key, "_hash"),
+            sketches.select(key, "_hash"),
             groups.where("_n > 1").select("_hash", "_first"),
             "_hash",
             spread=(key,),
@@ -161,24 +165,27 @@ def near_duplicates(
         .where(F.col(key) != F.col("_first"))
         .select(key, F.col("_first").alias(f"first_{key}"), F.lit(1.0).alias("jaccard"))
     )
-    distinct = groups.select(F.col("_first").alias(key), "_text")
-    # Read twice below and dear to compute: written once.
-    banded = materialize(
-        distinct.select(key, F.explode(bands(word_runs(F.col("_text")))).alias("_band")), "bands"
+    banded = (
+        sketches.join(groups.select(F.col("_first").alias(key)), key, "left_semi")
+        .select(key, F.explode("_bands").alias("_band"))
     )
     firsts = banded.groupBy("_band").agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_first"))
-    candidates = (
+    candidates = materialize(
         join_few(
             banded, firsts.where("_n > 1").select("_band", "_first"), "_band",
             spread=(key,), sizes=firsts.select("_band", "_n"),
         )
         .where(F.col(key) != F.col("_first"))
         .select(key, "_first")
-        .distinct()
+        .distinct(),
+        "candidates",
+    )
+    words = texts.select(key, F.col(column).alias("_text"))
+    others = texts.select(F.col(key).alias("_first"), F.col(column).alias("_other"))
+    sizes = candidates.groupBy("_first").agg(F.count(F.lit(1)).alias("_n"))
+    pairs = join_few(
+        candidates.join(words, key), others, "_first", spread=(key,), sizes=sizes
     )
-    left = candidates.join(distinct, key)
-    right = distinct.select(F.col(key).alias("_first"), F.col("_text").alias("_other"))
-    pairs = join_few(left, right, "_first", spread=(key,))
     near = (
         pairs.select(
             key,

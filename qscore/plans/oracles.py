@@ -256,7 +256,7 @@ _CTES |= {
         lambda x: CAST('0x' || substr(md5(x), 1, 7) AS BIGINT)) AS h
         FROM grams WHERE doc_id IN (SELECT doc_id FROM uniques)""",
     "mins": """SELECT doc_id, n, list_min(list_transform(h, lambda x: (x * a + b) % 2147483647)) AS m
-        FROM hashes, factors""",
+        FROM hashes CROSS JOIN factors""",
     "factors": "SELECT * FROM (VALUES "
     + ", ".join(
         f"({k - 1}, CAST({pow(48271, k, 2**31 - 1)} AS BIGINT), CAST({pow(16807, k, 2**31 - 1)} AS BIGINT))"
@@ -535,7 +535,7 @@ def _with_ctes(select: str) -> str:
     needed: list[str] = []
 
     def visit(sql: str, seen: tuple[str, ...] = ()) -> None:
-        for name in sorted(set(re.findall(r"(?:FROM|JOIN|hashes,)\s+([a-z_]+)", sql))):
+        for name in sorted(set(re.findall(r"(?:FROM|JOIN)\s+([a-z_]+)", sql))):
             if name in _CTES and name not in needed and name not in seen:
                 visit(_CTES[name], (*seen, name))
                 needed.append(name)

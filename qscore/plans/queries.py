@@ -16,7 +16,7 @@ from qscore.operators import ranking as rnk
 from qscore.operators import review as rev
 from qscore.operators import scoring as scr
 from qscore.plans import corpus
-from qscore.shared import fresh_path
+from qscore.shared import fresh_path, materialize, use_all_cores
 from qscore.sources import commits as cmt
 from qscore.sources import files as fls
 from qscore.sources import policies as pol
@@ -128,9 +128,15 @@ def commits_in_range(spark, sf_dir):
     return cmt.commits_in_range(log, _range(log))
 
 
+def _changed(base: DataFrame, target: DataFrame) -> DataFrame:
+    """The changed paths as a written table: found once, and of known size for later joins."""
+    return materialize(chg.snapshot_changes(base, target), "changed")
+
+
 @query
 def changed_lines(spark, sf_dir):
-    return chg.changed_lines(corpus.base_files(spark, sf_dir), corpus.target_files(spark, sf_dir))
+    base, target = corpus.base_files(spark, sf_dir), corpus.target_files(spark, sf_dir)
+    return chg.changed_lines(base, target, _changed(base, target))
 
 
 @query
@@ -172,7 +178,7 @@ def changeset_outcome(spark, sf_dir):
 @query
 def changeset_scores(spark, sf_dir):
     target = corpus.target_files(spark, sf_dir)
-    changed = chg.snapshot_changes(corpus.base_files(spark, sf_dir), target)
+    changed = _changed(corpus.base_files(spark, sf_dir), target)
     changed = changed.withColumn("changeset", F.col("repo") % 500)
     sets = _repos(spark, sf_dir).select((F.col("repo") % 500).alias("changeset")).distinct()
     return chg.changeset_scores(sets, changed, target)
@@ -180,9 +186,8 @@ def changeset_scores(spark, sf_dir):
 
 @query
 def changed_functions(spark, sf_dir):
-    return chg.changed_functions(
-        corpus.base_files(spark, sf_dir), corpus.target_files(spark, sf_dir)
-    )
+    base, target = corpus.base_files(spark, sf_dir), corpus.target_files(spark, sf_dir)
+    return chg.changed_functions(base, target, _changed(base, target))
 
 
 @query
@@ -352,7 +357,8 @@ def structural_duplicates(spark, sf_dir):
 
 @query
 def near_duplicates(spark, sf_dir):
-    return dup.near_duplicates(corpus.view(spark, sf_dir, "documents_in"))
+    docs = corpus.view(spark, sf_dir, "documents_in").select("doc_id", "text")
+    return dup.near_duplicates(use_all_cores(docs, "doc_id"))
 
 
 # ---------------------------------------------------------------------------- reviews

@@ -32,3 +32,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def use_all_cores(df: DataFrame, key: str) -> DataFrame:
+    """Deal a small input out when it has fewer splits than there are cores.
+
+    For work that is heavy per row. An input of many splits is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

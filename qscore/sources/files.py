@@ -45,7 +45,7 @@ def read_files(
 ) -> DataFrame:
     """Snapshot of the source files below ``root``: (repo, path, content)."""
     kept = source_files(exclude(scan(spark, root, repo), exclusions))
-    return kept.select("repo", "path", F.decode("raw", F.lit("UTF-8")).alias("content"))
+    return kept.select("repo", "path", F.col("raw").cast("string").alias("content"))
 
 
 def exclude(

@@ -1,0 +1,112 @@
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from qscore import constants as K
+from qscore.functions import paths
+from qscore.sources import files as fls
+
+TREE = [
+    "src/main.go", "src/auth.go", "vendor/lib.go", "node_modules/pkg/index.js",
+    "dist/bundle.js", "internal/generated/code.go", "README.md", "a/b/c/vendor/deep.go",
+]
+
+
+@pytest.mark.parametrize(
+    "glob,path,expected",
+    [
+        ("**/vendor/**", "vendor/lib.go", True),
+        ("**/vendor/**", "a/b/vendor/x/y.go", True),
+        ("**/vendor/**", "vendor", True),
+        ("**/vendor/**", "vendored/x.go", False),
+        ("**/vendor/**", "my-vendor/x.go", False),
+        ("a/**", "a", True),
+        ("a/**/c", "a/c", True),
+        ("a/**/c", "a/b/b/c", True),
+        ("a/**/c", "ab/c", False),
+        ("*.go", "main.go", True),
+        ("*.go", "src/main.go", False),
+        ("src/f?.go", "src/f1.go", True),
+        ("src/f?.go", "src/f/.go", False),
+        ("src/*.{go,py}", "src/x.py", True),
+        ("src/*.{go,py}", "src/x.rs", False),
+        ("[!a]b", "cb", True),
+        ("[!a]b", "ab", False),
+        ("[a-c]x", "bx", True),
+        ("a**b", "axyb", True),
+        ("a**b", "ax/yb", False),
+        ("**", "any/path/at.all", True),
+        ("a.b", "axb", False),
+        (r"a\*b", "a*b", True),
+        (r"a\*b", "axb", False),
+    ],
+)
+def test_glob(glob, path, expected):
+    # The expressions are valid in Python too, where \z is \Z.
+    regex = paths.glob_regex(glob).replace(r"\z", r"\Z")
+    assert bool(re.search(regex, path)) is expected
+
+
+@pytest.mark.parametrize("glob", ["a[", "{a,b", "x/[", "a\\"])
+def test_malformed_glob_matches_nothing(glob):
+    assert paths.glob_regex(glob) is None
+
+
+def test_exclusions(spark):
+    files = spark.createDataFrame([("r", p) for p in TREE], "repo string, path string")
+    kept = {r.path for r in fls.exclude(files).collect()}
+    assert kept == {"src/main.go", "src/auth.go", "internal/generated/code.go", "README.md"}
+    globs = [*K.DEFAULT_EXCLUSIONS, "**/nonexistent/**"]
+    unmatched = fls.unmatched_exclusions(files, globs).collect()
+    assert [r.warning for r in unmatched] == [
+        "exclusion pattern matched no files: **/nonexistent/**"
+    ]
+
+
+def test_exclusions_per_policy(spark):
+    files = spark.createDataFrame(
+        [("o1", p) for p in TREE] + [("o2", p) for p in TREE] + [("o3", p) for p in TREE],
+        "org string, path string",
+    )
+    patterns = spark.createDataFrame(
+        [("o1", "**/vendor/**"), ("o1", "a["), ("o2", "src/*.go"), ("o2", "*.md")],
+        "org string, pattern string",
+    )
+    rules = fls.policy_regexes(patterns, key="org")
+    kept = fls.exclude_by_policy(files, rules, key="org").groupBy("org").count().collect()
+    assert {r["org"]: r["count"] for r in kept} == {"o1": 6, "o2": 5, "o3": 8}
+
+
+def test_extensions(spark):
+    cases = {
+        "main.go": (True, False), "MAIN.GO": (True, False), "docs/guide.md": (False, True),
+        "CHANGELOG.txt": (False, True), "LICENSE": (False, True), ".gitignore": (False, True),
+        "package.json": (False, True), "Makefile": (False, True), "x/makefile": (False, False),
+        "run.sh": (False, False), "q.sql": (False, False), "go": (False, False),
+        "a.go/file": (False, False), "d.md/x.py": (True, False), "noext": (False, False),
+        "x.woff2": (False, True), "docker-compose.yaml": (False, True),
+    }
+    rows = spark.createDataFrame([(p,) for p in cases], "path string")
+    got = rows.select("path", paths.is_source(F.col("path")), paths.is_non_code(F.col("path")))
+    assert {r[0]: (r[1], r[2]) for r in got.collect()} == cases
+
+
+def test_walk_order(spark):
+    rows = spark.createDataFrame([("a.go",), ("a/b.go",), ("a-b/c.go",), ("a/a.go",)], "path string")
+    got = [r.path for r in fls.in_walk_order(rows).collect()]
+    assert got == ["a/a.go", "a/b.go", "a-b/c.go", "a.go"]
+
+
+def test_scan(spark, tmp_path):
+    for p in ("src/main.go", "vendor/lib.go", "README.md", "src/deep/x.py"):
+        target = tmp_path / p
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_text("content of " + p)
+    rows = fls.scan(spark, str(tmp_path)).select("path", "size").collect()
+    assert {r.path for r in rows} == {"src/main.go", "vendor/lib.go", "README.md", "src/deep/x.py"}
+    read = fls.read_files(spark, str(tmp_path), repo="r").collect()
+    assert {(r.repo, r.path, r.content) for r in read} == {
+        ("r", "src/main.go", "content of src/main.go"),
+        ("r", "src/deep/x.py", "content of src/deep/x.py"),
+    }
