@@ -205,6 +205,44 @@ _CTES |= {
     "bodies": f"""SELECT repo, path, line_start, line_end, {_collapse('body')} AS b FROM k_functions""",
 }
 
+_CTES |= {
+    "owned": f"""SELECT f.* FROM files f JOIN policy p ON p.org = 'org' || CAST(f.repo % 25 AS VARCHAR)
+        WHERE {_IS_SOURCE} AND NOT coalesce(CASE p.exclusion_paths
+          WHEN '**/vendor/**' THEN path LIKE 'vendor/%' OR path LIKE '%/vendor/%'
+          WHEN '' THEN FALSE WHEN 'src/*.rs,{{a,b}}/**' THEN
+            (path LIKE 'src/%.rs' AND path NOT LIKE 'src/%/%') OR path LIKE 'a/%' OR path LIKE 'b/%'
+          END, FALSE)""",
+    **_line_ctes("o_", "owned"),
+    "o_enhanced": """SELECT *, static + architecture + 35 + security AS total FROM (
+        SELECT s.repo, greatest(CAST(0 AS DOUBLE), s.static - greatest(CAST(0 AS DOUBLE),
+          coalesce(static_deduction, 0))) AS static,
+        greatest(CAST(0 AS DOUBLE), s.architecture - greatest(CAST(0 AS DOUBLE),
+          coalesce(architecture_deduction, 0))) AS architecture,
+        security, f.review_id IS NOT NULL AS llm_enhanced
+        FROM o_scores s LEFT JOIN firsts f ON f.review_id = s.repo)""",
+    "sets": "SELECT DISTINCT repo % 500 AS changeset FROM repos",
+    "pushed": f"""SELECT repo % 500 AS changeset, repo, path,
+        {_IS_NON_CODE} OR change_type = 'added' AS is_trivial FROM snap""",
+    "set_counts": _counts(
+        "(SELECT p.changeset, f.* FROM t_found f JOIN pushed p ON f.repo = p.repo AND f.location = p.path)",
+        "changeset",
+    ),
+    "set_scores": _scores("sets", "set_counts", "changeset"),
+}
+
+
+def _check_sets(skip_trivial: str) -> str:
+    return f"""SELECT changeset, n AS n_changes, outcome,
+        CASE WHEN outcome = 'scored' THEN total END AS total,
+        CAST(CASE WHEN outcome = 'scored' AND total < target_threshold THEN 2 ELSE 0 END AS INT) AS exit_code
+        FROM (SELECT s.changeset, s.total, p.target_threshold, coalesce(c.n, 0) AS n,
+          CASE WHEN c.n IS NULL THEN 'no_changes' WHEN c.t AND {skip_trivial} THEN 'trivial' ELSE 'scored'
+          END AS outcome FROM set_scores s
+          JOIN policy p ON p.org = 'org' || CAST(s.changeset % 25 AS VARCHAR)
+          LEFT JOIN (SELECT changeset, count(*) AS n, bool_and(is_trivial) AS t FROM pushed GROUP BY changeset) c
+          ON c.changeset = s.changeset)"""
+
+
 _TRIM = "[" + K.WHITE_SPACE + "]+"
 
 
@@ -428,6 +466,11 @@ _SELECTS: dict[str, str] = {
           WHEN fail_on_critical_security AND n > 0 THEN 2 ELSE 0 END AS INT) AS exit_code
         FROM (SELECT j.*, (SELECT count(*) FROM k_found f WHERE f.repo = j.repo
           AND severity IN ('CRITICAL', 'HIGH')) AS n FROM judged j)""",
+    "check_workspaces": """SELECT s.repo, static, architecture, security, total, llm_enhanced,
+        CAST(CASE WHEN violation IS NOT NULL THEN 1 WHEN total < target_threshold THEN 2 ELSE 0 END AS INT)
+        AS exit_code FROM o_enhanced s JOIN violations v ON v.org = 'org' || CAST(s.repo % 25 AS VARCHAR)""",
+    "check_changesets": _check_sets("TRUE"),
+    "check_ranges": _check_sets("FALSE"),
     "score_regression": """SELECT repo, base_total, target_total, tier, target_total - base_total AS delta,
         target_total < base_total AS regressed,
         tier = 'Critical Remediate Status' OR (tier = 'Technical Debt Alert' AND target_total < base_total)

@@ -15,7 +15,7 @@ from qscore.operators import gate as gt
 from qscore.operators import ranking as rnk
 from qscore.operators import review as rev
 from qscore.operators import scoring as scr
-from qscore.plans import corpus
+from qscore.plans import corpus, flows
 from qscore.shared import fresh_path, materialize, use_all_cores
 from qscore.sources import commits as cmt
 from qscore.sources import files as fls
@@ -334,6 +334,40 @@ def gate_with_findings(spark, sf_dir):
     ).select("repo", "total", "blocking_findings", "exit_code")
 
 
+@query
+def check_workspaces(spark, sf_dir):
+    evaluations = _evaluations(spark, sf_dir).withColumnRenamed("review_id", "repo")
+    return flows.check_workspaces(
+        corpus.files(spark, sf_dir), corpus.repos(spark, sf_dir), _policies(spark, sf_dir), evaluations
+    ).select("repo", "static", "architecture", "security", "total", "llm_enhanced", "exit_code")
+
+
+def _pushes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Change sets of 500 groups of repos, their changes between the two snapshots, the target."""
+    target = corpus.target_files(spark, sf_dir)
+    changed = _changed(corpus.base_files(spark, sf_dir), target)
+    changes = changed.selectExpr(
+        "repo % 500 AS changeset", "repo", "path",
+        "CASE change_type WHEN 'added' THEN ' ' ELSE '+x' END AS diff",
+    )
+    sets = corpus.repos(spark, sf_dir).selectExpr(
+        "repo % 500 AS changeset", "'org' || CAST(repo % 500 % 25 AS STRING) AS org"
+    )
+    return sets.distinct(), changes, target
+
+
+@query
+def check_changesets(spark, sf_dir):
+    return flows.check_changesets(*_pushes(spark, sf_dir), _policies(spark, sf_dir))
+
+
+@query
+def check_ranges(spark, sf_dir):
+    return flows.check_changesets(
+        *_pushes(spark, sf_dir), _policies(spark, sf_dir), skip_trivial=False
+    )
+
+
 @query
 def score_regression(spark, sf_dir):
     dimension = _repos(spark, sf_dir)
