@@ -23,12 +23,14 @@ def duplicate_blocks(files: DataFrame, normal=code.normal_body, least_chars: int
     :func:`qscore.functions.code.structure` for the same code under other names. Bodies
     shorter than ``least_chars`` are boilerplate. "Earlier" is by (repo, path, line).
     """
-    blocks = (
+    # One pass over the files; the hashes are few and read twice below.
+    blocks = materialize(
         function_segments(files)
         .select("repo", "path", "line_start", "line_end", once(body=normal(F.col("body"))))
         .where(F.length("body") >= least_chars)
         .withColumn("block", F.sha2(F.col("body").cast("binary"), 256))
-        .drop("body")
+        .drop("body"),
+        "blocks",
     )
     groups = (
         blocks.groupBy("block")

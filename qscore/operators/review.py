@@ -34,7 +34,8 @@ def pack_payload(
 
     Packing stops at the first file that does not fit; a marker says so. The line feed
     after a file is not part of the test. The cut is found on byte lengths; only the
-    content of kept files is fetched afterwards. ``allowed`` (key) restricts the keys.
+    content of kept files is fetched afterwards. ``allowed`` (key) restricts the keys: the
+    content of others is never fetched.
     No key with very many files is ever sorted as a whole: after cap / 10 files the
     budget is spent whatever their content, so later ones cannot be kept.
     """
@@ -46,10 +47,8 @@ def pack_payload(
         *[o.alias(f"_o{i}") for i, o in enumerate(order)],
         (F.octet_length(header) + F.octet_length(content)).cast("long").alias("_size"),
     )
-    if allowed is not None:
-        sizes = sizes.join(allowed.select(key), key, "left_semi")
     sort = [F.col(f"_o{i}") for i in range(len(order))]
-    head = first_rows(sizes, [key], sort, cap // _LEAST_BYTES + 2, spread=(name,))
+    head = first_rows(sizes, [key], sort, cap // _LEAST_BYTES + 2, spread=(name,), only=allowed)
     before = Window.partitionBy(key).orderBy(*sort).rowsBetween(Window.unboundedPreceding, -1)
     # Kept files and the first that does not fit have at most cap + 1 bytes before them.
     near_cut = head.withColumn(
@@ -60,21 +59,22 @@ def pack_payload(
     body = files.where(F.octet_length(content) <= cap).select(
         key, name, F.concat(header, F.col(content), F.lit("\n")).alias("_text")
     )
-    # Bounded group: at most cap bytes of text per key.
-    parts = cut.where("_fits").join(body, [key, name]).groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct("_before", "_text"))).alias("_parts")
-    )
-    states = cut.groupBy(key).agg(
-        F.count_if("_fits").cast("int").alias("n_files"),
-        F.bool_or(~F.col("_fits")).alias("is_truncated"),
+    # Bounded groups: at most cap bytes of text per key.
+    part = F.when(F.col("_fits") & F.col("_text").isNotNull(), F.struct("_before", "_text"))
+    packs = (
+        cut.join(body, [key, name], "left")
+        .groupBy(key)
+        .agg(
+            F.sort_array(F.collect_list(part)).alias("_parts"),
+            F.count_if("_fits").cast("int").alias("n_files"),
+            F.bool_or(~F.col("_fits")).alias("is_truncated"),
+        )
     )
     packed = F.concat(
-        F.coalesce(
-            F.array_join(F.transform("_parts", lambda p: p["_text"]), ""), F.lit("")
-        ),
+        F.array_join(F.transform("_parts", lambda p: p["_text"]), ""),
         F.when(F.col("is_truncated"), K.PAYLOAD_MARKER).otherwise(""),
     )
-    return states.join(parts, key, "left").select(
+    return packs.select(
         key, once(payload=trim_space(packed)), "n_files", "is_truncated"
     )
 

@@ -7,9 +7,9 @@ broadcast; no other table is.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 _PARTS = 10_000
 # Below this many rows a key is never worth splitting.
@@ -58,22 +58,34 @@ def join_few(
 
 
 def first_rows(
-    rows: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int, spread: Sequence[str | Column]
+    rows: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    limit: int,
+    spread: Sequence[str | Column],
+    only: DataFrame | None = None,
 ) -> DataFrame:
     """The first ``limit`` rows of each key, in two steps.
 
     Each of 1,024 shares of a key first drops what cannot be among the first rows, so no
-    task ever sorts all rows of a key.
+    task ever sorts all rows of a key. ``only`` restricts the keys; it is applied between
+    the steps, when no key has many rows left. Rows are dealt out explicitly, as a window
+    would accept rows that already lie together by key.
     """
     share = F.pmod(F.xxhash64(*spread), F.lit(1024))
     local = Window.partitionBy(*keys, "_share").orderBy(*order)
     final = Window.partitionBy(*keys).orderBy(*order)
-    return (
+    cut = (
         rows.withColumn("_share", share)
+        .repartition(*keys, "_share")
         .withColumn("_rn", F.row_number().over(local))
         .where(F.col("_rn") <= limit)
         .drop("_share", "_rn")
-        .withColumn("_rn", F.row_number().over(final))
+    )
+    if only is not None:
+        cut = cut.join(only.select(*keys), list(keys), "left_semi")
+    return (
+        cut.withColumn("_rn", F.row_number().over(final))
         .where(F.col("_rn") <= limit)
         .drop("_rn")
     )
@@ -84,7 +96,7 @@ def trailing_window(
     key: str,
     order: Sequence[str],
     depth: int,
-    measures: dict[str, "callable"],
+    measures: dict[str, Callable[[WindowSpec], Column]],
     min_rows: int = _MIN_ROWS,
 ) -> DataFrame:
     """Window measures over the current and the ``depth`` rows before it, per key.
@@ -117,6 +129,7 @@ def trailing_window(
     through = Window.partitionBy(key).orderBy(*order)
     tails = (
         own.where("_hot")
+        .repartition(key, "_range")
         .withColumn("_rn", F.row_number().over(backwards))
         .where(F.col("_rn") <= depth)
         .withColumn("_i", F.row_number().over(through))
@@ -132,7 +145,8 @@ def trailing_window(
         .select(*own.columns)
     )
     window = Window.partitionBy(key, "_range").orderBy(*order)
-    out = own.unionByName(borrowed)
+    # Dealt out explicitly: a window would accept rows that already lie together by key.
+    out = own.unionByName(borrowed).repartition(key, "_range")
     for name, measure in measures.items():
         out = out.withColumn(name, measure(window))
     return out.where("_own").drop("_range", "_hot", "_own")

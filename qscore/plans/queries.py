@@ -496,9 +496,15 @@ def daily_scores(spark, sf_dir):
     return daily.withColumn("day", F.col("day").cast("string"))
 
 
+def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Scores and findings from one pass over the files: findings are few and written once."""
+    found = materialize(_findings(spark, sf_dir), "findings")
+    return scr.score(found, _repos(spark, sf_dir)), found
+
+
 @query
 def report_json(spark, sf_dir):
-    reports = rpt.json_reports(_scores(spark, sf_dir), _findings(spark, sf_dir), RUN_TS)
+    reports = rpt.json_reports(*_scored(spark, sf_dir), RUN_TS)
     parsed = F.from_json(
         "report",
         "total double, pillars map<string,double>, llm_enhanced boolean, timestamp string, "
@@ -520,15 +526,13 @@ def report_json(spark, sf_dir):
 
 @query
 def report_markdown(spark, sf_dir):
-    return rpt.markdown_lines(_scores(spark, sf_dir), _findings(spark, sf_dir))
+    return rpt.markdown_lines(*_scored(spark, sf_dir))
 
 
 @query
 def read_reports(spark, sf_dir):
     path = fresh_path(spark, "reports")
-    rpt.write_json_reports(
-        rpt.json_reports(_scores(spark, sf_dir), _findings(spark, sf_dir), RUN_TS), path
-    )
+    rpt.write_json_reports(rpt.json_reports(*_scored(spark, sf_dir), RUN_TS), path)
     scores, findings = rpt.read_reports(spark, path)
     counts = scr.finding_counts(findings, ["repo"])
     again = scr.pillar_scores(scores.select("repo"), counts, ["repo"])

@@ -38,7 +38,8 @@ def json_reports(
         F.col("line_start").alias("_l"),
         F.struct(*[F.col(c) for c in fields]).alias("finding"),
     )
-    grouped = placed.groupBy("repo", "part").agg(
+    # Dealt out explicitly, in case findings already lie together by repo.
+    grouped = placed.repartition("repo", "part").groupBy("repo", "part").agg(
         F.first("n_parts").alias("n_parts"), F.sort_array(F.collect_list(discovery)).alias("_f")
     )
     known = F.transform("_f", lambda f: f["finding"])
