@@ -9,17 +9,14 @@ from pyspark.sql import DataFrame, functions as F
 from qscore import constants as K
 from qscore.functions import paths
 from qscore.operators import changes as chg, findings as fnd, gate as gt, review as rev, scoring as scr
+from qscore.shared import materialize
 from qscore.sources import files as fls, policies as pol
 
 
-def workspace_sources(files: DataFrame, repos: DataFrame, policies: DataFrame, on: str = "org") -> DataFrame:
-    """Source files of each repo that the policy of its owner does not exclude.
-
-    ``repos``: (repo, ``on``). The extension is tested first: other files are never joined.
-    """
+def exclusion_rules(repos: DataFrame, policies: DataFrame, on: str = "org") -> DataFrame:
+    """(repo, regex): what the policy of a repo's owner excludes. ``repos``: (repo, ``on``)."""
     rules = fls.policy_regexes(pol.exclusion_patterns(policies, on), key=on)
-    per_repo = repos.select("repo", on).join(rules, on).select("repo", "regex")
-    return fls.exclude_by_policy(fls.source_files(files), per_repo)
+    return repos.select("repo", on).join(rules, on).select("repo", "regex")
 
 
 def check_workspaces(
@@ -31,13 +28,17 @@ def check_workspaces(
     detectors: Sequence[fnd.Detector] = fnd.DEFAULT_DETECTORS,
     hard_fail: bool = False,
 ) -> DataFrame:
-    """Whole snapshots: exclude, detect, score, merge reviews, gate. Policies are validated.
+    """Whole snapshots: detect, exclude, score, merge reviews, gate. Policies are validated.
 
+    Exclusions differ from repo to repo, so applying them means a join. It is done on the
+    findings, which are few and written once, and not on the files, whose content would
+    move: a finding in an excluded file is dropped, as if the file had not been read.
     ``evaluations`` (repo, the two deductions) are the usable answers to
     :func:`qscore.operators.review.review_requests`; repos without one keep their score.
     """
-    found = fnd.findings(workspace_sources(files, repos, policies, on), detectors)
-    scores = scr.score(found, repos, blocking=True)
+    found = materialize(fnd.findings(fls.source_files(files), detectors), "findings")
+    kept = fls.exclude_by_policy(found, exclusion_rules(repos, policies, on), path="location")
+    scores = scr.score(kept, repos, blocking=True)
     if evaluations is not None:
         scores = rev.enhance(scores, evaluations)
     return gt.gate(scores, policies, on=on, hard_fail=hard_fail)

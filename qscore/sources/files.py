@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType
 
 from qscore import constants as K
 from qscore.functions import paths
+from qscore.operators.skew import join_few
 
 # "file:/a", "file:///a" and "scheme://host/a" all become absolute paths.
 _SCHEME = re.compile("^[A-Za-z0-9]+:/*")
@@ -55,14 +56,18 @@ def exclude(
     return files.where(~paths.matches_any(F.col("path"), patterns))
 
 
-def exclude_by_policy(files: DataFrame, patterns: DataFrame, key: str = "repo") -> DataFrame:
-    """As :func:`exclude` with ``patterns``(key, regex): one regular expression per key.
+def exclude_by_policy(
+    rows: DataFrame, rules: DataFrame, key: str = "repo", path: str = "path"
+) -> DataFrame:
+    """As :func:`exclude`, with ``rules`` (key, regex) from :func:`policy_regexes`.
 
-    Build ``regex`` with :func:`policy_regexes`. Keys without a row exclude nothing. The
-    join is left to the size estimates of Spark: a small policy table is broadcast.
+    Keys without a rule exclude nothing. ``rows`` may be files or findings (``path`` is
+    then their location): prefer findings, which are small, as the join may move its
+    rows. Rows of a key that has very many are spread by path.
     """
-    rows = files.join(patterns.select(key, F.col("regex").alias("_rx")), key, "left")
-    return rows.where(~F.coalesce(F.rlike("path", F.col("_rx")), F.lit(False))).drop("_rx")
+    ruled = join_few(rows, rules.select(key, F.col("regex").alias("_rx")), key, (path,), "left")
+    excluded = F.coalesce(F.rlike(path, F.col("_rx")), F.lit(False))
+    return ruled.where(~excluded).select(*rows.columns)
 
 
 @F.pandas_udf(StringType())
