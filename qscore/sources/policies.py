@@ -19,10 +19,8 @@ _TEXTS = {
 def read_policies(spark: SparkSession, root: str) -> DataFrame:
     """(org, raw) from ``<root>/<org>/<any name>.json``."""
     return (
-        spark.read.option("wholetext", "true")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.json")
-        .text(root)
+        spark.read.option("pathGlobFilter", "*.json")
+        .text(root, wholetext=True, recursiveFileLookup=True)
         .select(
             F.regexp_extract("_metadata.file_path", "([^/]+)/[^/]+$", 1).alias("org"),
             F.col("value").alias("raw"),
