@@ -123,3 +123,14 @@ REVIEW_PROMPT = (
     "Deduct only for what rules cannot see, such as naming, intent and design."
 )
 AUTH_TYPES = ("api_key", "oauth_browser")
+# Policy errors (fixed values); the required fields are tested in this order.
+OAUTH_FIELDS = (
+    "oauth_token_url",
+    "oauth_auth_url",
+    "oauth_client_id_env_var",
+    "oauth_client_secret_env_var",
+    "oauth_redirect_url",
+)
+BAD_THRESHOLD_TEXT = "target_threshold must be between 0 and 100, got %f"
+BAD_AUTH_TEXT = "unsupported auth_type: \"%s\"; must be 'api_key' or 'oauth_browser'"
+MISSING_FIELD_TEXT = "%s is required when auth_type is 'oauth_browser'"

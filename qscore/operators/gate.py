@@ -17,27 +17,12 @@ def violation(policies: DataFrame) -> DataFrame:
     threshold = F.col("target_threshold")
     out = F.when(~F.col("readable"), "policy is not valid JSON").when(
         ~threshold.between(0, 100),
-        F.format_string("target_threshold must be between 0 and 100, got %f", threshold),
+        F.format_string(K.BAD_THRESHOLD_TEXT, threshold),
     ).when(~F.col("has_llm"), F.lit(None))
-    out = out.when(
-        ~auth.isin(*K.AUTH_TYPES),
-        F.concat(
-            F.lit('unsupported auth_type: "'),
-            auth,
-            F.lit("\"; must be 'api_key' or 'oauth_browser'"),
-        ),
-    )
-    for field in (
-        "oauth_token_url",
-        "oauth_auth_url",
-        "oauth_client_id_env_var",
-        "oauth_client_secret_env_var",
-        "oauth_redirect_url",
-    ):
-        out = out.when(
-            (auth == "oauth_browser") & (F.col(field) == ""),
-            f"{field} is required when auth_type is 'oauth_browser'",
-        )
+    out = out.when(~auth.isin(*K.AUTH_TYPES), F.format_string(K.BAD_AUTH_TEXT, auth))
+    for field in K.OAUTH_FIELDS:
+        missing = (auth == "oauth_browser") & (F.col(field) == "")
+        out = out.when(missing, K.MISSING_FIELD_TEXT % field)
     return policies.withColumn("violation", out)
 
 
