@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from qscore.llm import mixing, sharding
+from qscore.llm import mixing, quality, sharding, simhash, toxicity
 from qscore.llm.common import load
+from qscore.llm.samples import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -17,6 +18,12 @@ def query(fn):
     return fn
 
 
+@query
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(load(spark, sf_dir, "documents"), radius=4, words=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query
 def op3_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
@@ -30,3 +37,26 @@ def op3_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(*mixing.mix(load(spark, sf_dir, "documents")))
+
+
+def _scored(scored: DataFrame, column: str, held_out, threshold: float) -> DataFrame:
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), F.col(column).alias("score"),
+        (F.col(column) >= threshold).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder("doc_id", 4) == 2
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    scored = quality.learn_and_score(docs.select("doc_id", "text"), labels, ~held_out)
+    return _scored(scored, "quality", held_out, 0.7)
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder("doc_id", 5) == 0
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    scored = toxicity.learn_and_score(docs.select("doc_id", "text"), labels, ~held_out)
+    return _scored(scored, "toxicity", held_out, 0.5)
