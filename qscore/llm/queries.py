@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from qscore.llm import mixing, quality, sharding, simhash, toxicity
+from qscore.llm import chat, decontamination, mixing, quality, sharding, simhash, toxicity
 from qscore.llm.common import load
 from qscore.llm.samples import remainder
 
@@ -24,6 +24,29 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op2_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "'</s>[INST] ok [/INST]'"
+    one_more = spark.sql(
+        f"select * from values (-1L, 0L, 'user', {said}), (-1L, 1L, 'assistant', {said}) t(conv_id, turn, role, text)"
+    )
+    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(one_more)
+    turns, loss = chat.read_back(F.col("formatted")), chat.under_loss(F.col("formatted"), F.col("loss"))
+    whole = F.array_join(F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return (
+        chat.format_trees(chat.from_turns(rows))
+        .withColumns({"_turns": turns, "_loss": loss})
+        .select(
+            F.col("tree").alias("conv_id"),
+            F.size("_turns").cast("long").alias("n_turns"),
+            F.sha2(whole.cast("binary"), 256).alias("turns_sha256"),
+            F.length("_loss").cast("long").alias("loss_chars"),
+            F.sha2(F.col("_loss").cast("binary"), 256).alias("loss_sha256"),
+            F.length("formatted").cast("long").alias("formatted_chars"),
+        )
+    )
+
+
 @query
 def op3_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
@@ -39,6 +62,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(*mixing.mix(load(spark, sf_dir, "documents")))
 
 
+@query
+def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return found.drop("text_hash")
+
+
 def _scored(scored: DataFrame, column: str, held_out, threshold: float) -> DataFrame:
     return scored.select(
         "doc_id", held_out.alias("held_out"), F.col(column).alias("score"),
