@@ -44,7 +44,8 @@ def _seeds(words: str, masks: tuple[str, ...]) -> Column:
 def _hits(rows: DataFrame, masks: tuple[str, ...]) -> DataFrame:
     """One row for each window and mask: seed and place; ``words`` stays."""
     rows = rows.withColumn("_seeds", _seeds("words", masks))
-    rows = rows.select("*", F.posexplode("_seeds").alias("_i", "seed")).drop("_seeds")
+    # Not posexplode: Spark would look first for rows without seeds, and make the words anew for every seed.
+    rows = rows.select("*", F.posexplode_outer("_seeds").alias("_i", "seed")).drop("_seeds").where("seed is not null")
     return rows.withColumn("place", (F.col("_i") % (F.size("words") - (_SPAN - 1))).cast("int")).drop("_i")
 
 
