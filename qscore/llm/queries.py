@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from qscore.llm import chat, decontamination, mixing, quality, sharding, simhash, toxicity
+from qscore.llm import chat, decontamination, mixing, quality, sharding, simhash, substrings, suffixes, toxicity
 from qscore.llm.common import load
 from qscore.llm.samples import remainder
 
@@ -62,6 +62,14 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(*mixing.mix(load(spark, sf_dir, "documents")))
 
 
+@query
+def op5_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffixes.remove_earlier(docs).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 @query
 def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
@@ -89,3 +97,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
     scored = toxicity.learn_and_score(docs.select("doc_id", "text"), labels, ~held_out)
     return _scored(scored, "toxicity", held_out, 0.5)
+
+
+@query
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.remove_repeats(docs).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
+    )
