@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from qscore.shared import materialize
@@ -9,6 +10,18 @@ from qscore.shared import materialize
 _ROUNDS = 100
 
 
+def settle(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Within a task: gives both ends of each link (a, b) the smallest label that links lead to."""
+    while True:
+        low = np.minimum(label[a], label[b])
+        if (label[a] == low).all() and (label[b] == low).all():
+            return
+        for end in (a, b):
+            np.minimum.at(label, label[end], low)
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
 def _digest(edges: DataFrame) -> tuple:
     mixed = F.xxhash64("u", "v")
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(mixed), F.sum(mixed.cast("decimal(38,0)"))).first())

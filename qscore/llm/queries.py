@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from qscore.llm import chat, decontamination, mixing, quality, sharding, simhash, substrings, suffixes, toxicity
+from qscore.llm import chat, decontamination, embeddings, mixing, quality, sharding, simhash, substrings, suffixes, toxicity
 from qscore.llm.common import load
 from qscore.llm.samples import remainder
 
@@ -70,6 +70,11 @@ def op5_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(load(spark, sf_dir, "embeddings"), least=0.9)
+
+
 @query
 def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))

@@ -22,7 +22,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from qscore.llm.components import components
+from qscore.llm.components import components, settle
 from qscore.shared import materialize
 
 _SEED = 42
@@ -113,14 +113,7 @@ def _linked(fps: np.ndarray, tree: np.ndarray, radius: int) -> np.ndarray:
                 nexts.append((search[ok][below >= 0], below[below >= 0]))
             search, node = (np.concatenate(x) for x in zip(*nexts))
         a, b = (np.concatenate(x) for x in zip(*found))
-        while True:  # the smaller label goes to both ends and on to what points at them
-            low = np.minimum(label[a], label[b])
-            if (label[a] == low).all() and (label[b] == low).all():
-                break
-            for end in (a, b):
-                np.minimum.at(label, label[end], low)
-            while (label[label] != label).any():
-                label = label[label]
+        settle(label, a, b)
     return label
 
 
