@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: A word is a run of anything but ASCII white space.
@@ -22,6 +24,22 @@ def hash63(*columns: str | Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 1)
 
 
+def packed(docs: DataFrame, needed: Sequence[str]) -> DataFrame:
+    """The columns that an operator needs, and all others in one, so that no name of theirs meets one of its own."""
+    others = [c for c in docs.columns if c.lower() not in needed]
+    rest = F.struct(*[docs[f"`{c}`"] for c in others]) if others else F.struct(F.lit(0).alias("none"))
+    return docs.select(*needed, rest.alias("__rest"))
+
+
+def unpacked(columns: Sequence[str], needed: Sequence[str], replaced: Sequence[str] = ()) -> list[Column]:
+    """The columns in their old order; those named in ``replaced`` are left to the operator."""
+    return [
+        F.col(c) if c.lower() in needed else F.col("__rest")[c].alias(c)
+        for c in columns
+        if c.lower() not in replaced
+    ]
+
+
 def running(rows: DataFrame, key: str, cell: Column, order: list, weight: Column) -> DataFrame:
     """Adds ``_before``: the weight of the rows of a key that stand before a row.
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from qscore.llm.common import packed, unpacked
 from qscore.shared import materialize
 
 #: Both masks have eleven words in between and look at eight.
@@ -108,6 +109,6 @@ def contaminated(
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """``docs`` without the contaminated ones; all columns and all other rows stay as they are."""
     gone = materialize(contaminated(docs, benchmark, **settings).select("doc_id", "text_hash"), "contaminated")
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
+    keyed = packed(docs, ("doc_id", "text")).withColumn("_hash", F.xxhash64("text"))
     same = keyed["doc_id"].eqNullSafe(gone["doc_id"]) & (keyed["_hash"] == gone["text_hash"])
-    return keyed.join(gone, same, "left_anti").drop("_hash")
+    return keyed.join(gone, same, "left_anti").select(*unpacked(docs.columns, ("doc_id", "text")))

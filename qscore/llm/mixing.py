@@ -16,7 +16,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from qscore.llm.common import WORD, hash63, n_words, running
+from qscore.llm.common import WORD, hash63, n_words, packed, running, unpacked
 from qscore.shared import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -164,8 +164,10 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The documents of the mix, with the columns of ``docs``: one row for each time that a document is
     taken, cut to the words taken where the mix ends inside it (words then stand one space apart).
 
-    A column n_chars is counted anew for a document that is cut.
+    A column n_chars is counted anew for a document that is cut. Nulls, repeated rows and empty tables: see
+    :func:`mix`.
     """
+    needed = ["doc_id", "text", "source", *[c for c in docs.columns if c == "n_chars"]]
     seen, pieces = mix(docs, **settings)
     times = pieces.groupBy("n", "at", "doc_id", "epoch").agg(
         F.min("first").alias("_first"), F.sum("words").alias("_words")
@@ -177,7 +179,7 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     times = times.groupBy("doc_id", "_id", "_copy").agg(
         F.collect_list(F.struct("_first", "_words", "size")).alias("_times")
     )
-    numbered = docs.withColumn("_id", F.xxhash64("text")).withColumn(
+    numbered = packed(docs, needed).withColumn("_id", F.xxhash64("text")).withColumn(
         "_copy", F.row_number().over(Window.partitionBy("doc_id", "_id").orderBy(F.xxhash64("source")))
     )
     same = [numbered[c].eqNullSafe(times[c]) for c in ("doc_id", "_id", "_copy")]
@@ -195,4 +197,5 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(kind))
-    return out.select(*[numbered[c] if c not in ("text", "n_chars") else F.col(c) for c in docs.columns])
+    kept = out.select(*[F.col(c) if c in ("text", "n_chars") else numbered[c] for c in needed], "__rest")
+    return kept.select(*unpacked(docs.columns, needed))

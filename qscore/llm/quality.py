@@ -174,8 +174,8 @@ def fit(sample: DataFrame, rounds: int = 120) -> list[float]:
 _HELD = 200_000  # lines that a task looks at together
 
 
-def score(docs: DataFrame, weights: list[float]) -> DataFrame:
-    """``docs`` with quality (0 to 1), from the text alone; a null text is one empty line."""
+def score(docs: DataFrame, weights: list[float], into: str = "quality") -> DataFrame:
+    """``docs`` with a score (0 to 1) in the column ``into``, from the text alone; a null text is one empty line."""
     w = np.array(weights)
 
     def held(texts: list[bytes | None]) -> list[float]:
@@ -206,14 +206,14 @@ def score(docs: DataFrame, weights: list[float]) -> DataFrame:
     def quality(texts: pd.Series) -> pd.Series:
         return pd.Series(held(list(texts)), dtype="float64")
 
-    return docs.withColumn("quality", quality(F.col("text").cast("binary")))
+    return docs.withColumn(into, quality(F.col("text").cast("binary")))
 
 
-def learn_and_score(docs: DataFrame, labels: DataFrame, usable, sample: int = SAMPLE) -> DataFrame:
+def learn_and_score(docs: DataFrame, labels: DataFrame, usable, sample: int = SAMPLE, into: str = "quality") -> DataFrame:
     """Learns from ``labels`` (doc_id, quality) where ``usable`` holds, from at most ``sample`` documents of
     each class, and scores all of ``docs``.
 
-    Needs doc_id and text; other columns pass through. A null or empty text is scored as one empty line;
+    Needs doc_id and text; other columns pass through, but for one named ``into``, which is replaced. A null or empty text is scored as one empty line;
     repeated rows get the same score; without labels every score is 0.5.
     """
-    return score(docs, fit(labelled(docs, labels, "quality", usable, sample)))
+    return score(docs, fit(labelled(docs, labels, "quality", usable, sample)), into)

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from qscore.llm.common import hash63, running
+from qscore.llm.common import hash63, packed, running, unpacked
 from qscore.shared import materialize
 
 OVERHEAD = 16  # bytes that a row takes besides its text
@@ -137,8 +137,8 @@ def shard_documents(docs: DataFrame, shards: int = 40, tolerance: float = 0.005,
     gives no rows; with fewer documents than shards, some shards stay empty. ``cells`` cuts a shard for
     numbering its rows; it changes nothing but the plan and the order of the slots.
     """
-    docs = docs.drop("shard", "slot", "size")
-    keyed = docs.withColumns(
+    needed = ("doc_id", "text")
+    keyed = packed(docs, needed).withColumns(
         {
             "_g": hash63(F.coalesce("text", F.lit(""))),
             "_d": hash63("doc_id"),
@@ -147,10 +147,8 @@ def shard_documents(docs: DataFrame, shards: int = 40, tolerance: float = 0.005,
     )
     keys = materialize(keyed.select("_g", "_d", "_size"), "shard-keys")
     placed = keyed.withColumn("shard", _place(splitters(keys, shards, tolerance)))
-    return (
-        running(placed, "shard", F.pmod("_d", F.lit(cells)), ["_g", "_d", "doc_id"], F.lit(1))
-        .withColumnRenamed("_before", "slot")
-        .withColumn("slot", F.col("slot").cast("long"))
-        .withColumnRenamed("_size", "size")
-        .drop("_g", "_d")
+    numbered = running(placed, "shard", F.pmod("_d", F.lit(cells)), ["_g", "_d", "doc_id"], F.lit(1))
+    return numbered.select(
+        *unpacked(docs.columns, needed, ("size", "shard", "slot")),
+        F.col("_size").alias("size"), "shard", F.col("_before").cast("long").alias("slot"),
     )

@@ -106,8 +106,8 @@ def fit(sample: DataFrame, **parameters) -> dict[int, float]:
     return {r["bucket"]: r["weight"] for r in rows.collect()}
 
 
-def score(docs: DataFrame, weights: dict[int, float]) -> DataFrame:
-    """``docs`` with toxicity (0 to 1), from the text alone; a null text is scored as an empty one."""
+def score(docs: DataFrame, weights: dict[int, float], into: str = "toxicity") -> DataFrame:
+    """``docs`` with a score (0 to 1) in the column ``into``, from the text alone; a null text is scored as an empty one."""
     spark = docs.sparkSession
     at = np.array(sorted(weights), dtype=np.int64)
     sent = spark.sparkContext.broadcast((at, np.array([weights[i] for i in at.tolist()])))
@@ -125,14 +125,14 @@ def score(docs: DataFrame, weights: dict[int, float]) -> DataFrame:
                 out[i] = table[np.unique(hit)].sum() + table[-1]
             yield pd.Series(1 / (1 + np.exp(-np.clip(out, -35, 35))))
 
-    return docs.withColumn("toxicity", toxicity("text"))
+    return docs.withColumn(into, toxicity("text"))
 
 
-def learn_and_score(docs: DataFrame, labels: DataFrame, usable, sample: int = SAMPLE) -> DataFrame:
+def learn_and_score(docs: DataFrame, labels: DataFrame, usable, sample: int = SAMPLE, into: str = "toxicity") -> DataFrame:
     """Learns from ``labels`` (doc_id, toxic) where ``usable`` holds, from at most ``sample`` documents of each
     class, and scores all of ``docs``.
 
-    Needs doc_id and text; other columns pass through. A null or empty text gets the score of the
+    Needs doc_id and text; other columns pass through, but for one named ``into``, which is replaced. A null or empty text gets the score of the
     constant alone; repeated rows get the same score; without labels every score is 0.5.
     """
-    return score(docs, fit(labelled(docs, labels, "toxic", usable, sample)))
+    return score(docs, fit(labelled(docs, labels, "toxic", usable, sample)), into)
