@@ -131,6 +131,7 @@ OAUTH_FIELDS = (
     "oauth_client_secret_env_var",
     "oauth_redirect_url",
 )
+UNREADABLE_TEXT = "policy is not valid JSON"
 BAD_THRESHOLD_TEXT = "target_threshold must be between 0 and 100, got %f"
 BAD_AUTH_TEXT = "unsupported auth_type: \"%s\"; must be 'api_key' or 'oauth_browser'"
 MISSING_FIELD_TEXT = "%s is required when auth_type is 'oauth_browser'"

@@ -64,6 +64,32 @@ _TOKEN = re.compile(
 )
 
 
+_MEMBER = re.compile(r"\\(?P<esc>.)|(?P<plain>.)", re.S)
+
+
+def _set_body(text: str) -> str | None:
+    """Members of a glob's set, escaped one by one; None for a range that is backwards or open."""
+    members = [(m["esc"] or m["plain"], m["plain"] == "-") for m in _MEMBER.finditer(text)]
+    out, i = [], 0
+    while i < len(members):
+        low, dash = members[i]
+        if dash and 0 < i:
+            return None
+        if i + 1 < len(members) and members[i + 1][1]:
+            if i + 2 == len(members) or members[i + 2][0] < low:
+                return None
+            out.append(f"{_member(low)}-{_member(members[i + 2][0])}")
+            i += 3
+        else:
+            out.append(_member(low))
+            i += 1
+    return "".join(out)
+
+
+def _member(char: str) -> str:
+    return char if char.isalnum() or char in "/_ ." or ord(char) > 127 else "\\" + char
+
+
 def glob_regex(pattern: str) -> str | None:
     """Anchored regular expression of a glob, or None for a malformed one.
 
@@ -91,7 +117,9 @@ def glob_regex(pattern: str) -> str | None:
             out.append("[^/]")
         elif kind == "set":
             negated = text[1] in "!^"
-            body = text[2 if negated else 1 : -1].replace("[", r"\[")
+            body = _set_body(text[2 if negated else 1 : -1])
+            if body is None:
+                return None
             out.append(f"[{'^/' if negated else ''}{body}]")
         elif kind == "alt" and (braces or text == "{"):
             braces += {"{": 1, "}": -1, ",": 0}[text]

@@ -73,10 +73,18 @@ def collapse_space(text: Column) -> Column:
 
 
 def truncate(text: Column, size: int) -> Column:
-    """At most ``size`` bytes, the last three dots; cut on characters, never inside one."""
-    return F.when(
-        F.octet_length(text) > size, F.concat(F.left(text, F.lit(size - 3)), F.lit("..."))
-    ).otherwise(text)
+    """At most ``size`` bytes, the last three of them dots; cut on characters, never inside one.
+
+    The longest beginning of at most ``size`` - 3 bytes: bytes that end inside a character have one or
+    two or three more bytes of it to drop, which start with the bits 10.
+    """
+    raw, room = text.cast("binary"), size - 3
+    inside = lambda n: F.conv(F.hex(F.substring(raw, n, 1)), 16, 10).cast("int").between(128, 191)
+    kept = F.lit(room - 3)
+    for less in (2, 1, 0):
+        kept = F.when(~inside(room - less + 1), room - less).otherwise(kept)
+    cut = F.substring(raw, F.lit(1), kept).cast("string")
+    return F.when(F.octet_length(text) > size, F.concat(cut, F.lit("..."))).otherwise(text)
 
 
 def number_text(value: Column, digits: int) -> Column:

@@ -12,6 +12,8 @@ from qscore.operators import findings as fnd, scoring
 from qscore.operators.skew import join_few
 
 _FILE = ("repo", "path")
+# Paths that are sent to every task at most: some 20 MB.
+_FEW_PATHS = 200_000
 
 
 def snapshot_changes(base: DataFrame, target: DataFrame) -> DataFrame:
@@ -34,12 +36,15 @@ def snapshot_changes(base: DataFrame, target: DataFrame) -> DataFrame:
     )
 
 
-def range_changes(versions: DataFrame, ranges: DataFrame, order: Sequence[str] = ("seq",)) -> DataFrame:
+def range_changes(
+    versions: DataFrame, ranges: DataFrame, order: Sequence[str] = ("seq",), key: str = "range"
+) -> DataFrame:
     """Files that differ between the two ends of a commit range.
 
     ``versions``: (repo, path, seq, content), null content for a deletion; ``ranges``:
-    (repo, from_seq, to_seq). One aggregation finds both end states; a file changed and
-    changed back is not listed. ``order`` starts with seq and is total within a file.
+    (key, repo, from_seq, to_seq), any number per repo, overlapping or not. One aggregation
+    finds both end states of each; a file changed and changed back is not listed. ``_last`` (the
+    order columns) says which version is the last of the range. ``order`` starts with seq and is total within a file.
     """
     stamped = versions.select(
         *_FILE,
@@ -49,13 +54,42 @@ def range_changes(versions: DataFrame, ranges: DataFrame, order: Sequence[str] =
     ranged = join_few(stamped, ranges, "repo", spread=("path",))
     ends = (
         ranged.where(F.col("seq") <= F.col("to_seq"))
-        .groupBy(*_FILE)
+        .groupBy(key, *_FILE)
         .agg(
             F.max(F.when(F.col("seq") <= F.col("from_seq"), F.col("v")))["h"].alias("_b"),
-            F.max("v")["h"].alias("_t"),
+            F.max("v").alias("_t"),
         )
     )
-    return ends.where(~F.col("_b").eqNullSafe(F.col("_t"))).select(*_FILE)
+    last = F.struct(*[F.col("_t")[c].alias(c) for c in order]).alias("_last")
+    return ends.where(~F.col("_b").eqNullSafe(F.col("_t.h"))).select(key, *_FILE, last)
+
+
+def range_scores(
+    ranges: DataFrame,
+    changed: DataFrame,
+    versions: DataFrame,
+    order: Sequence[str] = ("seq",),
+    key: str = "range",
+) -> tuple[DataFrame, DataFrame]:
+    """(scores, findings) of commit ranges over the changed source files as each range leaves them.
+
+    ``changed`` is what :func:`range_changes` gives, best written before. Only the versions that end
+    a range are opened.
+    """
+    ends = changed.where(paths.is_source(F.col("path"))).select(key, *_FILE, "_last.*")
+    opened = versions.where(F.col("content").isNotNull()).join(ends, [*_FILE, *order])
+    found = fnd.findings(opened, keys=(key, "repo"))
+    counts = scoring.finding_counts(found, [key])
+    return scoring.pillar_scores(ranges.select(key).distinct(), counts, [key]), found
+
+
+def _only(files: DataFrame, changed: DataFrame, most: int = _FEW_PATHS) -> DataFrame:
+    """``files`` without those that are not in ``changed``, as long as the paths are few enough to be sent
+    to every task; above that all files pass, and what follows must cope. Content is not shuffled."""
+    touched = changed.select(*_FILE).distinct()
+    if touched.limit(most + 1).count() > most:
+        return files
+    return files.join(F.broadcast(touched), list(_FILE), "left_semi")
 
 
 def changed_lines(base: DataFrame, target: DataFrame, changed: DataFrame | None = None) -> DataFrame:
@@ -69,7 +103,7 @@ def changed_lines(base: DataFrame, target: DataFrame, changed: DataFrame | None
         changed = snapshot_changes(base, target)
 
     def counted(files: DataFrame, sign: int) -> DataFrame:
-        opened = files.join(changed.select(*_FILE), list(_FILE), "left_semi")
+        opened = _only(files, changed).join(changed.select(*_FILE), list(_FILE), "left_semi")
         return opened.select(
             *_FILE,
             F.explode(text.lines_of(F.col("content"))).alias("line"),
@@ -157,9 +191,10 @@ def changeset_scores(
 
     Exclusions do not apply here, and deleted files have no findings. Findings are
     counted per file where the file lies, so counts meet the changes and content never
-    moves. A file in very many change sets is spread by change set.
+    moves. Where the changed paths are few, only those files are opened. A file in very many
+    change sets is spread by change set.
     """
-    sources = target.where(paths.is_source(F.col("path")))
+    sources = _only(target.where(paths.is_source(F.col("path"))), changes)
     per_file = scoring.finding_counts(fnd.findings(sources, keys=_FILE), _FILE)
     touched = join_few(changes.select(key, *_FILE), per_file, list(_FILE), spread=(key,))
     counts = touched.groupBy(key).agg(

@@ -35,10 +35,10 @@ def no_findings() -> Column:
 
 
 def finding(**values: Column | str | int | None) -> Column:
-    """Finding struct; fields not given are null."""
+    """Finding struct; texts not given are empty and numbers 0. Only a severity may be absent."""
     cells = []
     for name, kind in _FIELDS:
-        value = values.get(name)
+        value = values.get(name, None if name == "severity" else 0 if kind == "int" else "")
         cell = value if isinstance(value, Column) else F.lit(value)
         cells.append(cell.cast(kind).alias(name))
     return F.struct(*cells)

@@ -15,7 +15,7 @@ def violation(policies: DataFrame) -> DataFrame:
     """
     auth = F.when(F.col("auth_type") == "", "api_key").otherwise(F.col("auth_type"))
     threshold = F.col("target_threshold")
-    out = F.when(~F.col("readable"), "policy is not valid JSON").when(
+    out = F.when(~F.col("readable"), K.UNREADABLE_TEXT).when(
         ~threshold.between(0, 100),
         F.format_string(K.BAD_THRESHOLD_TEXT, threshold),
     ).when(~F.col("has_llm"), F.lit(None))
@@ -37,10 +37,11 @@ def gate(
 
     ``hard_fail`` needs ``blocking_findings`` in ``scores``: where the policy asks for it,
     any CRITICAL or HIGH finding of any pillar gives 2. The threshold is compared first; a
-    total equal to it passes.
+    total equal to it passes. ``validate=False`` leaves out the rules on the values of a policy;
+    one that cannot be read is an error all the same.
     """
     judged = violation(policies) if validate else policies.withColumn(
-        "violation", F.lit(None).cast("string")
+        "violation", F.when(~F.col("readable"), K.UNREADABLE_TEXT)
     )
     rows = scores.join(
         judged.select(
@@ -80,3 +81,15 @@ def regression(base: DataFrame, target: DataFrame, key: str = "repo") -> DataFra
         fell.alias("regressed"),
         (((F.col("tier") == debt) & fell) | (F.col("tier") == K.LOWEST_TIER)).alias("blocked"),
     )
+
+
+def blocking_findings(gated: DataFrame, findings: DataFrame, policies: DataFrame, on: str = "org", key: str = "repo") -> DataFrame:
+    """The findings that block: CRITICAL or HIGH ones of keys that their policy fails for them.
+
+    ``gated`` (key, ``on``, total) as it was judged; a key below its threshold is blocked by its total,
+    not by findings, and one without a valid policy is an error.
+    """
+    asking = violation(policies).where(F.col("violation").isNull() & F.col("fail_on_critical_security"))
+    strict = gated.join(asking.select(on, "target_threshold"), on).where("total >= target_threshold")
+    severe = findings.where(F.col("severity").isin(*K.BLOCKING_SEVERITIES))
+    return severe.join(strict.select(key), key, "left_semi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from qscore import constants as K
-from qscore.operators.skew import trailing_window
+from qscore.operators.skew import positions, trailing_window
 
 
 def rank(priority: Column) -> Column:
@@ -22,16 +22,13 @@ def label(priority: Column) -> Column:
 
 
 def ranked(findings: DataFrame, key: str = "repo", ties: tuple[str, ...] = ("location",)) -> DataFrame:
-    """Findings by rank within a key; ``ties`` make the order total.
+    """Findings with their position by rank within a key; ``ties`` make the order total.
 
-    Sorted by ranges of the whole order, so that a key with very many findings is spread
+    Sorted over ranges of the whole order, so that a key with very many findings is spread
     over many sorted partitions.
     """
-    return (
-        findings.withColumn("rank", rank(F.col("priority")))
-        .withColumn("label", label(F.col("priority")))
-        .orderBy(key, "rank", *ties)
-    )
+    rows = findings.withColumn("rank", rank(F.col("priority"))).withColumn("label", label(F.col("priority")))
+    return positions(rows, key, ("rank", *ties))
 
 
 def top_findings(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -14,6 +15,8 @@ from qscore.functions.strict_json import strict
 from qscore.functions.text import once, scrub, trim_space
 from qscore.operators.scoring import total
 from qscore.operators.skew import first_rows
+from qscore.shared import materialize
+from qscore.sources.files import exclude_by_policy, exclusion_rules
 
 # ---------------------------------------------------------------------------- packing
 # A header alone has nine bytes and a file adds a line feed, so no more files than this
@@ -29,13 +32,15 @@ def pack_payload(
     content: str = "content",
     allowed: DataFrame | None = None,
     cap: int = K.PAYLOAD_BYTES,
+    keep: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """(key, payload, n_files, is_truncated): files in order, as many as the cap holds.
 
     Packing stops at the first file that does not fit; a marker says so. The line feed
-    after a file is not part of the test. The cut is found on byte lengths; only the
-    content of kept files is fetched afterwards. ``allowed`` (key) restricts the keys: the
-    content of others is never fetched.
+    after a file is not part of the test. The cut is found on byte lengths and written;
+    only the content of kept files is fetched afterwards. ``allowed`` (key) restricts the keys:
+    the content of others is never fetched. ``keep`` filters the rows (key, ``name`` and a size)
+    before anything is packed.
     No key with very many files is ever sorted as a whole: after cap / 10 files the
     budget is spent whatever their content, so later ones cannot be kept.
     """
@@ -47,6 +52,8 @@ def pack_payload(
         *[o.alias(f"_o{i}") for i, o in enumerate(order)],
         (F.octet_length(header) + F.octet_length(content)).cast("long").alias("_size"),
     )
+    if keep is not None:
+        sizes = keep(sizes)
     sort = [F.col(f"_o{i}") for i in range(len(order))]
     head = first_rows(sizes, [key], sort, cap // _LEAST_BYTES + 2, spread=(name,), only=allowed)
     before = Window.partitionBy(key).orderBy(*sort).rowsBetween(Window.unboundedPreceding, -1)
@@ -55,20 +62,22 @@ def pack_payload(
         "_before", F.coalesce(F.sum(F.col("_size") + 1).over(before), F.lit(0))
     ).where(F.col("_before") <= cap + 1)
     fits = F.col("_before") + F.col("_size") <= cap
-    cut = near_cut.withColumn("_fits", fits)
+    cut = materialize(near_cut.select(key, name, "_before", fits.alias("_fits")), "payload-cuts")
+    kept = cut.where("_fits").select(key, name, "_before")
     body = files.where(F.octet_length(content) <= cap).select(
         key, name, F.concat(header, F.col(content), F.lit("\n")).alias("_text")
     )
     # Bounded groups: at most cap bytes of text per key.
-    part = F.when(F.col("_fits") & F.col("_text").isNotNull(), F.struct("_before", "_text"))
-    packs = (
-        cut.join(body, [key, name], "left")
+    texts = (
+        body.join(kept, [key, name])
         .groupBy(key)
-        .agg(
-            F.sort_array(F.collect_list(part)).alias("_parts"),
-            F.count_if("_fits").cast("int").alias("n_files"),
-            F.bool_or(~F.col("_fits")).alias("is_truncated"),
-        )
+        .agg(F.sort_array(F.collect_list(F.struct("_before", "_text"))).alias("_parts"))
+    )
+    packs = (
+        cut.groupBy(key)
+        .agg(F.count_if("_fits").cast("int").alias("n_files"), F.bool_or(~F.col("_fits")).alias("is_truncated"))
+        .join(texts, key, "left")
+        .withColumn("_parts", F.coalesce("_parts", F.array().cast(texts.schema["_parts"].dataType)))
     )
     packed = F.concat(
         F.array_join(F.transform("_parts", lambda p: p["_text"]), ""),
@@ -95,16 +104,17 @@ def review_requests(
 ) -> DataFrame:
     """One request per repo that may send and has a payload.
 
-    ``repos``: (repo, ``on``). The policy filter comes before any payload is built, and
-    secrets are scrubbed unless the policy says not to.
+    ``repos``: (repo, ``on``). The policy filter comes before any payload is built; files that the
+    policy excludes are never part of one; secrets are scrubbed unless the policy says not to.
     """
+    rules = exclusion_rules(repos, policies, on)
     sending = repos.join(
         may_send(policies).select(
             on, "base_url", "model_name", "temperature", "timeout_ms", "data_scrubbing"
         ),
         on,
     )
-    payloads = pack_payload(files, allowed=sending).where(F.col("payload") != "")
+    payloads = pack_payload(files, allowed=sending, keep=lambda rows: exclude_by_policy(rows, rules)).where(F.col("payload") != "")
     scrubbed = F.when(
         F.coalesce("data_scrubbing", F.lit(True)), scrub(F.col("payload"))
     ).otherwise(F.col("payload"))
@@ -121,36 +131,38 @@ def review_requests(
 
 
 def batch_review(
-    requests: DataFrame, ask: Callable[[str, str], str], attempts: int = K.REVIEW_ATTEMPTS
+    requests: DataFrame,
+    ask: Callable[[dict], str],
+    attempts: int = K.REVIEW_ATTEMPTS,
+    at_once: int = 8,
 ) -> DataFrame:
-    """(repo, attempt, raw, ok): the answer of ``ask(system_prompt, payload)`` to each request.
+    """(repo, attempt, raw, ok): the answer of ``ask(request)`` to each request.
 
-    Requests run where their rows are, batch by batch. An exception or an answer that is
-    no JSON object is tried again; a request that keeps failing becomes a row with
-    ``ok`` false and never fails the job.
+    ``request`` is the row of :func:`review_requests` as a dict, with the endpoint, the model, its
+    temperature and the time limit that ``ask`` must keep. Requests run where their rows are,
+    ``at_once`` of a task side by side. An exception or an answer that is no JSON object is tried again; a
+    request that keeps failing becomes a row with ``ok`` false and never fails the job.
     """
     kind = requests.schema["repo"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [
-                (repo, *_ask(ask, prompt, payload, attempts))
-                for repo, prompt, payload in zip(
-                    batch["repo"], batch["system_prompt"], batch["payload"]
+        with ThreadPoolExecutor(at_once) as pool:
+            for batch in batches:
+                rows = batch.to_dict("records")
+                answers = pool.map(lambda row: _ask(ask, row, attempts), rows)
+                yield pd.DataFrame(
+                    [(row["repo"], *answer) for row, answer in zip(rows, answers)],
+                    columns=["repo", "attempt", "raw", "ok"],
                 )
-            ]
-            yield pd.DataFrame(rows, columns=["repo", "attempt", "raw", "ok"])
 
-    return requests.select("repo", "system_prompt", "payload").mapInPandas(
-        run, f"repo {kind}, attempt int, raw string, ok boolean"
-    )
+    return requests.mapInPandas(run, f"repo {kind}, attempt int, raw string, ok boolean")
 
 
-def _ask(ask, prompt: str, payload: str, attempts: int) -> tuple[int, str | None, bool]:
+def _ask(ask, request: dict, attempts: int) -> tuple[int, str | None, bool]:
     raw = None
     for attempt in range(1, attempts + 1):
         try:
-            raw = ask(prompt, payload)
+            raw = ask(request)
             if _usable(json.loads(raw)):
                 return attempt, raw, True
         except Exception:  # a failed request is data, not a reason to fail the job
@@ -237,16 +249,22 @@ def enhance(scores: DataFrame, evaluations: DataFrame, key: str = "repo") -> Dat
 
 
 def review_findings(evaluations: DataFrame, key: str = "repo") -> DataFrame:
-    """Remediations as findings, to be added after scoring: they never deduct or block."""
-    r = F.col("r")
+    """Remediations as findings, to be added after scoring: they never deduct or block.
+
+    Fields that an answer leaves out are empty.
+    """
+
+    def text(name: str, of: str) -> Column:
+        return F.coalesce(F.col("r")[of], F.lit("")).alias(name)
+
     return evaluations.select(key, F.explode("remediations").alias("r")).select(
         key,
-        r["priority"].alias("priority"),
-        r["pillar"].alias("pillar"),
-        r["location"].alias("location"),
+        text("priority", "priority"),
+        text("pillar", "pillar"),
+        text("location", "location"),
         F.lit(0).alias("line_start"),
         F.lit(0).alias("line_end"),
-        r["finding"].alias("description"),
-        r["actionable_fix"].alias("remediation"),
+        text("description", "finding"),
+        text("remediation", "actionable_fix"),
         F.lit(None).cast("string").alias("severity"),
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -164,6 +165,42 @@ def security_subscores(
     )
 
 
+def standard_scores(
+    dimension: DataFrame,
+    static: DataFrame,
+    architecture: DataFrame,
+    farley: DataFrame,
+    security: DataFrame,
+    coverage: DataFrame,
+    key: str = "repo",
+) -> DataFrame:
+    """Pillars and total of the written standard, from the sub-scores above and the test quality.
+
+    Static is style + linter + dead code, architecture cyclomatic + cognitive, verification the base
+    points (times 0.8 where ``coverage`` is below its floor), security sast + sca. A sub-score that was
+    not measured counts in full, as a repository without findings does. ``coverage``: (key,
+    mutation_coverage, mutation_floor).
+    """
+    out = dimension.select(key)
+    for part in (static, architecture, farley.drop("farley_index"), security, coverage):
+        out = out.join(part, key, "left")
+
+    def parts(**full: float) -> Column:
+        columns = [F.coalesce(name, F.lit(points)) for name, points in full.items()]
+        return reduce(lambda a, b: a + b, columns)
+
+    low = F.col("mutation_coverage") < F.col("mutation_floor")
+    base = F.coalesce("base_points", F.lit(K.PILLAR_MAX[K.VERIFICATION]))
+    out = out.select(
+        key,
+        F.round(parts(style=5.0, linter=10.0, dead_code=5.0), 6).alias(K.STATIC),
+        F.round(parts(cyclomatic=15.0, cognitive=10.0), 6).alias(K.ARCHITECTURE),
+        F.round(F.when(low, base * K.MUTATION_FACTOR).otherwise(base), 6).alias(K.VERIFICATION),
+        parts(sast=10.0, sca=10.0).alias(K.SECURITY),
+    )
+    return out.withColumn("total", F.round(total(), 6))
+
+
 def tiers(scores: DataFrame) -> DataFrame:
     """Operational tier of every total."""
     reached = [F.when(F.col("total") >= bound, name) for bound, name in K.TIERS]

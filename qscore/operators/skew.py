@@ -11,6 +11,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+from qscore.shared import materialize
+
 _PARTS = 10_000
 # Below this many rows a key is never worth splitting.
 _MIN_ROWS = 100_000
@@ -91,6 +93,32 @@ def first_rows(
     )
 
 
+def positions(rows: DataFrame, key: str, order: Sequence[str], name: str = "position") -> DataFrame:
+    """Adds ``name``: the place of a row within its key, from 1, in the order of ``order``.
+
+    Rows are sorted over ranges of (key, order) and written; places follow from the counts of the ranges, so
+    that no task sorts all rows of a key. Rows equal in ``order`` have their places in any order.
+    """
+    placed = materialize(
+        rows.repartitionByRange(key, *order)
+        .sortWithinPartitions(key, *order)
+        .withColumn("_part", F.spark_partition_id())
+        .withColumn("_at", F.monotonically_increasing_id()),
+        "positions",
+    )
+    parts = placed.groupBy(key, "_part").agg(F.min("_at").alias("_lo"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = materialize(
+        parts.select(
+            F.col(key).alias("_k"), F.col("_part").alias("_p"),
+            (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_lo") + 1).alias("_shift"),
+        ),
+        "position-starts",
+    )
+    same = placed[key].eqNullSafe(starts["_k"]) & (placed["_part"] == starts["_p"])
+    return placed.join(starts, same).select(*rows.columns, (F.col("_at") + F.col("_shift")).alias(name))
+
+
 def trailing_window(
     rows: DataFrame,
     key: str,
@@ -103,25 +131,26 @@ def trailing_window(
 
     ``order[0]`` is numeric or a timestamp; ``order`` is a total order within a key.
     ``measures`` maps a name to a function of the window spec. A hot key is cut into
-    ranges of ``order[0]``; each range borrows the last ``depth`` rows before it, so the
+    ranges between quantiles of ``order[0]``; each range borrows the last ``depth`` rows before it, so the
     result is that of one window over the whole key.
     """
     lead = F.col(order[0]).cast("timestamp").cast("double") if dict(rows.dtypes)[
         order[0]
     ].startswith("timestamp") else F.col(order[0]).cast("double")
-    sizes = rows.groupBy(key).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(lead).alias("_lo"), F.max(lead).alias("_hi")
-    )
-    hot = hot_keys(sizes, "_n", min_rows).select(
-        key, "_lo", "_hi", F.ceil(F.col("_n") / min_rows).alias("_cuts")
-    )
-    place = F.floor((lead - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_cuts"))
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    hot = hot_keys(sizes, "_n", min_rows).select(key, F.ceil(F.col("_n") / min_rows).cast("int").alias("_cuts"))
+    # Cut at quantiles, so that one far-off row changes nothing.
+    share = F.percentile_approx(lead, F.expr(f"array({','.join(f'{i / 1000}D' for i in range(1, 1000))})"), 10_000)
+    cuts = rows.join(F.broadcast(hot), key).groupBy(key).agg(share.alias("_q"), F.first("_cuts").alias("_cuts"))
+    step = F.expr("transform(sequence(1, _cuts - 1), i -> _q[cast(i * 1000 div _cuts as int) - 1])")
+    hot = materialize(cuts.where("_cuts > 1").select(key, F.array_distinct(step).alias("_edges")), "hot-cuts")
+    place = F.size(F.filter("_edges", lambda e: e < lead))
     own = (
         rows.join(F.broadcast(hot), key, "left")
-        .withColumn("_range", F.when(F.col("_hi") > F.col("_lo"), place).otherwise(0))
-        .withColumn("_hot", F.col("_cuts").isNotNull())
+        .withColumn("_range", F.coalesce(F.when(F.col("_edges").isNotNull(), place), F.lit(0)))
+        .withColumn("_hot", F.col("_edges").isNotNull())
         .withColumn("_own", F.lit(True))
-        .drop("_lo", "_hi", "_cuts")
+        .drop("_edges")
     )
     # The last rows of every range of a hot key, numbered through the key: depth rows per
     # range, so this window is short even for the largest key.

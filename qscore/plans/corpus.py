@@ -3,6 +3,8 @@
 The given tables hold no code, so the registered queries run on views over them. Each view
 is a list of SQL expressions that Spark and the checking engine both understand; ``{S}``
 is the string type. Only test data is made here: no operator depends on this module.
+The two snapshots lack every 101st and every 97th key of the lines, so that files are added
+and deleted between them; this is what the change operators are about, not a sample.
 """
 
 from __future__ import annotations
@@ -69,7 +71,8 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
             """CASE (conv_id + turn * 3) % 5 WHEN 0 THEN 'I cannot evaluate this code, sorry.'
                WHEN 1 THEN '{"pillar_adjustments":{"static_health_deduction":999,"architecture_deduction":-5},"remediations":[]}'
                WHEN 2 THEN '{"pillar_adjustments":{"static_health_deduction":' || CAST(conv_id % 20 AS {S}) || '.5,"architecture_deduction":2.5},"remediations":[{"priority":"HIGH","pillar":"static","location":"main.go:lines 3-9","finding":"Poor function naming","actionable_fix":"Rename"}]}'
-               WHEN 3 THEN '[1,2' ELSE '{}' END AS raw""",
+               WHEN 3 THEN '[1,2' ELSE CASE conv_id % 2 WHEN 0 THEN '{}'
+                 ELSE '{"remediations":[{"finding":"Unclear flow"}]}' END END AS raw""",
         ],
     ),
     "test_quality": (
@@ -144,8 +147,10 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
             "'src/f' || CAST(l_partkey AS {S}) || '.go' AS path",
             "l_orderkey AS seq",
             "l_linenumber AS ln",
-            """CASE WHEN l_returnflag = 'R' THEN NULL
-               ELSE 'v' || CAST(CAST(l_quantity AS INT) % 3 AS {S}) END AS content""",
+            "CAST(l_quantity AS INT) * 2 + CASE l_returnflag WHEN 'R' THEN 1 ELSE 0 END AS nr",
+            """CASE WHEN l_returnflag = 'R' THEN NULL ELSE CASE CAST(l_quantity AS INT) % 9
+               WHEN 0 THEN 'password = "hunter22"' WHEN 1 THEN 'func f() {' || chr(10) || '{ { { {'
+               ELSE 'v' || CAST(CAST(l_quantity AS INT) % 3 AS {S}) END END AS content""",
         ],
     ),
     "introductions": (

@@ -189,14 +189,20 @@ _CTES |= {
         WHERE json_valid(raw) AND json_type(CASE WHEN json_valid(raw) THEN raw ELSE 'null' END) = 'OBJECT'""",
     "firsts": """SELECT * FROM good WHERE attempt <= 3
         QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY attempt) = 1""",
+    "remarks": """SELECT review_id AS repo, 'HIGH' AS priority, 'static' AS pillar,
+        'main.go:lines 3-9' AS location, CAST(0 AS INT) AS line_start, CAST(0 AS INT) AS line_end,
+        'Poor function naming' AS description, 'Rename' AS remediation, CAST(NULL AS VARCHAR) AS severity
+        FROM firsts WHERE raw LIKE '%main.go%' UNION ALL SELECT review_id, '', '', '', 0, 0, 'Unclear flow', '', NULL
+        FROM firsts WHERE raw LIKE '%Unclear%'""",
     "senders": """SELECT * FROM policy WHERE base_url <> '' AND
         (allow_public_cloud_transmission IS NULL OR allow_public_cloud_transmission)""",
     "doc_sizes": """SELECT source, doc_id, text,
         strlen('=== ' || CAST(doc_id AS VARCHAR) || ' ===' || chr(10)) + strlen(text) AS n FROM documents""",
     "doc_sums": """SELECT *, coalesce(sum(n + 1) OVER (PARTITION BY source ORDER BY doc_id
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pre FROM doc_sizes""",
-    "src_sizes": """SELECT repo, path, content,
-        strlen('=== ' || path || ' ===' || chr(10)) + strlen(content) AS n FROM kept""",
+    "src_sizes": """SELECT k.repo, k.path, k.content,
+        strlen('=== ' || k.path || ' ===' || chr(10)) + strlen(k.content) AS n FROM kept k
+        JOIN owned o ON k.repo = o.repo AND k.path = o.path""",
     "src_sums": """SELECT *, coalesce(sum(n + 1) OVER (PARTITION BY repo ORDER BY string_split(path, '/')
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pre FROM src_sizes""",
     "markdown_frame": """SELECT s.repo, s.total, s.static, s.architecture, s.verification, s.security,
@@ -219,7 +225,8 @@ _CTES |= {
         greatest(CAST(0 AS DOUBLE), s.architecture - greatest(CAST(0 AS DOUBLE),
           coalesce(architecture_deduction, 0))) AS architecture,
         security, f.review_id IS NOT NULL AS llm_enhanced
-        FROM o_scores s LEFT JOIN firsts f ON f.review_id = s.repo)""",
+        FROM o_scores s LEFT JOIN firsts f ON f.review_id = s.repo
+          AND 'org' || CAST(s.repo % 25 AS VARCHAR) IN (SELECT org FROM senders))""",
     "sets": "SELECT DISTINCT repo % 500 AS changeset FROM repos",
     "pushed": f"""SELECT repo % 500 AS changeset, repo, path,
         {_IS_NON_CODE} OR change_type = 'added' AS is_trivial FROM snap""",
@@ -231,16 +238,42 @@ _CTES |= {
 }
 
 
-def _check_sets(skip_trivial: str) -> str:
-    return f"""SELECT changeset, n AS n_changes, outcome,
-        CASE WHEN outcome = 'scored' THEN total END AS total,
-        CAST(CASE WHEN outcome = 'scored' AND total < target_threshold THEN 2 ELSE 0 END AS INT) AS exit_code
-        FROM (SELECT s.changeset, s.total, p.target_threshold, coalesce(c.n, 0) AS n,
+def _merged(scores: str, key: str, org: str) -> str:
+    """Totals with the deductions of the first usable answers, where the owner lets text out."""
+    return f"""SELECT s.{key}, greatest(CAST(0 AS DOUBLE), s.static - greatest(CAST(0 AS DOUBLE),
+          coalesce(static_deduction, 0))) + greatest(CAST(0 AS DOUBLE), s.architecture
+          - greatest(CAST(0 AS DOUBLE), coalesce(architecture_deduction, 0))) + 35 + s.security AS total
+        FROM {scores} s LEFT JOIN firsts f ON f.review_id = s.{key} AND {org} IN (SELECT org FROM senders)"""
+
+
+_CTES["set_totals"] = _merged("set_scores", "changeset", "'org' || CAST(s.changeset % 25 AS VARCHAR)")
+_VERSION = "{'s': seq, 'n': ln, 'r': nr, 'c': coalesce(content, '')}"
+_CTES |= {
+    "ranges": """SELECT repo * 2 AS range, repo, (lo + hi) // 2 AS from_seq, hi AS to_seq FROM (
+        SELECT repo, min(seq) AS lo, max(seq) AS hi FROM versions GROUP BY repo)
+        UNION ALL SELECT repo * 2 + 1, repo, (3 * lo + hi) // 4, (lo + 3 * hi) // 4 FROM (
+        SELECT repo, min(seq) AS lo, max(seq) AS hi FROM versions GROUP BY repo)""",
+    "range_files": f"""SELECT * FROM (SELECT r.range, v.repo, v.path,
+        max({_VERSION}) FILTER (WHERE seq <= from_seq) AS b, max({_VERSION}) AS t
+        FROM versions v JOIN ranges r ON v.repo = r.repo AND v.seq <= r.to_seq GROUP BY r.range, v.repo, v.path)
+        WHERE nullif(b.c, '') IS DISTINCT FROM nullif(t.c, '')""",
+    "range_counts": """SELECT range, 0 AS ns, count(*) FILTER (WHERE t.c LIKE 'func%') AS na,
+        count(*) FILTER (WHERE t.c LIKE 'password%') AS nb FROM range_files GROUP BY range""",
+    "range_scores": _scores("ranges", "range_counts", "range"),
+    "range_totals": _merged("range_scores", "range", "'org' || CAST(s.range // 2 % 25 AS VARCHAR)"),
+}
+
+
+def _check(key: str, totals: str, changes: str, org: str, skip_trivial: str) -> str:
+    return f"""SELECT {key}, n AS n_changes, outcome,
+        CASE WHEN outcome = 'scored' AND readable THEN total END AS total,
+        CAST(CASE WHEN NOT readable THEN 1 WHEN outcome = 'scored' AND total < target_threshold THEN 2
+          ELSE 0 END AS INT) AS exit_code
+        FROM (SELECT s.{key}, s.total, p.target_threshold, p.readable, coalesce(c.n, 0) AS n,
           CASE WHEN c.n IS NULL THEN 'no_changes' WHEN c.t AND {skip_trivial} THEN 'trivial' ELSE 'scored'
-          END AS outcome FROM set_scores s
-          JOIN policy p ON p.org = 'org' || CAST(s.changeset % 25 AS VARCHAR)
-          LEFT JOIN (SELECT changeset, count(*) AS n, bool_and(is_trivial) AS t FROM pushed GROUP BY changeset) c
-          ON c.changeset = s.changeset)"""
+          END AS outcome FROM {totals} s JOIN policy p ON p.org = {org}
+          LEFT JOIN (SELECT {key}, count(*) AS n, bool_and({'is_trivial' if key == 'changeset' else 'FALSE'}) AS t
+            FROM {changes} GROUP BY {key}) c ON c.{key} = s.{key})"""
 
 
 _TRIM = "[" + K.WHITE_SPACE + "]+"
@@ -349,15 +382,12 @@ _SELECTS: dict[str, str] = {
         {_IS_SOURCE} AS is_source, {_IS_NON_CODE} AS is_non_code FROM files""",
     "non_code_files": f"SELECT repo, path FROM files WHERE {_IS_NON_CODE}",
     "snapshot_changes": "SELECT repo, path, change_type FROM snap",
-    "range_changes": """SELECT repo, path FROM (SELECT v.repo, v.path,
-        max({'s': seq, 'n': ln, 'c': coalesce(content, '')}) FILTER (WHERE seq <= from_seq) AS b,
-        max({'s': seq, 'n': ln, 'c': coalesce(content, '')}) AS t
-        FROM versions v JOIN (SELECT repo, CAST(floor((min(seq) + max(seq)) / 2) AS BIGINT) AS from_seq
-          FROM versions GROUP BY repo) r ON v.repo = r.repo GROUP BY v.repo, v.path)
-        WHERE nullif(b.c, '') IS DISTINCT FROM nullif(t.c, '')""",
-    "commits_in_range": """SELECT c.repo, seq, regexp_extract(log_line, '^([0-9a-f]+) ', 1) AS hash,
+    "range_changes": "SELECT range, repo, path FROM range_files",
+    "commits_in_range": """SELECT range, c.repo, seq, regexp_extract(log_line, '^([0-9a-f]+) ', 1) AS hash,
         regexp_extract(log_line, '^[0-9a-f]+ (.+)$', 1) AS message FROM commit_log c JOIN
-        (SELECT repo, floor((min(seq) + max(seq)) / 2) AS lo, max(seq) AS hi FROM commit_log GROUP BY repo) r
+        (SELECT repo * 2 AS range, repo, (min(seq) + max(seq)) // 2 AS lo, max(seq) AS hi FROM commit_log GROUP BY repo
+         UNION ALL SELECT repo * 2 + 1, repo, (3 * min(seq) + max(seq)) // 4, (min(seq) + 3 * max(seq)) // 4
+         FROM commit_log GROUP BY repo) r
         ON c.repo = r.repo WHERE seq > lo AND seq <= hi AND regexp_matches(log_line, '^[0-9a-f]+ .+$')""",
     "changed_lines": """SELECT repo, path, CASE WHEN net > 0 THEN 'added' ELSE 'removed' END AS change,
         line, CAST(abs(net) AS BIGINT) AS copies FROM bag""",
@@ -401,7 +431,7 @@ _SELECTS: dict[str, str] = {
         FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)""",
     "secret_findings": "SELECT * FROM k_secrets",
     "diff_secret_findings": f"""SELECT changeset, part, 'HIGH' AS priority, 'security' AS pillar,
-        CAST(NULL AS VARCHAR) AS location, CAST(NULL AS INT) AS line_start, CAST(NULL AS INT) AS line_end,
+        '' AS location, CAST(0 AS INT) AS line_start, CAST(0 AS INT) AS line_end,
         '{K.DIFF_SECRET_TEXT}' AS description, '{K.DIFF_SECRET_FIX}' AS remediation, 'HIGH' AS severity
         FROM (SELECT changeset, part, unnest(string_split(diff, chr(10))) AS line FROM diffs)
         WHERE line LIKE '+%' AND ({_secret('substr(line, 2)')})""",
@@ -416,7 +446,8 @@ _SELECTS: dict[str, str] = {
     )
     + " FROM files) WHERE api_keys + passwords + sk_tokens + bearer_tokens + private_keys > 0",
     "truncated_locations": """SELECT repo, finding_id, CASE WHEN strlen(location) > 20
-        THEN location[1:17] || '...' ELSE location END AS location FROM findings_in""",
+        THEN list_max(list_transform(range(0, 18), lambda n: CASE WHEN strlen(location[1:n]) <= 17
+          THEN location[1:n] END)) || '...' ELSE location END AS location FROM findings_in""",
     "poor_names": "SELECT * FROM k_poor",
     "function_segments": "SELECT repo, path, line_start, line_end, header, body FROM k_functions",
     "nesting_depth": "SELECT repo, path, line_start, depth FROM k_depths",
@@ -469,8 +500,25 @@ _SELECTS: dict[str, str] = {
     "check_workspaces": """SELECT s.repo, static, architecture, security, total, llm_enhanced,
         CAST(CASE WHEN violation IS NOT NULL THEN 1 WHEN total < target_threshold THEN 2 ELSE 0 END AS INT)
         AS exit_code FROM o_enhanced s JOIN violations v ON v.org = 'org' || CAST(s.repo % 25 AS VARCHAR)""",
-    "check_changesets": _check_sets("TRUE"),
-    "check_ranges": _check_sets("FALSE"),
+    "check_changesets": _check(
+        "changeset", "set_totals", "pushed", "'org' || CAST(s.changeset % 25 AS VARCHAR)", "TRUE"
+    ),
+    "check_ranges": _check(
+        "range", "range_totals", "range_files", "'org' || CAST(s.range // 2 % 25 AS VARCHAR)", "FALSE"
+    ),
+    "flow_findings": """SELECT * FROM o_found UNION ALL SELECT r.* FROM remarks r
+        WHERE 'org' || CAST(r.repo % 25 AS VARCHAR) IN (SELECT org FROM senders)
+        AND r.repo IN (SELECT repo FROM repos)""",
+    "blocking_findings": """SELECT f.* FROM k_found f JOIN judged j ON f.repo = j.repo
+        WHERE f.severity IN ('CRITICAL', 'HIGH') AND violation IS NULL AND fail_on_critical_security
+        AND j.total >= target_threshold""",
+    "stream_findings": "SELECT * FROM k_found",
+    "unmatched_by_policy": """SELECT r.repo, g.pattern,
+        'exclusion pattern matched no files: ' || g.pattern AS warning
+        FROM repos r JOIN policy p ON p.org = 'org' || CAST(r.repo % 25 AS VARCHAR) AND p.readable
+        JOIN (VALUES (0, '**/vendor/**', '(^|/)vendor/'), (1, 'src/*.rs', '^src/[^/]*\\.rs$'),
+          (1, '{a,b}/**', '^(a|b)/')) g(k, pattern, rx) ON g.k = p.k % 3
+        WHERE NOT EXISTS (SELECT 1 FROM files f WHERE f.repo = r.repo AND regexp_matches(f.path, g.rx))""",
     "score_regression": """SELECT repo, base_total, target_total, tier, target_total - base_total AS delta,
         target_total < base_total AS regressed,
         tier = 'Critical Remediate Status' OR (tier = 'Technical Debt Alert' AND target_total < base_total)
@@ -516,14 +564,12 @@ _SELECTS: dict[str, str] = {
           coalesce(architecture_deduction, 0))) AS architecture,
         verification, security, f.review_id IS NOT NULL AS llm_enhanced
         FROM k_scores s LEFT JOIN firsts f ON f.review_id = s.repo)""",
-    "review_findings": """SELECT review_id AS repo, 'HIGH' AS priority, 'static' AS pillar,
-        'main.go:lines 3-9' AS location, CAST(0 AS INT) AS line_start, CAST(0 AS INT) AS line_end,
-        'Poor function naming' AS description, 'Rename' AS remediation, CAST(NULL AS VARCHAR) AS severity
-        FROM firsts WHERE raw LIKE '%main.go%'""",
-    "ranked_findings": """SELECT *, CAST(coalesce(list_position(['CRITICAL', 'HIGH', 'MEDIUM', 'LOW'],
+    "review_findings": "SELECT * FROM remarks",
+    "ranked_findings": """SELECT *, row_number() OVER (PARTITION BY repo ORDER BY rank, location) AS position
+        FROM (SELECT *, CAST(coalesce(list_position(['CRITICAL', 'HIGH', 'MEDIUM', 'LOW'],
           upper(priority)) - 1, 4) AS INT) AS rank,
         CASE WHEN upper(priority) IN ('CRITICAL', 'HIGH', 'MEDIUM', 'LOW') THEN upper(priority)
-          ELSE priority END AS label FROM findings_in""",
+          ELSE priority END AS label FROM findings_in)""",
     "top_findings": """SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY repo ORDER BY rank, location)
         AS INT) AS position FROM (SELECT *, CAST(coalesce(list_position(['CRITICAL', 'HIGH', 'MEDIUM', 'LOW'],
           upper(priority)) - 1, 4) AS INT) AS rank FROM findings_in)) WHERE position <= 3""",
@@ -534,13 +580,18 @@ _SELECTS: dict[str, str] = {
     "daily_scores": """SELECT repo, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n,
         round(sum(total) / count(*), 6) AS mean, min(total) AS least FROM score_history
         GROUP BY repo, CAST(ts AS DATE)""",
-    "report_json": f"""SELECT s.repo, CAST(0 AS INT) AS part, s.total, s.security, '{RUN_TS}' AS ts,
-        CAST(count(f.repo) AS INT) AS n_findings, count(f.repo) = 0 AS is_null,
-        arg_min(f.location, f.o) AS first_location, arg_min(f.line_start, f.o) AS first_line,
-        coalesce(bool_or(f.severity IS NOT NULL), FALSE) AS has_severity
-        FROM k_scores s LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY repo
-          ORDER BY string_split(location, '/'), CASE pillar WHEN 'security' THEN 0 ELSE 1 END, line_start) AS o
-          FROM k_found) f ON f.repo = s.repo GROUP BY s.repo, s.total, s.security""",
+    "report_json": f"""SELECT s.repo, CAST(0 AS BIGINT) AS n, '{{"total":' || CAST(total AS VARCHAR)
+        || ',"pillars":{{"architecture":' || CAST(architecture AS VARCHAR) || ',"security":' || CAST(security AS VARCHAR)
+        || ',"static":' || CAST(static AS VARCHAR) || ',"verification":' || CAST(verification AS VARCHAR)
+        || '}},"findings":' || CASE WHEN any_found THEN '[' ELSE 'null' END AS text FROM markdown_frame s
+        UNION ALL SELECT repo, o, CASE WHEN o > 1 THEN ',' ELSE '' END || '{{"priority":"' || priority
+        || '","pillar":"' || pillar || '","location":"' || location || '","line_start":' || CAST(line_start AS VARCHAR)
+        || ',"line_end":' || CAST(line_end AS VARCHAR) || ',"description":"' || description || '","remediation":"'
+        || remediation || '"' || CASE WHEN severity IS NULL THEN '' ELSE ',"severity":"' || severity || '"' END || '}}'
+        FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY string_split(location, '/'),
+          CASE pillar WHEN 'security' THEN 0 ELSE 1 END, line_start) AS o FROM k_found)
+        UNION ALL SELECT s.repo, (SELECT count(*) FROM k_found f WHERE f.repo = s.repo) + 1,
+        CASE WHEN any_found THEN ']' ELSE '' END || ',"llm_enhanced":false,"timestamp":"{RUN_TS}"}}' FROM markdown_frame s""",
     "report_markdown": " UNION ALL ".join(
         [
             _md_block(0, _MD_HEAD, "TRUE"),
@@ -560,7 +611,9 @@ _SELECTS: dict[str, str] = {
             '- **' || priority || '** (' || location || '): ' || remediation FROM k_ranked""",
         ]
     ),
-    "read_reports": "SELECT repo, total, total AS recomputed FROM k_scores",
+    "read_reports": """SELECT s.repo, s.total, s.total AS recomputed, count(f.repo) AS n_findings,
+        nullif(count(f.repo), 0) AS last_place, s.security FROM k_scores s LEFT JOIN k_found f ON f.repo = s.repo
+        GROUP BY s.repo, s.total, s.security""",
     "stream_secret_lines": f"""SELECT repo, path, ln, line, CAST(CASE
         WHEN regexp_matches(line, {_re2(K.FOLD + K.SECRET_PATTERNS[0])}) THEN 1
         WHEN regexp_matches(line, {_re2(K.FOLD + K.SECRET_PATTERNS[1])}) THEN 2 ELSE 3 END AS INT) AS pattern
@@ -588,4 +641,25 @@ def _with_ctes(select: str) -> str:
     return f"WITH {body}\n{select}" if needed else select
 
 
+_CTES["asked"] = f"SELECT repo, CAST(length(payload) AS BIGINT) AS n FROM ({_SELECTS['review_requests']})"
+_SELECTS |= {
+    "batch_review": """SELECT repo, CAST(CASE WHEN n < 60 THEN 3 ELSE 1 END AS INT) AS attempt,
+        CASE WHEN n < 60 THEN 'I cannot evaluate this code, sorry.' ELSE
+          '{"pillar_adjustments":{"static_health_deduction":' || CAST(n // 100 * CAST(0.5 AS DOUBLE) AS VARCHAR) || '}}'
+        END AS raw, n >= 60 AS ok, CASE WHEN n < 60 THEN CAST(0 AS DOUBLE) ELSE n // 100 * CAST(0.5 AS DOUBLE) END
+        AS static_deduction, CAST(0 AS DOUBLE) AS architecture_deduction FROM asked""",
+    "standard_scores": f"""SELECT *, round(static + architecture + verification + security, 6) AS total FROM (
+        SELECT r.repo, round(coalesce(style + linter + dead_code, 20), 6) AS static,
+        round(coalesce(cyclomatic + cognitive, 25), 6) AS architecture,
+        round(coalesce(base_points, 35) * CASE WHEN cov < 80 THEN CAST(0.8 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END, 6)
+          AS verification,
+        CASE WHEN EXISTS (SELECT 1 FROM sast b WHERE b.repo = r.repo AND upper(severity) IN ('CRITICAL', 'HIGH'))
+          THEN CAST(0 AS DOUBLE) ELSE CAST(10 AS DOUBLE) END
+        + CASE WHEN EXISTS (SELECT 1 FROM sca h WHERE h.repo = r.repo AND is_open)
+          THEN CAST(0 AS DOUBLE) ELSE CAST(10 AS DOUBLE) END AS security
+        FROM repos r LEFT JOIN ({_SELECTS['static_subscores']}) st ON st.repo = r.repo
+        LEFT JOIN ({_SELECTS['architecture_subscores']}) ar ON ar.repo = r.repo
+        LEFT JOIN ({_SELECTS['farley_index']}) fa ON fa.repo = r.repo
+        LEFT JOIN (SELECT repo, min(mutation_coverage) AS cov FROM test_quality GROUP BY repo) c ON c.repo = r.repo)""",
+}
 ORACLES: dict[str, str] = {name: _with_ctes(sql) for name, sql in _SELECTS.items()}

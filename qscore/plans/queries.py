@@ -16,7 +16,7 @@ from qscore.operators import ranking as rnk
 from qscore.operators import review as rev
 from qscore.operators import scoring as scr
 from qscore.plans import corpus, flows
-from qscore.shared import fresh_path, materialize, use_all_cores
+from qscore.shared import fresh_path, materialize
 from qscore.sources import commits as cmt
 from qscore.sources import files as fls
 from qscore.sources import policies as pol
@@ -61,10 +61,13 @@ def _org_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scr.score(_findings(spark, sf_dir), corpus.repos(spark, sf_dir), blocking=True)
 
 
-def _range(df: DataFrame) -> DataFrame:
-    """Per repo: from the middle of its sequence numbers to the last one."""
-    return df.groupBy("repo").agg(
-        F.floor((F.min("seq") + F.max("seq")) / 2).alias("from_seq"), F.max("seq").alias("to_seq")
+def _ranges(df: DataFrame) -> DataFrame:
+    """Two ranges per repo that overlap: the later half of its sequence numbers, and the middle half."""
+    ends = df.groupBy("repo").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
+    return ends.selectExpr(
+        "repo", "'org' || CAST(repo % 25 AS STRING) AS org",
+        "inline(array(struct(repo * 2 AS range, (lo + hi) div 2 AS from_seq, hi AS to_seq),"
+        " struct(repo * 2 + 1 AS range, (3 * lo + hi) div 4 AS from_seq, (lo + 3 * hi) div 4 AS to_seq)))",
     )
 
 
@@ -90,7 +93,13 @@ def exclude_paths_by_policy(spark, sf_dir):
 @query
 def unmatched_exclusions(spark, sf_dir):
     globs = [*K.DEFAULT_EXCLUSIONS, "**/nonexistent/**", "src/*.{py,rs}", "src/f?.go"]
-    return fls.unmatched_exclusions(corpus.files(spark, sf_dir), globs)
+    return fls.unmatched_exclusions(corpus.files(spark, sf_dir), globs, dimension=_repos(spark, sf_dir))
+
+
+@query
+def unmatched_by_policy(spark, sf_dir):
+    patterns = pol.exclusion_patterns(_policies(spark, sf_dir))
+    return fls.unmatched_by_policy(corpus.files(spark, sf_dir), corpus.repos(spark, sf_dir), patterns)
 
 
 @query
@@ -116,16 +125,24 @@ def snapshot_changes(spark, sf_dir):
     )
 
 
+_VERSION = ("seq", "ln", "nr")
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions of files, each once: rows that repeat a version are alike."""
+    return corpus.view(spark, sf_dir, "versions").dropDuplicates([*_FILE, *_VERSION])
+
+
 @query
 def range_changes(spark, sf_dir):
-    versions = corpus.view(spark, sf_dir, "versions")
-    return chg.range_changes(versions, _range(versions), order=("seq", "ln"))
+    versions = _versions(spark, sf_dir)
+    return chg.range_changes(versions, _ranges(versions), order=_VERSION).drop("_last")
 
 
 @query
 def commits_in_range(spark, sf_dir):
     log = corpus.view(spark, sf_dir, "commit_log")
-    return cmt.commits_in_range(log, _range(log))
+    return cmt.commits_in_range(log, _ranges(log).drop("org"))
 
 
 def _changed(base: DataFrame, target: DataFrame) -> DataFrame:
@@ -310,6 +327,21 @@ def security_subscores(spark, sf_dir):
     )
 
 
+@query
+def standard_scores(spark, sf_dir):
+    dimension = _repos(spark, sf_dir)
+    quality = corpus.view(spark, sf_dir, "test_quality")
+    coverage = quality.groupBy("repo").agg(F.min("mutation_coverage").alias("mutation_coverage"))
+    return scr.standard_scores(
+        dimension,
+        scr.static_subscores(corpus.view(spark, sf_dir, "lint")),
+        scr.architecture_subscores(fnd.function_measures(_sources(spark, sf_dir))),
+        scr.farley_index(quality),
+        scr.security_subscores(dimension, corpus.view(spark, sf_dir, "sast"), corpus.view(spark, sf_dir, "sca")),
+        coverage.withColumn("mutation_floor", F.lit(K.DEFAULT_MUTATION_FLOOR)),
+    )
+
+
 @query
 def tiers(spark, sf_dir):
     return scr.tiers(corpus.view(spark, sf_dir, "score_history"))
@@ -358,13 +390,33 @@ def _pushes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
 
 @query
 def check_changesets(spark, sf_dir):
-    return flows.check_changesets(*_pushes(spark, sf_dir), _policies(spark, sf_dir))
+    evaluations = _evaluations(spark, sf_dir).withColumnRenamed("review_id", "changeset")
+    return flows.check_changesets(
+        *_pushes(spark, sf_dir), _policies(spark, sf_dir), evaluations=evaluations
+    )
+
+
+@query
+def flow_findings(spark, sf_dir):
+    evaluations = _evaluations(spark, sf_dir).withColumnRenamed("review_id", "repo")
+    return flows.workspace_findings(
+        corpus.files(spark, sf_dir), corpus.repos(spark, sf_dir), _policies(spark, sf_dir), evaluations
+    )
+
+
+@query
+def blocking_findings(spark, sf_dir):
+    found = materialize(_findings(spark, sf_dir), "findings")
+    scores = scr.score(found, corpus.repos(spark, sf_dir), blocking=True)
+    return gt.blocking_findings(scores, found, _policies(spark, sf_dir))
 
 
 @query
 def check_ranges(spark, sf_dir):
-    return flows.check_changesets(
-        *_pushes(spark, sf_dir), _policies(spark, sf_dir), skip_trivial=False
+    versions = _versions(spark, sf_dir)
+    evaluations = _evaluations(spark, sf_dir).withColumnRenamed("review_id", "range")
+    return flows.check_ranges(
+        _ranges(versions), versions, _policies(spark, sf_dir), order=_VERSION, evaluations=evaluations
     )
 
 
@@ -392,7 +444,7 @@ def structural_duplicates(spark, sf_dir):
 @query
 def near_duplicates(spark, sf_dir):
     docs = corpus.view(spark, sf_dir, "documents_in").select("doc_id", "text")
-    return dup.near_duplicates(use_all_cores(docs, "doc_id"))
+    return dup.near_duplicates(docs)
 
 
 # ---------------------------------------------------------------------------- reviews
@@ -425,8 +477,9 @@ def batch_review(spark, sf_dir):
     return rev.parse_reviews(answers.drop("ok")).drop("remediations")
 
 
-def _reviewer(prompt: str, payload: str) -> str:
-    """Stands for a model: half a point per 100 bytes; never answers a very short payload."""
+def _reviewer(request: dict) -> str:
+    """Stands for a model: half a point per 100 characters; never answers a very short payload."""
+    payload = request["payload"]
     if len(payload) < 60:
         return "I cannot evaluate this code, sorry."
     return '{"pillar_adjustments":{"static_health_deduction":%s}}' % (len(payload) // 100 * 0.5)
@@ -504,24 +557,7 @@ def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query
 def report_json(spark, sf_dir):
-    reports = rpt.json_reports(*_scored(spark, sf_dir), RUN_TS)
-    parsed = F.from_json(
-        "report",
-        "total double, pillars map<string,double>, llm_enhanced boolean, timestamp string, "
-        "findings array<struct<location:string, line_start:int, severity:string>>",
-    )
-    return reports.withColumn("r", parsed).select(
-        "repo",
-        "part",
-        F.col("r.total").alias("total"),
-        F.col("r.pillars")["security"].alias("security"),
-        F.col("r.timestamp").alias("ts"),
-        F.coalesce(F.size("r.findings"), F.lit(0)).alias("n_findings"),
-        F.col("r.findings").isNull().alias("is_null"),
-        F.get("r.findings", F.lit(0))["location"].alias("first_location"),
-        F.get("r.findings", F.lit(0))["line_start"].alias("first_line"),
-        F.col("report").contains('"severity"').alias("has_severity"),
-    )
+    return rpt.json_lines(*_scored(spark, sf_dir), RUN_TS)
 
 
 @query
@@ -532,13 +568,14 @@ def report_markdown(spark, sf_dir):
 @query
 def read_reports(spark, sf_dir):
     path = fresh_path(spark, "reports")
-    rpt.write_json_reports(rpt.json_reports(*_scored(spark, sf_dir), RUN_TS), path)
+    rpt.write_reports(*_scored(spark, sf_dir), RUN_TS, path)
     scores, findings = rpt.read_reports(spark, path)
     counts = scr.finding_counts(findings, ["repo"])
-    again = scr.pillar_scores(scores.select("repo"), counts, ["repo"])
-    return scores.select(F.col("repo").cast("bigint").alias("repo"), "total").join(
-        again.select(F.col("repo").cast("bigint").alias("repo"), F.col("total").alias("recomputed")),
-        "repo",
+    again = scr.pillar_scores(scores.select("repo"), counts, ["repo"]).withColumnRenamed("total", "recomputed")
+    places = findings.groupBy("repo").agg(F.count(F.lit(1)).alias("n_findings"), F.max("place").alias("last_place"))
+    return scores.join(again.select("repo", "recomputed"), "repo").join(places, "repo", "left").select(
+        F.col("repo").cast("bigint").alias("repo"), "total", "recomputed",
+        F.coalesce("n_findings", F.lit(0)).alias("n_findings"), "last_place", "security",
     )
 
 
@@ -565,20 +602,27 @@ def stream_secret_lines(spark, sf_dir):
     return spark.read.schema(found.schema).parquet(out)
 
 
+def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that arrive one batch after the other: written in several parts, one part per batch."""
+    path = fresh_path(spark, "arrivals")
+    files = corpus.files(spark, sf_dir)
+    files.repartition(4, "path").write.parquet(path)
+    return spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @query
-def stream_repo_scores(spark, sf_dir):
-    source, columns = corpus.VIEWS["code_lines"]
-    lines = _stream(spark, sf_dir, source).selectExpr(
-        *[c.replace("{S}", "STRING") for c in columns]
-    )
+def stream_findings(spark, sf_dir):
+    found = std.stream_findings(_arrivals(spark, sf_dir))
+    out, log = fresh_path(spark, "findings"), fresh_path(spark, "log")
+    _run(std.append_to(found, out, log, once=True))
+    return spark.read.schema(found.schema).parquet(out)
 
-    def score(pushed: DataFrame) -> DataFrame:
-        kept = fls.source_files(fls.exclude(corpus.as_files(pushed)))
-        return scr.score(fnd.findings(kept), pushed.select("repo").distinct())
 
-    out, log = fresh_path(spark, "scores"), fresh_path(spark, "log")
-    _run(std.score_batches(lines, score, out, log, once=True))
-    return spark.read.parquet(out).drop("batch")
+@query
+def stream_repo_scores(spark, sf_dir):
+    out, log = fresh_path(spark, "counts"), fresh_path(spark, "log")
+    _run(std.count_batches(_arrivals(spark, sf_dir), out, log, once=True))
+    return std.accumulated_scores(spark, out, _repos(spark, sf_dir))
 
 
 @query

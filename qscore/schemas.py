@@ -8,11 +8,7 @@ FINDING_FIELDS = (
     "description string, remediation string, severity string"
 )
 
-SCORE = (
-    "repo string, total double, pillars map<string,double>, "
-    f"findings array<struct<{FINDING_FIELDS.replace(' string', ':string').replace(' int', ':int')}>>, "
-    "llm_enhanced boolean, timestamp timestamp"
-)
+SCORE = "repo string, total double, pillars map<string,double>, llm_enhanced boolean, timestamp timestamp"
 
 # One organisation's policy file. Booleans keep three states (null, true, false).
 POLICY = (

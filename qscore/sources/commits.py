@@ -25,11 +25,13 @@ def commits(log: DataFrame) -> DataFrame:
 
 
 def commits_in_range(log: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Commits after ``from_seq`` up to ``to_seq``; ``ranges`` has one row per repo.
+    """Commits after ``from_seq`` up to ``to_seq``; ``ranges`` has (repo, from_seq, to_seq) and
+    may have a ``range`` that names them; then a commit is given once per range that holds it.
 
     A repo with most of the log is spread over many tasks.
     """
     found = join_few(commits(log), ranges, "repo", spread=("seq",))
+    named = ["range"] if "range" in ranges.columns else []
     return found.where((F.col("seq") > F.col("from_seq")) & (F.col("seq") <= F.col("to_seq"))).select(
-        "repo", "seq", "hash", "message"
+        *named, "repo", "seq", "hash", "message"
     )

@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType
 from qscore import constants as K
 from qscore.functions import paths
 from qscore.operators.skew import join_few
+from qscore.sources.policies import exclusion_patterns
 
 # "file:/a", "file:///a" and "scheme://host/a" all become absolute paths.
 _SCHEME = re.compile("^[A-Za-z0-9]+:/*")
@@ -87,12 +88,19 @@ def policy_regexes(patterns: DataFrame, key: str = "repo") -> DataFrame:
     )
 
 
+def exclusion_rules(repos: DataFrame, policies: DataFrame, on: str = "org") -> DataFrame:
+    """(repo, regex): what the policy of a repo's owner excludes. ``repos``: (repo, ``on``)."""
+    rules = policy_regexes(exclusion_patterns(policies, on), key=on)
+    return repos.select("repo", on).join(rules, on).select("repo", "regex")
+
+
 def unmatched_exclusions(
-    files: DataFrame, patterns: Sequence[str], keys: Sequence[str] = ("repo",)
+    files: DataFrame, patterns: Sequence[str], keys: Sequence[str] = ("repo",), dimension: DataFrame | None = None
 ) -> DataFrame:
     """One row per key and glob that matched no file of that key, with the warning text.
 
-    One pass over the paths with a flag per glob; flags combine before the shuffle.
+    One pass over the paths with a flag per glob; flags combine before the shuffle. Keys of
+    ``dimension`` without any file have no match either; without it, keys are those of the files.
     """
     flags = [
         F.max(paths.matches_any(F.col("path"), [p])).alias(f"_m{i}")
@@ -104,11 +112,13 @@ def unmatched_exclusions(
             for i, p in enumerate(patterns)
         ]
     )
+    flagged = files.groupBy(*keys).agg(*flags)
+    if dimension is not None:
+        flagged = dimension.select(*keys).join(flagged, list(keys), "left")
     return (
-        files.groupBy(*keys)
-        .agg(*flags)
+        flagged
         .select(*keys, F.inline(hits))
-        .where(~F.col("hit"))
+        .where(~F.coalesce("hit", F.lit(False)))
         .select(
             *keys,
             "pattern",
@@ -117,6 +127,22 @@ def unmatched_exclusions(
     )
 
 
+def unmatched_by_policy(files: DataFrame, owners: DataFrame, patterns: DataFrame, on: str = "org") -> DataFrame:
+    """As :func:`unmatched_exclusions`, with the globs of each repo's own policy.
+
+    ``owners``: (repo, ``on``), every repo; ``patterns``: (``on``, pattern). A malformed glob matches
+    nothing. Paths are matched once per glob of their repo, and matches are counted before the shuffle.
+    """
+    compiled = patterns.select(on, "pattern", _compiled("pattern").alias("_rx")).distinct()
+    wanted = owners.select("repo", on).join(compiled, on).select("repo", "pattern", "_rx")
+    owned = join_few(files.select("repo", "path"), wanted, "repo", ("path",))
+    matched = owned.where(F.rlike("path", F.col("_rx"))).select("repo", "pattern").distinct()
+    return (
+        wanted.join(matched, ["repo", "pattern"], "left_anti")
+        .select("repo", "pattern", F.concat(F.lit(K.UNMATCHED_PATTERN_TEXT), "pattern").alias("warning"))
+    )
+
+
 def source_files(files: DataFrame) -> DataFrame:
     return files.where(paths.is_source(F.col("path")))
 

@@ -15,6 +15,8 @@ _TEXTS = {
     )
 }
 
+_LISTS = (".exclusions.paths", ".gate.llm.oauth_scopes")
+
 
 def read_policies(spark: SparkSession, root: str) -> DataFrame:
     """(org, raw) from ``<root>/<org>/<any name>.json``."""
@@ -34,7 +36,7 @@ def flatten(raw_policies: DataFrame, key: str = "org") -> DataFrame:
     Absent keys become zero values, not defaults: without ``target_threshold`` everything
     passes. The two privacy switches and the hard-fail switch stay null when absent.
     """
-    p = raw_policies.select(key, strict(F.col("raw"), schemas.POLICY, _TEXTS).alias("p"))
+    p = raw_policies.select(key, strict(F.col("raw"), schemas.POLICY, _TEXTS, _LISTS).alias("p"))
 
     def text(name: str):
         return F.coalesce(F.col(f"p.gate.llm.{name}"), F.lit("")).alias(name)

@@ -9,85 +9,90 @@ from qscore.functions.paths import walk_order
 from qscore.functions.text import number_text
 from qscore.operators.ranking import rank
 from qscore.operators.scoring import PILLARS
-from qscore.operators.skew import join_few
+from qscore.operators.skew import positions
 
-# Findings in one JSON report. A repo with more gets several, with the same head.
-FINDINGS_PER_REPORT = 10_000
+_FIELDS = ("priority", "pillar", "location", "line_start", "line_end", "description", "remediation", "severity")
 
 
-def json_reports(
-    scores: DataFrame, findings: DataFrame, run_ts: str, per_report: int = FINDINGS_PER_REPORT
-) -> DataFrame:
-    """(repo, part, n_parts, report): JSON text per score.
-
-    Keys are total, pillars, findings, llm_enhanced, timestamp; ``findings`` is null when
-    there are none, ``severity`` is left out when it is null. Findings come in file walk
-    order, secrets before nesting. All findings are kept: above ``per_report`` they are
-    dealt out over parts, so no row and no task holds a whole very large repo.
-    """
-    counted = findings.groupBy("repo").agg(F.count(F.lit(1)).alias("_n"))
-    parts = counted.select("repo", F.ceil(F.col("_n") / per_report).cast("int").alias("n_parts"))
-    share = F.xxhash64("location", "line_start", "line_end", "description")
-    placed = join_few(
-        findings, parts, "repo", spread=("location", "line_start"), sizes=counted
-    ).withColumn("part", F.pmod(share, F.col("n_parts")).cast("int"))
-    fields = ("priority", "pillar", "location", "line_start", "line_end", "description", "remediation", "severity")
-    discovery = F.struct(
-        walk_order(F.col("location")).alias("_w"),
-        (F.col("pillar") != K.SECURITY).alias("_k"),
-        F.col("line_start").alias("_l"),
-        F.struct(*[F.col(c) for c in fields]).alias("finding"),
+def _complete(findings: DataFrame) -> DataFrame:
+    """Absent texts are empty and absent numbers 0; only a severity may be absent."""
+    kinds = dict(findings.dtypes)
+    return findings.withColumns(
+        {
+            c: F.coalesce(c, F.lit(0 if kinds[c] in ("int", "bigint") else "").cast(kinds[c]))
+            for c in _FIELDS
+            if c != "severity"
+        }
     )
-    # Dealt out explicitly, in case findings already lie together by repo.
-    grouped = placed.repartition("repo", "part").groupBy("repo", "part").agg(
-        F.first("n_parts").alias("n_parts"), F.sort_array(F.collect_list(discovery)).alias("_f")
-    )
-    known = F.transform("_f", lambda f: f["finding"])
+
+
+def _discovered(findings: DataFrame) -> DataFrame:
+    """Findings with their place in the order of discovery: file walk, secrets before nesting, line."""
+    order = {
+        "_walk": walk_order(F.col("location")),
+        "_kind": F.col("pillar") != K.SECURITY,
+        "_line": F.col("line_start"),
+        "_rest": F.struct(*[F.col(c) for c in _FIELDS]),
+    }
+    return positions(_complete(findings).withColumns(order), "repo", tuple(order), "place").drop(*order)
+
+
+def _head(scores: DataFrame, run_ts: str) -> tuple[Column, Column]:
+    """JSON of what stands before the findings of a report and of what stands behind them."""
     enhanced = F.col("llm_enhanced") if "llm_enhanced" in scores.columns else F.lit(False)
     pillars = F.create_map(*[c for p in sorted(PILLARS) for c in (F.lit(p), F.col(p))])
-    head = F.to_json(F.struct("total", pillars.alias("pillars")))
-    tail = F.to_json(
-        F.struct(enhanced.alias("llm_enhanced"), F.lit(run_ts).alias("timestamp"))
-    )
-    listed = F.coalesce(F.to_json(known), F.lit("null"))
-    report = F.concat(
-        F.regexp_replace(head, r"\}\z", ""),
-        F.lit(',"findings":'),
-        listed,
-        F.lit(","),
-        F.substring(tail, 2, 2**31 - 1),
-    )
-    return scores.join(grouped, "repo", "left").select(
-        "repo",
-        F.coalesce("part", F.lit(0)).alias("part"),
-        F.coalesce("n_parts", F.lit(1)).alias("n_parts"),
-        report.alias("report"),
-    )
+    front = F.to_json(F.struct("total", pillars.alias("pillars")))
+    return front, F.to_json(F.struct(enhanced.alias("llm_enhanced"), F.lit(run_ts).alias("timestamp")))
+
 
+def json_lines(scores: DataFrame, findings: DataFrame, run_ts: str) -> DataFrame:
+    """JSON reports in pieces: (repo, n, text); the texts of a repo in the order of n are its report.
 
-def write_json_reports(reports: DataFrame, path: str) -> None:
-    """One JSON object per line: ``repo`` in front of the report's own keys."""
-    quoted = F.concat(
-        F.regexp_replace(
-            F.to_json(F.struct(F.col("repo").cast("string").alias("repo"))), r"\}\z", ","
+    Keys are total, pillars, findings, llm_enhanced, timestamp; ``findings`` is null when
+    there are none, ``severity`` is left out when it is null. Findings come in the order of
+    discovery, one piece each, so that no row and no task holds a whole very large repo.
+    """
+    found = _discovered(findings)
+    counted = found.groupBy("repo").agg(F.max("place").alias("_n"))
+    front, back = _head(scores, run_ts)
+    some = F.col("_n") > 0
+    opening = F.concat(F.regexp_replace(front, r"\}\z", ""), F.lit(',"findings":'), F.when(some, "[").otherwise("null"))
+    closing = F.concat(F.when(some, "],").otherwise(","), F.substring(back, 2, 2**31 - 1))
+    frame = scores.join(counted, "repo", "left").withColumn("_n", F.coalesce("_n", F.lit(0).cast("long")))
+    ends = frame.select(
+        "repo",
+        F.inline(
+            F.array(
+                F.struct(F.lit(0).cast("long").alias("n"), opening.alias("text")),
+                F.struct((F.col("_n") + 1).alias("n"), closing.alias("text")),
+            )
         ),
-        F.substring("report", 2, 2**31 - 1),
     )
-    reports.select(quoted.alias("value")).write.text(path)
+    one = F.to_json(F.struct(*[F.col(c) for c in _FIELDS]))
+    listed = found.select(
+        "repo", F.col("place").alias("n"), F.concat(F.when(F.col("place") > 1, ",").otherwise(""), one).alias("text")
+    )
+    return ends.unionByName(listed)
+
+
+def write_reports(scores: DataFrame, findings: DataFrame, run_ts: str, path: str) -> None:
+    """An archive of reports below ``path``: ``scores`` has one JSON object per repo, ``findings`` one per
+    finding, with its place."""
+    front, back = _head(scores, run_ts)
+    repo = F.regexp_replace(F.to_json(F.struct(F.col("repo").cast("string").alias("repo"))), r"\}\z", ",")
+    front, back = F.regexp_replace(F.substring(front, 2, 2**31 - 1), r"\}\z", ","), F.substring(back, 2, 2**31 - 1)
+    scores.select(F.concat(repo, front, back).alias("value")).write.text(f"{path}/scores")
+    rows = _discovered(findings).select(F.col("repo").cast("string").alias("repo"), "place", *_FIELDS)
+    rows.select(F.to_json(F.struct("*")).alias("value")).write.text(f"{path}/findings")
 
 
 def read_reports(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(scores, findings) of archived JSON reports; a report without findings is kept."""
-    raw = spark.read.schema(schemas.SCORE).json(path)
+    """(scores, findings) of an archive: one score per repo and report, however many its findings."""
+    raw = spark.read.schema(schemas.SCORE).json(f"{path}/scores")
     scores = raw.select(
-        "repo",
-        "total",
-        *[F.col("pillars")[p].alias(p) for p in PILLARS],
-        "llm_enhanced",
-        "timestamp",
+        "repo", "total", *[F.col("pillars")[p].alias(p) for p in PILLARS], "llm_enhanced", "timestamp"
     )
-    findings = raw.select("repo", "timestamp", F.inline("findings"))
-    return scores, findings
+    return scores, spark.read.schema(f"repo string, place long, {schemas.FINDING_FIELDS}").json(f"{path}/findings")
 
 
 # -------------------------------------------------------------------------- Markdown
@@ -109,6 +114,7 @@ def markdown_lines(scores: DataFrame, findings: DataFrame) -> DataFrame:
     with very many findings spread over tasks; :func:`write_markdown` puts lines in order.
     Findings are sorted by priority, ties by location and line.
     """
+    findings = _complete(findings)
     one = lambda c: number_text(F.col(c), 1)
     head = [F.lit(t) if "{" not in t else F.concat(F.lit("**Quality Score: "), one("total"), F.lit(" / 100**")) for t in _HEAD]
     head += [

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from qscore import constants as K
 from qscore.functions import paths, text
 from qscore.operators.findings import DEFAULT_DETECTORS, findings
+from qscore.operators.scoring import finding_counts, pillar_scores
 from qscore.sources.files import exclude, source_files
 
 
+_FILE = ("repo", "path")
+
+
 def stream_findings(
     files: DataFrame, detectors=DEFAULT_DETECTORS, exclusions=K.DEFAULT_EXCLUSIONS
 ) -> DataFrame:
@@ -41,22 +43,36 @@ def append_to(stream: DataFrame, path: str, checkpoint: str, once: bool = False)
     return writer.start(path)
 
 
-def score_batches(
+def count_batches(
     arrivals: DataFrame,
-    score: Callable[[DataFrame], DataFrame],
     path: str,
     checkpoint: str,
     once: bool = False,
+    detectors=DEFAULT_DETECTORS,
+    exclusions=K.DEFAULT_EXCLUSIONS,
 ) -> StreamingQuery:
-    """Score each micro-batch of pushes with a batch plan and write it under its batch number.
-
-    A batch that is run again after a failure replaces its own folder.
-    """
+    """Count the findings of each arriving file (repo, path, content), one row per file and batch, files
+    without findings included. A batch that is run again after a failure replaces its own folder."""
 
     def write(batch: DataFrame, number: int) -> None:
-        score(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        kept = source_files(exclude(batch, exclusions))
+        counts = finding_counts(findings(kept, detectors, keys=_FILE), _FILE)
+        known = kept.select(*_FILE).distinct().join(counts, list(_FILE), "left")
+        known.fillna(0).fillna(False).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     writer = arrivals.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if once:
         writer = writer.trigger(availableNow=True)
     return writer.start()
+
+
+def accumulated_scores(spark: SparkSession, path: str, dimension: DataFrame) -> DataFrame:
+    """Scores of the repos in ``dimension`` from all batches so far: a file counts as it arrived last."""
+    rows = spark.read.parquet(path)
+    counts = ("n_static", "n_architecture", "has_breach")
+    last = rows.groupBy(*_FILE).agg(F.max_by(F.struct(*counts), "batch").alias("_c")).select("repo", "_c.*")
+    per_repo = last.groupBy("repo").agg(
+        F.sum("n_static").alias("n_static"), F.sum("n_architecture").alias("n_architecture"),
+        F.bool_or("has_breach").alias("has_breach"),
+    )
+    return pillar_scores(dimension.select("repo"), per_repo, ["repo"])

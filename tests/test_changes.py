@@ -55,8 +55,16 @@ def test_range_ignores_what_was_changed_back(spark):
         ],
         "repo string, path string, seq long, content string",
     )
-    ranges = spark.createDataFrame([("r", 2, 8)], "repo string, from_seq long, to_seq long")
-    assert {r.path for r in chg.range_changes(versions, ranges).collect()} == {"new.go", "gone.go"}
+    ranges = spark.createDataFrame(
+        [("a", "r", 2, 8), ("b", "r", 5, 6), ("c", "r", 8, 8), ("d", "r", 6, 9)],
+        "range string, repo string, from_seq long, to_seq long",
+    )
+    got = {}
+    for r in chg.range_changes(versions, ranges).collect():
+        got.setdefault(r.range, {})[r.path] = r._last.seq
+    assert got == {
+        "a": {"new.go": 5, "gone.go": 7}, "b": {"back.go": 6, "brief.go": 6}, "d": {"gone.go": 7, "late.go": 9},
+    }
 
 
 def test_changed_lines_are_bags(spark):

@@ -133,7 +133,7 @@ def test_diff_secrets(spark):
     diff = '+++ b/password = "abcd"\n-password = "gone"\n password = "kept"\n+password = "added"\n+ok'
     rows = spark.createDataFrame([(1, diff)], "id int, diff string")
     got = fnd.diff_secrets(rows, ["id"]).collect()
-    assert len(got) == 2 and got[0].location is None and got[0].line_start is None
+    assert len(got) == 2 and (got[0].location, got[0].line_start, got[0].line_end) == ("", 0, 0)
 
 
 def test_partition_independence(spark, make_files):
@@ -149,6 +149,13 @@ def test_truncate(spark):
     rows = spark.createDataFrame([("short",), ("exactly-10",), ("more than ten",)], "s string")
     got = [r[0] for r in rows.select(text.truncate(F.col("s"), 10)).collect()]
     assert got == ["short", "exactly-10", "more th..."]
+    texts = ["é" * 40, "a" + "é" * 40, "日本語テキスト" * 4, "😀" * 9, "ab😀" * 5, "é" * 10]
+    rows = spark.createDataFrame([(t,) for t in texts], "s string")
+    for size in (4, 5, 6, 7, 12, 20):
+        for t, r in zip(texts, rows.select(text.truncate(F.col("s"), size)).collect()):
+            raw = t.encode()
+            want = t if len(raw) <= size else raw[: size - 3].decode(errors="ignore") + "..."
+            assert r[0] == want and len(r[0].encode()) <= max(size, len(raw) * (len(raw) <= size))
 
 
 def test_number_text(spark):

@@ -110,3 +110,31 @@ def test_scan(spark, tmp_path):
         ("r", "src/main.go", "content of src/main.go"),
         ("r", "src/deep/x.py", "content of src/deep/x.py"),
     }
+
+
+def test_sets_are_taken_member_by_member(spark):
+    from qscore.functions.paths import glob_regex
+
+    assert glob_regex("[z-a]/x") is None and glob_regex("[a-]") is None
+    rows = spark.createDataFrame([("a&&b",), ("&",), ("d",), ("5",), ("-",), ("b",), ("^",), ("]",)], "path string")
+
+    def hits(*globs):
+        return {r.path for r in rows.where(paths.matches_any(F.col("path"), globs)).collect()}
+
+    assert hits("[a&&b]") == {"&", "b"}
+    assert hits("[\\d]") == {"d"}
+    assert hits("[0-9]", "[z-a]/x") == {"5"}
+    assert hits("[-b]") == {"-", "b"}
+    assert hits("[b^]") == {"b", "^"}
+    assert hits("[z-a]") == set()
+
+
+def test_unmatched_by_policy(spark):
+    files = spark.createDataFrame([("r1", "src/a.py"), ("r2", "vendor/x.go")], "repo string, path string")
+    owners = spark.createDataFrame([("r1", "o"), ("r2", "o"), ("empty", "o"), ("other", "p")], "repo string, org string")
+    patterns = spark.createDataFrame([("o", "**/vendor/**"), ("o", "[z-a]/x"), ("o", "src/*.py")], "org string, pattern string")
+    got = {(r.repo, r.pattern) for r in fls.unmatched_by_policy(files, owners, patterns).collect()}
+    every = {"**/vendor/**", "[z-a]/x", "src/*.py"}
+    assert got == {("r1", "**/vendor/**"), ("r1", "[z-a]/x"), ("r2", "[z-a]/x"), ("r2", "src/*.py")} | {("empty", p) for p in every}
+    some = fls.unmatched_exclusions(files, ["src/*.py"], dimension=owners)
+    assert {r.repo for r in some.collect()} == {"r2", "empty", "other"}

@@ -6,13 +6,15 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from qscore.plans.oracles import ORACLES
+from qscore.plans.queries import QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
 ).split()
-ROWS_ONLY = {"scan_files", "batch_review"}
+ROWS_ONLY = {"scan_files"}
 TYPES = {
     "bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
     "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP",
@@ -28,19 +30,20 @@ def duck():
 
 
 def test_every_query_has_sql_or_a_reason():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == ROWS_ONLY
+    assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
+    assert set(ORACLES) <= set(QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    df = entry.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     rows = sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
     assert rows
     if name in ROWS_ONLY:
         return
-    result = duck.execute(entry.oracle_sql()[name])
+    result = duck.execute(ORACLES[name])
     types = {d[0]: str(d[1]) for d in result.description}
     assert {c: TYPES[df.schema[c].dataType.simpleString()] for c in columns} == types
     place = [list(types).index(c) for c in columns]

@@ -18,36 +18,53 @@ def _inputs(spark):
     return scoring.score(found, files.select("repo").distinct()), found
 
 
+def _texts(lines):
+    out = {}
+    for r in sorted(lines.collect(), key=lambda r: (r.repo, r.n)):
+        out[r.repo] = out.get(r.repo, "") + r.text
+    return out
+
+
 def test_json_report(spark):
     scores, found = _inputs(spark)
-    got = {r.repo: r for r in rpt.json_reports(scores, found, "2024-01-01T00:00:00Z").collect()}
-    two = json.loads(got["two"].report)
+    got = _texts(rpt.json_lines(scores, found, "2024-01-01T00:00:00Z"))
+    two = json.loads(got["two"])
     assert list(two) == ["total", "pillars", "findings", "llm_enhanced", "timestamp"]
     assert list(two["pillars"]) == ["architecture", "security", "static", "verification"]
     assert two["findings"] is None and two["total"] == 100.0 and two["llm_enhanced"] is False
-    one = json.loads(got["one"].report)["findings"]
+    one = json.loads(got["one"])["findings"]
     # Walk order by segment, secrets before nesting within a file.
     assert [(f["location"], f["line_start"]) for f in one] == [
         ("b/x.go", 1), ("b/x.go", 4), ("b/x.go", 2), ("b-a.go", 1),
     ]
     assert ["severity" in f for f in one] == [True, True, False, True]
-    assert got["one"].n_parts == 1
 
 
-def test_large_reports_are_split_and_complete(spark, tmp_path):
-    rows = [("big", f"f{i}.go", 'password = "abcd"') for i in range(100)] + [("small", "a.go", "x")]
-    files = spark.createDataFrame(rows, "repo string, path string, content string")
-    found = fnd.findings(files)
-    scores = scoring.score(found, files.select("repo").distinct())
-    reports = rpt.json_reports(scores, found, "2024-01-01T00:00:00Z", per_report=10)
-    assert {r.n_parts for r in reports.where("repo = 'big'").collect()} == {10}
-    rpt.write_json_reports(reports, str(tmp_path / "out"))
+def test_reports_hold_absent_fields_as_zeros(spark):
+    scores, found = _inputs(spark)
+    names = ("priority", "location", "remediation", "description")
+    bare = found.limit(1).withColumns({n: F.lit(None).cast("string") for n in names})
+    bare = bare.withColumns({"line_start": F.lit(None).cast("int"), "severity": F.lit(None).cast("string")})
+    (finding,) = json.loads(_texts(rpt.json_lines(scores, bare, "2024-01-01T00:00:00Z"))["one"])["findings"]
+    assert [finding[n] for n in names] == [""] * 4 and finding["line_start"] == 0 and "severity" not in finding
+    assert rpt.markdown_lines(scores, bare).where("section = 2 and text is not null").count() == 1
+
+
+def test_large_reports_come_back_as_one_score(spark, tmp_path):
+    rows = spark.range(25_000).selectExpr(
+        "'big' AS repo", "'HIGH' AS priority", "'security' AS pillar", "concat('f', id % 5000, '.go') AS location",
+        "cast(id AS int) AS line_start", "cast(id AS int) AS line_end", "'d' AS description", "'r' AS remediation",
+        "if(id % 2 = 0, 'HIGH', null) AS severity",
+    )
+    scores = scoring.score(rows, spark.createDataFrame([("big",), ("small",)], "repo string"))
+    rpt.write_reports(scores, rows, "2024-01-01T00:00:00Z", str(tmp_path / "out"))
     back, again = rpt.read_reports(spark, str(tmp_path / "out"))
-    assert {(r.repo, r.total) for r in back.collect()} == {("big", 80.0), ("small", 100.0)}
-    expected = {(r.repo, r.location, r.severity) for r in found.collect()}
-    assert {(r.repo, r.location, r.severity) for r in again.collect()} == expected
-    assert again.count() == 100
+    assert {(r.repo, r.total) for r in back.collect()} == {("big", 80.0), ("small", 100.0)} and back.count() == 2
     assert back.first().timestamp.year == 2024
+    got = [(r.location, r.line_start) for r in again.orderBy("place").collect()]
+    assert got == sorted((f"f{i % 5000}.go", i) for i in range(25_000))
+    assert [r.place for r in again.orderBy("place").select("place").collect()] == list(range(1, 25_001))
+    assert again.where("severity is null").count() == 12_500
 
 
 def test_markdown(spark, tmp_path):

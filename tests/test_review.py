@@ -137,10 +137,11 @@ def test_requests_are_scrubbed_unless_switched_off(spark):
     policies = spark.createDataFrame(
         [("o1", None, None), ("o2", None, False), ("o3", False, None)],
         "org string, allow_public_cloud_transmission boolean, data_scrubbing boolean",
-    ).selectExpr("*", "'u' AS base_url", "'m' AS model_name", "0D AS temperature", "0 AS timeout_ms")
+    ).selectExpr("*", "'u' AS base_url", "'m' AS model_name", "0D AS temperature", "0 AS timeout_ms",
+        "array('secrets/**') AS exclusion_paths")
     repos = spark.createDataFrame([(f"r{i}", f"o{i}") for i in (1, 2, 3)] + [("empty", "o1")], "repo string, org string")
     files = spark.createDataFrame(
-        [(f"r{i}", "a.go", 'password = "abcd"') for i in (1, 2, 3)], "repo string, path string, content string"
+        [(f"r{i}", p, 'password = "abcd"') for i in (1, 2, 3) for p in ("a.go", "secrets/b.go")], "repo string, path string, content string"
     )
     got = {r.repo: r.payload for r in rev.review_requests(files, repos, policies).collect()}
     assert got == {"r1": "=== a.go ===\n[REDACTED]", "r2": '=== a.go ===\npassword = "abcd"'}
@@ -152,10 +153,13 @@ def test_batch_review_retries(spark):
         "repo string, system_prompt string, payload string",
     )
 
-    def ask(prompt, payload):
-        if payload == "raise":
+    def ask(request):
+        assert request["base_url"] == "u" and request["timeout_ms"] == 9
+        if request["payload"] == "raise":
             raise OSError("no answer")
-        return payload
+        return request["payload"]
+
+    requests = requests.selectExpr("*", "'u' AS base_url", "9 AS timeout_ms")
 
     got = {r.repo: (r.attempt, r.ok, r.raw) for r in rev.batch_review(requests, ask).collect()}
     assert got == {"fine": (1, True, "{}"), "bad": (3, False, "oops"), "down": (3, False, None)}

@@ -73,3 +73,27 @@ def test_rank(spark):
     got = {r.priority: (r["rank"], r.label) for r in ranking.ranked(rows).collect()}
     assert got == cases
     assert [r.priority for r in ranking.top_findings(rows).orderBy("position").collect()] == ["critical", "High", "MEDIUM"]
+
+
+def test_positions(spark):
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, null, if(id % 50 = 1, 'small', 'hot')) AS k", "id * 7 % 3001 AS v")
+    got = {}
+    for r in skew.positions(rows.repartition(7), "k", ("v",)).collect():
+        got.setdefault(r.k, []).append((r.position, r.v))
+    for pairs in got.values():
+        pairs.sort()
+        assert [p for p, _ in pairs] == list(range(1, len(pairs) + 1))
+        assert [v for _, v in pairs] == sorted(v for _, v in pairs)
+
+
+def test_trailing_window_cuts_at_quantiles(spark):
+    """One far-off position must not leave all others in one range."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(4000).selectExpr("'k' AS k", "if(id = 0, -1000000000L, id) AS at", "id")
+
+    def largest(w):
+        return F.count(F.lit(1)).over(w.rowsBetween(-10_000, 10_000))
+
+    out = skew.trailing_window(rows, "k", ("at", "id"), 2, {"n": largest}, min_rows=200)
+    assert out.count() == 4000 and out.agg(F.max("n")).first()[0] < 600

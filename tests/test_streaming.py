@@ -22,14 +22,22 @@ def test_findings_stream_equals_batch(spark, tmp_path):
     batch = fnd.findings(files.where("path LIKE 'src/%'"))
     assert sorted(map(str, got.collect())) == sorted(map(str, batch.collect()))
 
-    def score(pushed):
-        return scoring.score(fnd.findings(pushed), pushed.select("repo").distinct())
-
-    scored = fresh_path(spark, "t")
-    arrivals = spark.readStream.schema(FILES).parquet(src)
-    detection.score_batches(arrivals, score, scored, fresh_path(spark, "t"), once=True).awaitTermination()
-    got = spark.read.parquet(scored).drop("batch")
-    assert sorted(map(str, got.collect())) == sorted(map(str, score(files).collect()))
+    # The files of a repo arrive in several batches; one of them comes again, mended.
+    counted, log = fresh_path(spark, "t"), fresh_path(spark, "t")
+
+    def run():
+        arrivals = spark.readStream.schema(FILES).option("maxFilesPerTrigger", 1).parquet(src)
+        detection.count_batches(arrivals, counted, log, once=True).awaitTermination()
+        return sorted(map(tuple, detection.accumulated_scores(spark, counted, repos).collect()))
+
+    repos = spark.createDataFrame([("r0",), ("r1",), ("r2",), ("none",)], "repo string")
+    kept = files.where("path LIKE 'src/%'")
+    assert run() == sorted(map(tuple, scoring.score(fnd.findings(kept), repos).collect()))
+    assert len(list((tmp_path / "in").glob("part-*"))) > 1
+    again = spark.createDataFrame([("r2", f"src/f{i}.go", "ok") for i in range(2, 30, 3)], FILES)
+    again.coalesce(1).write.mode("append").parquet(src)
+    mended = kept.where("repo <> 'r2'").unionByName(again)
+    assert run() == sorted(map(tuple, scoring.score(fnd.findings(mended), repos).collect()))
 
 
 def test_daily_scores_drop_late_reports(spark, tmp_path):
