@@ -1,7 +1,59 @@
-"""SQL for the registered queries that SQL can express, over whole tables."""
+"""SQL for the registered queries that SQL can express, over whole tables.
 
-ORACLES: dict[str, str] = {}
+The others have none: 1, 3 and 4 follow from 64-bit hashes that the checking engine lacks, 6 and 7 from an
+index, 8 and 10 from a learnt model. Tests compare those with plain versions or by held-out accuracy.
+"""
 
-# Words, and targets by filling up: a source is at its cap when its weight's share of what the sources
-# not yet at theirs can divide is above the cap. Which words of which document are taken follows from a
-# hash that SQL lacks, so the query as a whole has no SQL; tests compare it with a plain version.
+_ESCAPED = r"regexp_replace(text, '([<\[])(\\*)(/?(?:s>|INST\]))', '\1\\\2\3', 'g')"
+_SAID = "'</s>[INST] ok [/INST]'"
+
+_CHAT = rf"""WITH said AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', {_SAID} UNION ALL SELECT -1, 1, 'assistant', {_SAID}),
+  whole AS (SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn) AS turns,
+    coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '') AS loss,
+    CAST(sum(length(role) + length({_ESCAPED}) + 9) AS BIGINT) AS formatted_chars
+    FROM said GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
+  sha256(loss) AS loss_sha256, formatted_chars FROM whole"""
+
+# Every window of 35 words by its text; a word is removed if a window over it occurs twice.
+_WORDS = r"""WITH docs AS MATERIALIZED (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  windows AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM docs)),
+  hits AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM windows
+    WHERE h IN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1)),
+  words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM docs),
+  kept AS (SELECT w.doc_id, count(h.i) AS n_removed,
+    coalesce(string_agg(x, ' ' ORDER BY w.i) FILTER (WHERE h.i IS NULL), '') AS t
+    FROM words w LEFT JOIN hits h ON w.doc_id = h.doc_id AND w.i = h.i GROUP BY w.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+  sha256(coalesce(t, '')) AS kept_sha256 FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id"""
+
+# Bytes as pairs of hex digits; every window of 100 bytes by its digits; of equal windows the first stays.
+_BYTES = r"""WITH docs AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS b FROM documents),
+  places AS (SELECT doc_id, b, unnest(range(1, len(b) // 2 - 98)) AS i FROM docs WHERE len(b) >= 200),
+  windows AS MATERIALIZED (SELECT doc_id, i, md5(substr(b, CAST(2 * i - 1 AS BIGINT), 200)) AS h FROM places),
+  later AS MATERIALIZED (SELECT doc_id, i FROM windows
+    QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1),
+  runs AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR p < i - 100 THEN 1 ELSE 0 END)
+    OVER (PARTITION BY doc_id ORDER BY i) AS r FROM (
+    SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM later)),
+  spans AS MATERIALIZED (SELECT doc_id, min(i) AS lo, max(i) + 100 AS hi FROM runs GROUP BY doc_id, r),
+  gaps AS (SELECT doc_id, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 1) AS a, lo AS z FROM spans
+    UNION ALL SELECT doc_id, max(hi), NULL FROM spans GROUP BY doc_id),
+  kept AS (SELECT g.doc_id, string_agg(CASE WHEN z IS NULL THEN substr(b, CAST(2 * a - 1 AS BIGINT))
+    ELSE substr(b, CAST(2 * a - 1 AS BIGINT), CAST(2 * (z - a) AS BIGINT)) END, '' ORDER BY a) AS t
+    FROM gaps g JOIN docs d ON d.doc_id = g.doc_id GROUP BY g.doc_id),
+  sums AS (SELECT doc_id, CAST(sum(hi - lo) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(b) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed,
+  coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(t, b))) AS kept_sha256
+  FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id LEFT JOIN sums s ON d.doc_id = s.doc_id"""
+
+ORACLES: dict[str, str] = {
+    "op2_reply_trees": _CHAT,
+    "op5_suffix_levels": _BYTES,
+    "op9_substrings": _WORDS,
+}
