@@ -43,21 +43,23 @@ UNMATCHED_PATTERN_TEXT = "exclusion pattern matched no files: "
 TRIVIAL_TEXT = "Changes are trivial (non-code or whitespace-only): "
 
 # ---------------------------------------------------------------------------
-# Regular expressions (fixed values). ``\s`` means ``[\t\n\f\r ]`` here: Java's own
-# ``\s`` also takes the vertical tab, so the class is written out. ``iu`` folds case
-# over Unicode.
-_S = r"[\t\n\f\r ]"
-SECRET_PATTERNS = (
-    r"(api[_-]?key|apikey)" + _S + r"*[=:]" + _S + r"""*["'][^"']{8,}["']""",
-    r"(secret|password|passwd|pwd)" + _S + r"*[=:]" + _S + r"""*["'][^"']{4,}["']""",
+# Regular expressions (fixed values).
+_SECRET_PATTERNS = (
+    r"""(api[_-]?key|apikey)\s*[=:]\s*["'][^"']{8,}["']""",
+    r"""(secret|password|passwd|pwd)\s*[=:]\s*["'][^"']{4,}["']""",
     r"sk-[a-zA-Z0-9]{10,}",
 )
-SCRUB_PATTERNS = (
-    r"(api[_-]?key|apikey)" + _S + r"*[:?]?=" + _S + r"""*["'][^"']{8,}["']""",
-    r"(secret|password|passwd|pwd)" + _S + r"*[:?]?=" + _S + r"""*["'][^"']{4,}["']""",
+_SCRUB_PATTERNS = (
+    r"""(api[_-]?key|apikey)\s*[:?]?=\s*["'][^"']{8,}["']""",
+    r"""(secret|password|passwd|pwd)\s*[:?]?=\s*["'][^"']{4,}["']""",
     r"sk-[a-zA-Z0-9]{10,}",
-    r"Bearer" + _S + r"+[a-zA-Z0-9\-._~+/]+=*",
-    r"-----BEGIN" + _S + r"+(RSA" + _S + r")?PRIVATE" + _S + r"+KEY-----",
+    r"Bearer\s+[a-zA-Z0-9\-._~+/]+=*",
+    r"-----BEGIN\s+(RSA\s)?PRIVATE\s+KEY-----",
+)
+# Java's own ``\s`` also takes the vertical tab, which is not meant here. ``iu`` folds case over Unicode.
+SECRET_PATTERNS, SCRUB_PATTERNS = (
+    tuple(p.replace(r"\s", r"[\t\n\f\r ]") for p in patterns)
+    for patterns in (_SECRET_PATTERNS, _SCRUB_PATTERNS)
 )
 FOLD = "(?iu)"
 REDACTED = "[REDACTED]"
@@ -113,15 +115,30 @@ PAYLOAD_MARKER = (
 )
 REVIEW_ATTEMPTS = 3
 REVIEW_TIMEOUT_MS = 4000
-# What a reviewing model is asked for; the response contract is in schemas.EVALUATION.
+# What a reviewing model is asked for; the answer is read by schemas.EVALUATION.
+_ANSWER = (
+    '{"pillar_adjustments": {"static_health_deduction": number, "architecture_deduction": number}, '
+    '"remediations": [{"priority": text, "pillar": text, "location": text, "finding": text, '
+    '"actionable_fix": text}]}'
+)
 REVIEW_PROMPT = (
-    "Review the code and answer with one JSON object and nothing else: "
-    '{"pillar_adjustments": {"static_health_deduction": 0-20, '
-    '"architecture_deduction": 0-25}, "remediations": [{"priority": '
-    '"LOW|MEDIUM|HIGH", "pillar": "static|architecture|verification|security", '
-    '"location": "file:lines", "finding": "...", "actionable_fix": "..."}]}. '
-    "Deduct only for what rules cannot see, such as naming, intent and design."
+    f"You read source code for a maintainer. Reply in JSON of this shape alone: {_ANSWER}. "
+    f"Deductions run from 0 to {PILLAR_MAX[STATIC]:.0f} and from 0 to {PILLAR_MAX[ARCHITECTURE]:.0f} points; "
+    f"priority is one of {', '.join(PRIORITIES[1:])}, pillar one of {', '.join(PILLAR_MAX)}. "
+    "Take points off where a newcomer would lose their way: words that mislead, duties that are mixed up, "
+    "parts that cannot be tried on their own. What a linter reports has been counted already. "
+    "Name a place and a next step in every remediation."
+)
+# Report texts (fixed values).
+MARKDOWN_HEAD = (
+    "## Quality Report", "", "**Quality Score: {total} / 100**", "",
+    "### Pillar Breakdown", "", "| Pillar | Score |", "| --- | --- |",
+)
+MARKDOWN_FINDINGS = (
+    "", "### Findings", "", "| Priority | Location | Lines | Description |",
+    "| --- | --- | --- | --- |",
 )
+MARKDOWN_FIXES = ("", "### Remediations", "")
 AUTH_TYPES = ("api_key", "oauth_browser")
 # Policy errors (fixed values); the required fields are tested in this order.
 OAUTH_FIELDS = (

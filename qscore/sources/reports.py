@@ -96,17 +96,6 @@ def read_reports(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 # -------------------------------------------------------------------------- Markdown
-_HEAD = (
-    "## Quality Report", "", "**Quality Score: {total} / 100**", "",
-    "### Pillar Breakdown", "", "| Pillar | Score |", "| --- | --- |",
-)
-_FINDINGS = (
-    "", "### Findings", "", "| Priority | Location | Lines | Description |",
-    "| --- | --- | --- | --- |",
-)
-_FIXES = ("", "### Remediations", "")
-
-
 def markdown_lines(scores: DataFrame, findings: DataFrame) -> DataFrame:
     """Markdown reports as rows: (repo, section, rank, location, line_start, n, text).
 
@@ -116,7 +105,7 @@ def markdown_lines(scores: DataFrame, findings: DataFrame) -> DataFrame:
     """
     findings = _complete(findings)
     one = lambda c: number_text(F.col(c), 1)
-    head = [F.lit(t) if "{" not in t else F.concat(F.lit("**Quality Score: "), one("total"), F.lit(" / 100**")) for t in _HEAD]
+    head = [F.lit(t) if "{" not in t else F.concat(F.lit("**Quality Score: "), one("total"), F.lit(" / 100**")) for t in K.MARKDOWN_HEAD]
     head += [
         F.concat(F.lit(f"| {K.PILLAR_TITLES[p]} | "), one(p), F.lit(f" / {K.PILLAR_MAX[p]:.0f} |"))
         for p in PILLARS
@@ -134,8 +123,8 @@ def markdown_lines(scores: DataFrame, findings: DataFrame) -> DataFrame:
         F.col("_any"),
         F.concat(
             block(0, head),
-            block(1, [F.lit(t) for t in _FINDINGS]),
-            block(3, [F.lit(t) for t in _FIXES]),
+            block(1, [F.lit(t) for t in K.MARKDOWN_FINDINGS]),
+            block(3, [F.lit(t) for t in K.MARKDOWN_FIXES]),
             block(5, [F.lit("")]),
         ),
     ).otherwise(F.concat(block(0, head), block(1, [F.lit(""), F.lit("No findings.")])))
