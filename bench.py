@@ -32,6 +32,33 @@ HEADLINES = (
 )
 
 
+def on_written_files(spark: SparkSession, sf_dir: str) -> dict[str, float]:
+    """Scores of all files, and of a change of ten files, on a table of files rather than on derived ones."""
+    from pyspark.sql import functions as F
+
+    from qscore.operators import changes, findings, scoring
+    from qscore.plans import corpus
+    from qscore.shared import materialize
+    from qscore.sources.files import source_files
+
+    files = materialize(corpus.files(spark, sf_dir), "bench-files")
+    repos = materialize(corpus.repos(spark, sf_dir), "bench-repos")
+    ten = materialize(
+        source_files(files).orderBy("repo", "path").limit(10).select(F.lit(1).alias("changeset"), "repo", "path"), "bench-ten"
+    )
+    runs = {
+        "repo_scores_on_files": lambda: scoring.score(findings.findings(source_files(files)), repos),
+        "ten_files_of_all": lambda: changes.changeset_scores(ten.select("changeset").distinct(), ten, files),
+    }
+    seconds = {}
+    for name, run in runs.items():
+        for _ in range(2):
+            start = time.perf_counter()
+            run().write.format("noop").mode("overwrite").save()
+            seconds[name] = round(time.perf_counter() - start, 3)
+    return seconds
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -57,6 +84,7 @@ def main() -> None:
             start = time.perf_counter()
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             seconds[name] = round(time.perf_counter() - start, 3)
+    seconds |= on_written_files(spark, sf_dir)
     print(
         json.dumps(
             {
