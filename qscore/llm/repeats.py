@@ -19,14 +19,14 @@ their windows, must both agree.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from qscore.shared import materialize
+from qscore.shared import fresh_path
 
 _PIECE = 1 << 19  # symbols that are looked at together; a longer document goes in overlapping pieces
 _INDEX = np.uint64((1 << 21) - 1)
@@ -47,6 +47,22 @@ def lean_shuffles(spark: SparkSession):
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
+class Tables:
+    """Intermediate results in the shared folder; what is no longer needed can be dropped at once."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        self.paths[label] = fresh_path(self.spark, label)
+        df.write.parquet(self.paths[label])
+        return self.spark.read.schema(df.schema).parquet(self.paths[label])
+
+    def drop(self, label: str) -> None:
+        """Nothing takes the place of the table, so its files go."""
+        self.spark.range(0).write.mode("overwrite").parquet(self.paths.pop(label))
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * _M1
     x = (x ^ (x >> np.uint64(29))) * _M2
@@ -89,7 +105,7 @@ def _piece(symbols: np.ndarray, lengths: np.ndarray, length: int, gram: int) ->
     """Anchors of documents that lie one after the other: number of the document, place in it, lo, hi, g, c."""
     n = len(symbols)
     if n < length:
-        return {k: np.zeros(0, np.int64) for k in ("number", "pos", "lo", "hi", "g", "c")}
+        return {k: np.zeros(0, np.int64) for k in _COLUMNS}
     hashes = _Hashes(symbols)
     at = np.arange(n - gram + 1)
     grams = _mix((hashes.sums[gram:] - hashes.sums[:-gram]) * hashes.inverse[: n - gram + 1])
@@ -98,7 +114,7 @@ def _piece(symbols: np.ndarray, lengths: np.ndarray, length: int, gram: int) ->
     inside = np.flatnonzero(np.repeat(ends, lengths)[: n - length + 1] >= np.arange(length, n + 1))
     anchor = chosen[inside]
     if not len(anchor):
-        return {k: np.zeros(0, np.int64) for k in ("number", "pos", "lo", "hi", "g", "c")}
+        return {k: np.zeros(0, np.int64) for k in _COLUMNS}
     first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
     last = np.r_[first[1:], len(anchor)] - 1
     anchor, low, high = anchor[first], inside[first], inside[last]
@@ -112,41 +128,55 @@ def _piece(symbols: np.ndarray, lengths: np.ndarray, length: int, gram: int) ->
     }
 
 
-def _anchors(docs: list[np.ndarray], length: int, gram: int) -> pd.DataFrame:
-    """Anchors of documents given as symbols; ``number`` is the place in ``docs``."""
-    out: list[dict[str, np.ndarray]] = []
-    held: list[int] = []
+Reader = Callable[[bytes | None], np.ndarray]
+_COLUMNS = ("number", "pos", "lo", "hi", "g", "c")
+
 
-    def flush() -> None:
-        if held:
-            got = _piece(
-                np.concatenate([docs[i] for i in held]), np.array([len(docs[i]) for i in held]), length, gram
-            )
-            got["number"] = np.array(held)[got["number"]]
-            out.append(got)
-            held.clear()
+def _chunks(texts: Iterable[bytes | None], read: Reader, length: int) -> Iterator[tuple]:
+    """Numbers and lengths of documents, their symbols one after the other, and where the first one begins:
+    whole documents together, or a part of a long one. Each window is in exactly one chunk."""
+    held: list[tuple[int, np.ndarray]] = []
+
+    def together() -> tuple:
+        parts = [x for _, x in held]
+        return np.array([i for i, _ in held]), np.array([len(x) for x in parts]), np.concatenate(parts), 0
 
     size = 0
-    for i, symbols in enumerate(docs):
+    for i, text in enumerate(texts):
+        symbols = read(text)
         if len(symbols) < length:
             continue
         if len(symbols) > _PIECE:
             for start in range(0, len(symbols) - length + 1, _PIECE - length + 1):
                 part = symbols[start : start + _PIECE]
-                got = _piece(part, np.array([len(part)]), length, gram)
-                out.append(got | {"number": np.full(len(got["pos"]), i), "pos": got["pos"] + start})
+                yield np.array([i]), np.array([len(part)]), part, start
             continue
         if size + len(symbols) > _PIECE:
-            flush()
-            size = 0
-        held.append(i)
+            yield together()
+            held, size = [], 0
+        held.append((i, symbols))
         size += len(symbols)
-    flush()
-    keys = ("number", "pos", "lo", "hi", "g", "c")
-    return pd.DataFrame({k: np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in keys})
+    if held:
+        yield together()
+
+
+def _anchors(texts: Iterable[bytes | None], read: Reader, length: int, gram: int) -> Iterator[dict[str, np.ndarray]]:
+    """Anchors by chunk; all anchors of one document come together. ``number`` is the place in ``texts``."""
+    parts: list[dict[str, np.ndarray]] = []
 
+    def joined() -> dict[str, np.ndarray]:
+        return {k: np.concatenate([x[k] for x in parts]) for k in _COLUMNS}
 
-Reader = Callable[[list], list[np.ndarray]]
+    for numbers, lengths, symbols, start in _chunks(texts, read, length):
+        found = _piece(symbols, lengths, length, gram)
+        found |= {"number": numbers[found["number"]], "pos": found["pos"] + start}
+        if parts and (not start or parts[0]["number"][0] != numbers[0]):
+            yield joined()
+            parts = []
+        if len(found["pos"]):
+            parts.append(found)
+    if parts:
+        yield joined()
 
 
 def _entries(read: Reader, length: int, gram: int):
@@ -154,18 +184,17 @@ def _entries(read: Reader, length: int, gram: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = _anchors(read(list(batch["text"])), length, gram).sort_values(["number", "g", "pos"])
-            if not len(found):
-                continue
-            number, g, c = (found[k].to_numpy() for k in ("number", "g", "c"))
-            at = np.flatnonzero(np.r_[True, (number[1:] != number[:-1]) | (g[1:] != g[:-1])])
-            yield pd.DataFrame(
-                {
-                    "g": g[at], "c1": np.minimum.reduceat(c, at), "c2": np.maximum.reduceat(c, at),
-                    "n": np.diff(np.r_[at, len(g)]), "doc": batch["doc"].to_numpy()[number[at]],
-                    "pos": found["pos"].to_numpy()[at],
-                }
-            )
+            docs = batch["doc"].to_numpy()
+            for found in _anchors(batch["text"], read, length, gram):
+                order = np.lexsort((found["pos"], found["g"], found["number"]))
+                number, g, c, pos = (found[k][order] for k in ("number", "g", "c", "pos"))
+                at = np.flatnonzero(np.r_[True, (number[1:] != number[:-1]) | (g[1:] != g[:-1])])
+                yield pd.DataFrame(
+                    {
+                        "g": g[at], "c1": np.minimum.reduceat(c, at), "c2": np.maximum.reduceat(c, at),
+                        "n": np.diff(np.r_[at, len(g)]), "doc": docs[number[at]], "pos": pos[at],
+                    }
+                )
 
     return run
 
@@ -173,9 +202,11 @@ def _entries(read: Reader, length: int, gram: int):
 def _members(read: Reader, length: int, gram: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = _anchors(read(list(batch["text"])), length, gram)
-            doc = batch["doc"].to_numpy()[found["number"]]
-            yield pd.DataFrame({"g": found["g"], "c": found["c"], "doc": doc, "pos": found["pos"], "lo": found["lo"], "hi": found["hi"]})
+            docs = batch["doc"].to_numpy()
+            for x in _anchors(batch["text"], read, length, gram):
+                yield pd.DataFrame(
+                    {"g": x["g"], "c": x["c"], "doc": docs[x["number"]], "pos": x["pos"], "lo": x["lo"], "hi": x["hi"]}
+                )
 
     return run
 
@@ -185,36 +216,36 @@ def _windows(read: Reader, length: int, gram: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for symbols, doc, wanted in zip(read(list(batch["text"])), batch["doc"], batch["wanted"]):
-                ask = pd.DataFrame(list(map(tuple, (w.values() if isinstance(w, dict) else w for w in wanted))), columns=["g", "c", "pos", "lo", "hi", "n"])
-                ask = ask.sort_values("pos")
-                low = (ask["pos"] + ask["lo"]).to_numpy()
-                for start in range(0, len(symbols), _PIECE):
-                    mine = ask[(low >= start) & (low < start + _PIECE)]
-                    # The windows of an anchor begin within ``length`` symbols of each other.
-                    part = symbols[start : start + _PIECE + 2 * length]
-                    mine = mine[mine["pos"] + mine["hi"] + length - start <= len(part)]
-                    if not len(mine):
-                        continue
-                    hashes = _Hashes(part)
-                    pos = mine["pos"].to_numpy() - start
-                    mine = mine[hashes.of(pos, pos + gram).view(np.int64) == mine["g"].to_numpy()]
-                    count = (mine["hi"] - mine["lo"] + 1).to_numpy()
-                    of = np.repeat(np.arange(len(mine)), count)
-                    step = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-                    delta = mine["lo"].to_numpy()[of] + step
-                    at = mine["pos"].to_numpy()[of] + delta - start
-                    yield pd.DataFrame(
-                        {
-                            "g": mine["g"].to_numpy()[of], "c": mine["c"].to_numpy()[of], "delta": delta,
-                            "h": hashes.of(at, at + length).view(np.int64), "doc": doc, "start": at + start,
-                            "n": mine["n"].to_numpy()[of],
-                        }
-                    )
+            bounds = np.concatenate(([0], np.cumsum([len(x) for x in batch["pos"]])))
+            g, pos, lo, hi, o, n = (np.concatenate(batch[k].to_list()) for k in _ASKED)
+            for numbers, lengths, symbols, start in _chunks(batch["text"], read, length):
+                asked = bounds[numbers + 1] - bounds[numbers]
+                within = np.repeat(np.arange(len(numbers)), asked)
+                at = np.arange(asked.sum()) - np.repeat(np.cumsum(asked) - asked, asked) + bounds[numbers][within]
+                shift = (np.cumsum(lengths) - lengths)[within] - start
+                end = (shift + start + lengths[within]) - length
+                count = (hi[at] - lo[at] + 1).astype(np.int64)
+                of = np.repeat(np.arange(len(at)), count)
+                delta = lo[at][of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+                anchor = pos[at][of] + shift[of]
+                first = anchor + delta
+                # What lies in another chunk, or in another document of the same doc, is left out.
+                here = np.flatnonzero((first >= (shift + start)[of]) & (first <= end[of]))
+                of, delta, anchor, first = of[here], delta[here], anchor[here], first[here]
+                hashes = _Hashes(symbols)
+                here = np.flatnonzero(hashes.of(anchor, anchor + gram).view(np.int64) == g[at][of])
+                of, delta, first = of[here], delta[here], first[here]
+                yield pd.DataFrame(
+                    {
+                        "g": g[at][of], "h": hashes.of(first, first + length).view(np.int64),
+                        "o": o[at][of], "delta": delta.astype(np.int8), "n": n[at][of],
+                    }
+                )
 
     return run
 
 
+_ASKED = ("g", "pos", "lo", "hi", "o", "n")
 _ENTRY = "g long, c1 long, c2 long, n long, doc long, pos long"
 
 
@@ -233,24 +264,31 @@ class Levels:
     merged by gram into one. ``repeated`` scans all levels together.
     """
 
-    def __init__(self, read: Reader, length: int, gram: int) -> None:
-        self.read, self.length, self.gram = read, length, gram
-        self.levels: list[tuple[int, DataFrame]] = []
+    def __init__(self, tables: Tables, read: Reader, length: int, gram: int) -> None:
+        self.tables, self.read, self.length, self.gram = tables, read, length, gram
+        self.levels: list[tuple[int, str, DataFrame]] = []
+        self.added = 0
 
     def _of(self, docs: DataFrame) -> DataFrame:
         return docs.mapInPandas(_entries(self.read, self.length, self.gram), _ENTRY)
 
     def add(self, docs: DataFrame) -> None:
-        weight, entries = 1, self._of(docs)
+        weight, entries, merged = 1, self._of(docs), []
         while self.levels and self.levels[-1][0] == weight:
-            entries = entries.unionByName(self.levels.pop()[1])
+            _, name, level = self.levels.pop()
+            entries = entries.unionByName(level)
+            merged.append(name)
             weight *= 2
-        self.levels.append((weight, materialize(_merged(entries), "suffixes")))
+        self.added += 1
+        name = f"suffixes-{self.added}"
+        self.levels.append((weight, name, self.tables.write(_merged(entries), name)))
+        for old in merged:
+            self.tables.drop(old)
 
     def repeated(self, last: DataFrame | None = None) -> DataFrame:
         """Grams that occur more than once: alone (all surroundings equal), first_doc, first_pos. ``last`` is a
         batch that is scanned with the levels but not kept."""
-        parts = [level for _, level in self.levels] + ([self._of(last)] if last is not None else [])
+        parts = [level for _, _, level in self.levels] + ([self._of(last)] if last is not None else [])
         entries = parts[0]
         for part in parts[1:]:
             entries = entries.unionByName(part)
@@ -260,7 +298,7 @@ class Levels:
         )
 
 
-def marks(docs: DataFrame, read: Reader, length: int, gram: int, repeated: DataFrame, earlier: bool) -> DataFrame:
+def marks(docs: DataFrame, tables: Tables, read: Reader, length: int, gram: int, repeated: DataFrame, earlier: bool) -> DataFrame:
     """(doc, marks): for each document with repeated windows, an array of (pos, mask); bit i of mask says
     that the window that begins i symbols before pos repeats.
 
@@ -269,7 +307,7 @@ def marks(docs: DataFrame, read: Reader, length: int, gram: int, repeated: DataF
     """
     assert length - gram < 63
     members = docs.mapInPandas(_members(read, length, gram), "g long, c long, doc long, pos long, lo int, hi int")
-    hits = materialize(members.join(repeated, "g"), "repeat-hits")
+    hits = tables.write(members.join(repeated.hint("shuffle_hash"), "g"), "repeat-hits")
     first = (F.col("doc") == F.col("first_doc")) & (F.col("pos") == F.col("first_pos"))
     # Bits -hi to -lo.
     whole = F.expr("shiftleft(shiftrightunsigned(-1L, 63 - hi + lo), -hi)")
@@ -279,48 +317,47 @@ def marks(docs: DataFrame, read: Reader, length: int, gram: int, repeated: DataF
     classes = unlike.groupBy("g", "c").agg(
         F.min(F.struct("doc", "pos")).alias("_first"), F.count(F.lit(1)).alias("n"), F.min("lo").alias("lo"), F.min("hi").alias("hi")
     )
-    classes = materialize(classes.select("g", "c", "_first.doc", "_first.pos", "lo", "hi", "n"), "repeat-classes")
-    wanted = classes.groupBy("doc").agg(F.collect_list(F.struct("g", "c", "pos", "lo", "hi", "n")).alias("wanted"))
-    asked = docs.join(wanted, "doc").select("doc", "text", "wanted")
-    windows = asked.mapInPandas(
-        _windows(read, length, gram), "g long, c long, delta int, h long, doc long, start long, n long"
+    # o puts surroundings in order of where they first occur. Equal windows lie equally far from their
+    # anchors, so the order of the windows is that of the surroundings.
+    classes = (
+        classes.select("g", "c", "_first.doc", "_first.pos", "lo", "hi", "n")
+        .repartitionByRange("doc", "pos").sortWithinPartitions("doc", "pos")
+        .withColumn("o", F.monotonically_increasing_id())
     )
-    windows = materialize(windows, "repeat-windows")
-    bit = F.expr("shiftleft(1L, -delta)")
+    classes = tables.write(classes, "repeat-classes")
+    wanted = classes.groupBy("doc").agg(F.collect_list(F.struct(*_ASKED)).alias("wanted"))
+    asked = docs.join(wanted, "doc").select("doc", "text", *[F.col(f"wanted.{k}").alias(k) for k in _ASKED])
+    windows = asked.mapInPandas(_windows(read, length, gram), "g long, h long, o long, delta byte, n long")
+    windows = tables.write(windows, "repeat-windows")
+    same = windows.groupBy("g", "h").agg(F.min("o").alias("_o"), F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_k"))
+    same = tables.write(same.where("_k > 1" if earlier else "_n > 1").select("g", "h", "_o"), "repeat-same")
+    judged = windows.join(same.hint("shuffle_hash"), ["g", "h"])
     if earlier:
-        same = windows.groupBy("g", "h").agg(
-            F.min(F.struct("doc", "start")).alias("_f"), F.count(F.lit(1)).alias("k")
-        )
-        same = same.where("k > 1").select("g", "h", F.col("_f.doc").alias("d1"), F.col("_f.start").alias("s1"))
-        same = materialize(same, "repeat-same")
-        # Where the first of equal windows is this surrounding's own, all its copies but the first repeat.
-        own = F.col("d1").isNull() | ((F.col("doc") == F.col("d1")) & (F.col("start") == F.col("s1")))
-        judged = windows.join(same, ["g", "h"], "left").where(~own | (F.col("n") > 1))
-        masks = judged.groupBy("g", "c").agg(
-            F.bit_or(F.when(~own, bit).otherwise(F.lit(0).cast("long"))).alias("all"), F.bit_or(bit).alias("but_first")
-        )
-    else:
-        same = windows.groupBy("g", "h").agg(F.sum("n").alias("k")).where("k > 1")
-        same = materialize(same, "repeat-same")
-        judged = windows.join(same, ["g", "h"])
-        masks = judged.groupBy("g", "c").agg(F.bit_or(bit).alias("all"), F.bit_or(bit).alias("but_first"))
-    firsts = classes.select("g", "c", F.col("doc").alias("_d"), F.col("pos").alias("_p"))
-    masks = materialize(masks.join(firsts, ["g", "c"]), "repeat-masks")
-    is_first = (F.col("doc") == F.col("_d")) & (F.col("pos") == F.col("_p"))
-    extended = unlike.join(masks, ["g", "c"]).select(
-        "doc", "pos", F.when(is_first, F.col("all")).otherwise(F.col("but_first")).alias("mask")
+        judged = judged.where("o != _o")
+    masks = judged.groupBy("o").agg(F.bit_or(F.expr("shiftleft(1L, -delta)")).alias("some"))
+    # Of surroundings that occur more than once, all windows repeat, but for those that start earliest.
+    some = F.coalesce("some", F.lit(0).cast("long"))
+    masks = classes.join(masks, "o", "left").select(
+        "g", "c", F.col("doc").alias("_d"), F.col("pos").alias("_p"), some.alias("some"),
+        F.when(F.col("n") > 1, whole).otherwise(some).alias("every"),
+    ).where("every != 0")
+    masks = tables.write(masks, "repeat-masks")
+    for label in ("repeat-windows", "repeat-same", "repeat-classes"):
+        tables.drop(label)
+    is_first = (F.col("doc") == F.col("_d")) & (F.col("pos") == F.col("_p")) if earlier else F.lit(False)
+    extended = unlike.join(masks.hint("shuffle_hash"), ["g", "c"]).select(
+        "doc", "pos", F.when(is_first, F.col("some")).otherwise(F.col("every")).alias("mask")
     )
     found = sure.unionByName(extended.where("mask != 0"))
     return found.groupBy("doc").agg(F.collect_list(F.struct("pos", "mask")).alias("marks"))
 
 
-def covered(n: int, marks, length: int) -> np.ndarray:
+def covered(n: int, pos: np.ndarray | None, mask: np.ndarray | None, length: int) -> np.ndarray:
     """Which of n symbols lie in a marked window."""
     steps = np.zeros(n + 1, np.int64)
-    if marks is not None and len(marks):
-        pairs = np.array([(m["pos"], m["mask"]) for m in marks], np.int64)
-        row, bits = np.nonzero((pairs[:, 1:] >> np.arange(63)) & 1)
-        start = pairs[row, 0] - bits
+    if pos is not None and len(pos):
+        row, bits = np.nonzero((mask[:, None] >> np.arange(63)) & 1)
+        start = pos[row] - bits
         start = start[(start >= 0) & (start + length <= n)]
         np.add.at(steps, start, 1)
         np.add.at(steps, start + length, -1)

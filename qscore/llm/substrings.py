@@ -12,17 +12,17 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from qscore.llm.repeats import Levels, covered, lean_shuffles, marks
-from qscore.shared import materialize
+from qscore.llm.common import packed, unpacked
+from qscore.llm.repeats import Levels, Tables, covered, lean_shuffles, marks
 
 WORDS = 35
 _GRAM = 20
 _SMALLEST = -(1 << 63)
 
 
-def _read(texts: list[bytes | None]) -> list[np.ndarray]:
+def _read(text: bytes | None) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
-    return [np.array([digest(w) for w in t.split()] if t else [], dtype=np.uint64) for t in texts]
+    return np.array([digest(w) for w in text.split()] if text else [], dtype=np.uint64)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -40,24 +40,27 @@ def remove_repeats(docs: DataFrame, words: int = WORDS, gram: int = _GRAM) -> Da
     doc_id, are read as one document's versions: what repeats in one of them is removed at the same place
     of the others. An empty table gives no rows.
     """
-    docs = docs.drop("n_words", "n_removed", "kept")
+    needed = ("doc_id", "text")
     with lean_shuffles(docs.sparkSession):
         texts = keyed(docs)
-        index = Levels(_read, words, gram)
-        repeated = materialize(index.repeated(texts), "repeated-words")
-        found = materialize(marks(texts, _read, words, gram, repeated, earlier=False), "word-marks")
+        tables = Tables(docs.sparkSession)
+        index = Levels(tables, _read, words, gram)
+        repeated = tables.write(index.repeated(texts), "repeated-words")
+        found = tables.write(marks(texts, tables, _read, words, gram, repeated, earlier=False), "word-marks")
+        tables.drop("repeat-hits")
 
     @F.pandas_udf("n_words long, n_removed long, kept string")
-    def cut(texts: pd.Series, marked: pd.Series) -> pd.DataFrame:
+    def cut(texts: pd.Series, pos: pd.Series, mask: pd.Series) -> pd.DataFrame:
         rows = []
-        for text, m in zip(texts, marked):
+        for text, p, m in zip(texts, pos, mask):
             tokens = text.split() if text else []
-            gone = covered(len(tokens), m, words)
+            gone = covered(len(tokens), p, m, words)
             kept = [w for w, g in zip(tokens, gone.tolist()) if not g] if gone.any() else tokens
             rows.append((len(tokens), int(gone.sum()), b" ".join(kept).decode()))
         return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept"])
 
-    joined = docs.join(
-        found, F.coalesce(docs["doc_id"], F.lit(_SMALLEST)).cast("long") == found["doc"], "left"
-    ).withColumn("_cut", cut(F.col("text").cast("binary"), "marks"))
-    return joined.select(*[docs[c] for c in docs.columns], "_cut.*")
+    rows = packed(docs, needed)
+    joined = rows.join(
+        found, F.coalesce(rows["doc_id"], F.lit(_SMALLEST)).cast("long") == found["doc"], "left"
+    ).withColumn("_cut", cut(F.col("text").cast("binary"), "marks.pos", "marks.mask"))
+    return joined.select(*unpacked(docs.columns, needed, ("n_words", "n_removed", "kept")), "_cut.*")

@@ -13,17 +13,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from qscore.llm.repeats import Levels, covered, lean_shuffles, marks
+from qscore.llm.common import packed, unpacked
+from qscore.llm.repeats import Levels, Tables, covered, lean_shuffles, marks
 from qscore.llm.substrings import _SMALLEST, keyed
-from qscore.shared import materialize
 
 LENGTH = 100
 _GRAM = 38
 _BYTES = np.random.default_rng(7).integers(0, 1 << 64, 256, dtype=np.uint64)
 
 
-def _read(texts: list[bytes | None]) -> list[np.ndarray]:
-    return [_BYTES[np.frombuffer(t or b"", np.uint8)] for t in texts]
+def _read(text: bytes | None) -> np.ndarray:
+    return _BYTES[np.frombuffer(text or b"", np.uint8)]
 
 
 def remove_earlier(docs: DataFrame, length: int = LENGTH, gram: int = _GRAM, batches: int = 2) -> DataFrame:
@@ -37,33 +37,38 @@ def remove_earlier(docs: DataFrame, length: int = LENGTH, gram: int = _GRAM, bat
     the text (rows without doc_id among them) are read as versions of one document, whose cuts fall at the
     same places. An empty table gives no rows. ``batches`` parts by doc_id are indexed one after the other.
     """
-    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
+    needed = ("doc_id", "text")
     with lean_shuffles(docs.sparkSession):
         texts = keyed(docs)
         parts = [i / batches for i in range(1, batches)]
         cuts = texts.agg(F.percentile_approx("doc", F.lit(parts), 1000)).first()[0] or [0] * len(parts) if parts else []
         bounds = [None, *cuts, None]
-        index = Levels(_read, length, gram)
+        tables = Tables(docs.sparkSession)
+        index = Levels(tables, _read, length, gram)
         for low, high in zip(bounds, bounds[1:]):
             batch = texts if low is None else texts.where(F.col("doc") > low)
             batch = batch if high is None else batch.where(F.col("doc") <= high)
             if high is not None:
                 index.add(batch)
-        repeated = materialize(index.repeated(batch), "repeated-bytes")
-        found = materialize(marks(texts, _read, length, gram, repeated, earlier=True), "byte-marks")
+        repeated = tables.write(index.repeated(batch), "repeated-bytes")
+        for _, name, _ in index.levels:
+            tables.drop(name)
+        found = tables.write(marks(texts, tables, _read, length, gram, repeated, earlier=True), "byte-marks")
+        tables.drop("repeat-hits")
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept binary")
-    def cut(texts: pd.Series, marked: pd.Series) -> pd.DataFrame:
+    def cut(texts: pd.Series, pos: pd.Series, mask: pd.Series) -> pd.DataFrame:
         rows = []
-        for text, m in zip(texts, marked):
+        for text, p, m in zip(texts, pos, mask):
             text = text or b""
-            gone = covered(len(text), m, length)
+            gone = covered(len(text), p, m, length)
             spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + gone[:1].sum())
             kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if spans else text
             rows.append((len(text), int(gone.sum()), spans, kept))
         return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = docs.join(
-        found, F.coalesce(docs["doc_id"], F.lit(_SMALLEST)).cast("long") == found["doc"], "left"
-    ).withColumn("_cut", cut(F.col("text").cast("binary"), "marks"))
-    return joined.select(*[docs[c] for c in docs.columns], "_cut.*")
+    rows = packed(docs, needed)
+    joined = rows.join(
+        found, F.coalesce(rows["doc_id"], F.lit(_SMALLEST)).cast("long") == found["doc"], "left"
+    ).withColumn("_cut", cut(F.col("text").cast("binary"), "marks.pos", "marks.mask"))
+    return joined.select(*unpacked(docs.columns, needed, ("n_bytes", "n_removed", "n_spans", "kept")), "_cut.*")
