@@ -33,18 +33,25 @@ _INDEX = np.uint64((1 << 21) - 1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _powers: list[np.ndarray] = []
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# Shuffle files of a query go when the query is over, as intermediate results are written as tables; and
+# Python sees some megabytes of text at a time.
+_SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+}
 
 
 @contextmanager
-def lean_shuffles(spark: SparkSession):
-    """Shuffle files of a query go when the query is over; intermediate results are written as tables."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def lean(spark: SparkSession):
+    """Settings for steps that move much text; they are as before afterwards."""
+    before = {k: spark.conf.get(k, None) for k in _SETTINGS}
+    for k, v in _SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 class Tables:

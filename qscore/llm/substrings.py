@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from qscore.llm.common import packed, unpacked
-from qscore.llm.repeats import Levels, Tables, covered, lean_shuffles, marks
+from qscore.llm.repeats import Levels, Tables, covered, lean, marks
 
 WORDS = 35
 _GRAM = 20
@@ -41,7 +41,7 @@ def remove_repeats(docs: DataFrame, words: int = WORDS, gram: int = _GRAM) -> Da
     of the others. An empty table gives no rows.
     """
     needed = ("doc_id", "text")
-    with lean_shuffles(docs.sparkSession):
+    with lean(docs.sparkSession):
         texts = keyed(docs)
         tables = Tables(docs.sparkSession)
         index = Levels(tables, _read, words, gram)

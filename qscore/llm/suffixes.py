@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from qscore.llm.common import packed, unpacked
-from qscore.llm.repeats import Levels, Tables, covered, lean_shuffles, marks
+from qscore.llm.repeats import Levels, Tables, covered, lean, marks
 from qscore.llm.substrings import _SMALLEST, keyed
 
 LENGTH = 100
@@ -38,7 +38,7 @@ def remove_earlier(docs: DataFrame, length: int = LENGTH, gram: int = _GRAM, bat
     same places. An empty table gives no rows. ``batches`` parts by doc_id are indexed one after the other.
     """
     needed = ("doc_id", "text")
-    with lean_shuffles(docs.sparkSession):
+    with lean(docs.sparkSession):
         texts = keyed(docs)
         parts = [i / batches for i in range(1, batches)]
         cuts = texts.agg(F.percentile_approx("doc", F.lit(parts), 1000)).first()[0] or [0] * len(parts) if parts else []
