@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from qscore.llm.common import packed, unpacked
 from qscore.shared import materialize
 
-#: Both masks have eleven words in between and look at eight.
-MASKS = ("111010110011", "110101101101")
-_SPAN = len(MASKS[0])
+#: Two masks of weight five: of 13 equal words of 16, or four fifths of 12 to 15, one of them always hits.
+MASKS = ("101111", "1110011")
+_SPAN = 12  # an item of fewer words is not searched for
 _AROUND = 16
 _TOKEN = r"[\p{L}\p{N}]+"
 _FEW = 1_000_000  # distinct seeds: 8 MB and more are not broadcast
@@ -28,26 +28,35 @@ def _hashes(text: str) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeds(words: str, masks: tuple[str, ...]) -> Column:
-    """Seeds of all windows, by mask and then by place; none for a text shorter than a window."""
-    places = F.sequence(F.lit(0), F.size(words) - _SPAN)
+def _windows(words: str, mask: str) -> Column:
+    return F.greatest(F.size(words) - (len(mask) - 1), F.lit(0))
+
+
+def _seeds(words: str, masks: tuple[str, ...], least: int) -> Column:
+    """Seeds of all windows, by mask and then by place; none for a text of fewer than ``least`` words."""
 
     def of(number: int, mask: str) -> Column:
         kept = [i for i, m in enumerate(mask) if m == "1"]
-        return F.transform(
-            places, lambda p: F.xxhash64(F.lit(number), *[F.get(F.col(words), p + i if i else p) for i in kept])
+        found = F.transform(
+            F.sequence(F.lit(0), F.size(words) - len(mask)),
+            lambda p: F.xxhash64(F.lit(number), *[F.get(F.col(words), p + i if i else p) for i in kept]),
         )
+        return F.when(F.size(words) >= len(mask), found).otherwise(F.array().cast("array<bigint>"))
 
     found = F.concat(*[of(i, m) for i, m in enumerate(masks)])
-    return F.when(F.size(words) >= _SPAN, found)
+    return F.when(F.size(words) >= least, found)
 
 
-def _hits(rows: DataFrame, masks: tuple[str, ...]) -> DataFrame:
+def _hits(rows: DataFrame, masks: tuple[str, ...], least: int = 0) -> DataFrame:
     """One row for each window and mask: seed and place; ``words`` stays."""
-    rows = rows.withColumn("_seeds", _seeds("words", masks))
+    rows = rows.withColumn("_seeds", _seeds("words", masks, least))
     # Not posexplode: Spark would look first for rows without seeds, and make the words anew for every seed.
     rows = rows.select("*", F.posexplode_outer("_seeds").alias("_i", "seed")).drop("_seeds").where("seed is not null")
-    return rows.withColumn("place", (F.col("_i") % (F.size("words") - (_SPAN - 1))).cast("int")).drop("_i")
+    place, before = F.col("_i"), F.lit(0)
+    for mask in masks[:-1]:
+        before = before + _windows("words", mask)
+        place = F.when(F.col("_i") < before, place).otherwise(F.col("_i") - before)
+    return rows.withColumn("place", place.cast("int")).drop("_i")
 
 
 def _surroundings() -> Column:
@@ -72,7 +81,7 @@ def contaminated(
     one, with the smallest item_id. A null doc_id is a document like any other.
     """
     items = benchmark.select("item_id", _hashes("text").alias("words")).groupBy("words").agg(F.min("item_id").alias("item_id"))
-    items = _hits(items, masks).select(
+    items = _hits(items, masks, _SPAN).select(
         "seed", "item_id", F.size("words").alias("n"), _surroundings().alias("item_words")
     )
     items = materialize(items.groupBy("seed", "item_words", "n").agg(F.min("item_id").alias("item_id")), "item-seeds")
