@@ -356,6 +356,9 @@ def marks(docs: DataFrame, tables: Tables, read: Reader, length: int, gram: int,
         "doc", "pos", F.when(is_first, F.col("some")).otherwise(F.col("every")).alias("mask")
     )
     found = sure.unionByName(extended.where("mask != 0"))
+    if not earlier:
+        # Rows that repeat a text under the same key count once, however many they are.
+        found = found.groupBy("doc", "pos").agg(F.bit_or("mask").alias("mask"))
     return found.groupBy("doc").agg(F.collect_list(F.struct("pos", "mask")).alias("marks"))
 
 

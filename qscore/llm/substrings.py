@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from qscore.llm.common import packed, unpacked
 from qscore.llm.repeats import Levels, Tables, covered, lean, marks
@@ -30,19 +30,23 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(_SMALLEST)).cast("long").alias("doc"), F.col("text").cast("binary").alias("text"))
 
 
+def _key() -> Column:
+    """Of a row's doc_id and text: what repeats in one text says nothing about another of the same doc_id."""
+    return F.xxhash64("doc_id", "text")
+
+
 def remove_repeats(docs: DataFrame, words: int = WORDS, gram: int = _GRAM) -> DataFrame:
     """``docs`` with n_words, n_removed and kept: the text without each word that lies in a run of ``words``
     words that occurs anywhere else too, words one space apart.
 
     Needs doc_id and text; other columns pass through, but for columns of those three names, which are
     replaced. A null or empty text has no words; a text of fewer than ``words`` words stays. Rows that
-    repeat a text remove each other's words. Rows that share a doc_id but not the text, and rows without
-    doc_id, are read as one document's versions: what repeats in one of them is removed at the same place
-    of the others. An empty table gives no rows.
+    repeat a text remove each other's words. Rows that share a doc_id, and rows without doc_id, are documents
+    of their own, each with its own repeats. An empty table gives no rows.
     """
     needed = ("doc_id", "text")
     with lean(docs.sparkSession):
-        texts = keyed(docs)
+        texts = docs.select(_key().alias("doc"), F.col("text").cast("binary").alias("text"))
         tables = Tables(docs.sparkSession)
         index = Levels(tables, _read, words, gram)
         repeated = tables.write(index.repeated(texts), "repeated-words")
@@ -60,7 +64,7 @@ def remove_repeats(docs: DataFrame, words: int = WORDS, gram: int = _GRAM) -> Da
         return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept"])
 
     rows = packed(docs, needed)
-    joined = rows.join(
-        found, F.coalesce(rows["doc_id"], F.lit(_SMALLEST)).cast("long") == found["doc"], "left"
-    ).withColumn("_cut", cut(F.col("text").cast("binary"), "marks.pos", "marks.mask"))
+    joined = rows.withColumn("_key", _key()).join(found, F.col("_key") == found["doc"], "left").withColumn(
+        "_cut", cut(F.col("text").cast("binary"), "marks.pos", "marks.mask")
+    )
     return joined.select(*unpacked(docs.columns, needed, ("n_words", "n_removed", "kept")), "_cut.*")
