@@ -22,6 +22,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from qscore.llm.common import packed, unpacked
 from qscore.llm.components import components, settle
 from qscore.shared import materialize
 
@@ -174,38 +175,42 @@ def links(fingerprints: DataFrame, radius: int = 4) -> DataFrame:
     return dealt.sortWithinPartitions(*group).mapInPandas(_search(radius), "a long, b long").distinct()
 
 
+def _with_least(prints: DataFrame, least: Column, radius: int) -> DataFrame:
+    """``prints`` with ``_least``: the minimum of ``least`` over all rows that links lead to."""
+    classes = materialize(prints.groupBy("fp").agg(F.min(least).alias("_own")), "simhash-classes")
+    labels = materialize(components(links(classes.select("fp"), radius)), "simhash-components")
+    smallest = labels.join(classes, labels["node"] == classes["fp"]).groupBy("component").agg(F.min("_own").alias("_least"))
+    smallest = materialize(smallest, "simhash-smallest")
+    moved = materialize(labels.join(smallest, "component").select(F.col("node").alias("fp"), "_least"), "simhash-moved")
+    of_class = classes.join(moved.withColumn("_moved", F.lit(True)), "fp", "left").select(
+        "fp", F.when(F.col("_moved"), F.col("_least")).otherwise(F.col("_own")).alias("_least")
+    )
+    return prints.join(materialize(of_class, "simhash-of-class"), "fp")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
     """doc_id, fp and component_id: the smallest doc_id that can be reached over fingerprints that differ
     in at most ``radius`` bits, the document's own included.
 
     Needs doc_id and text and looks at nothing else. Texts without words, null among them, have fingerprint
-    0 and link like any other. A null doc_id has a fingerprint but no component and leads nowhere. Repeated
-    rows are all returned. An empty table gives no rows.
+    0 and link like any other. A row without doc_id links like any other and has the component_id of the rows it
+    links with: null where none of them has a doc_id. Repeated rows are all returned. An empty table gives no rows.
     """
     prints = materialize(docs.select("doc_id", fingerprint("text", words).alias("fp")), "simhash")
-    classes = prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first"))
-    classes = materialize(classes, "simhash-classes")
-    labels = components(links(classes.select("fp"), radius))
-    labels = materialize(labels, "simhash-components")
-    smallest = (
-        labels.join(classes, labels["node"] == classes["fp"])
-        .groupBy("component").agg(F.min("first").alias("component_id"))
-    )
-    smallest = materialize(smallest, "simhash-smallest")
-    moved = materialize(labels.join(smallest, "component").select(F.col("node").alias("fp"), "component_id"), "simhash-moved")
-    of_class = materialize(
-        classes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")),
-        "simhash-of-class",
-    )
-    return (
-        prints.join(of_class, "fp", "left")
-        .select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
-    )
+    found = _with_least(prints, F.col("doc_id"), radius)
+    return found.select("doc_id", "fp", F.col("_least").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
-    """``docs`` without near duplicates: of each component the document with the smallest doc_id stays (every
-    row of it, where rows repeat); a document without doc_id stays."""
-    found = near_duplicates(docs.select("doc_id", "text"), radius, words)
-    gone = materialize(found.where("doc_id != component_id").select("doc_id").distinct(), "simhash-gone")
-    return docs.join(gone, "doc_id", "left_anti")
+    """``docs`` without near duplicates: of each component the document with the smallest doc_id stays, or, where
+    no row of it has a doc_id, one text; of texts that share that doc_id, one by a hash. Every row of what stays
+    stays, where rows repeat doc_id and text."""
+    hashed = F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text")
+    prints = materialize(docs.select("doc_id", hashed, fingerprint("text", words).alias("fp")), "simhash")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text")
+    gone = _with_least(prints, row, radius).where(~row.eqNullSafe(F.col("_least")))
+    gone = gone.select(F.col("doc_id").alias("_id"), "_text").distinct()
+    gone = materialize(gone.withColumnRenamed("_text", "_hash"), "simhash-gone")
+    rows = packed(docs, ("doc_id", "text"))
+    same = rows["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64(F.coalesce(rows["text"], F.lit(""))) == gone["_hash"])
+    return rows.join(gone, same, "left_anti").select(*unpacked(docs.columns, ("doc_id", "text")))

@@ -87,14 +87,36 @@ def test_more_blocks_find_the_same(spark):
             assert any(not flips & m for m in masks)
 
 
+def test_rows_without_id_link_and_are_dropped(make_docs):
+    rng = random.Random(20)
+    base = [f"w{rng.randrange(3000)}" for _ in range(150)]
+    texts, prints = [" ".join(base)], [plain_fingerprint(" ".join(base))]
+    while len(texts) < 3:  # a chain whose ends are further apart than the radius
+        step = texts[-1].split()
+        step[rng.randrange(150)] = f"z{rng.randrange(10**6)}"
+        p = plain_fingerprint(" ".join(step))
+        if 0 < (p ^ prints[-1]).bit_count() <= 4 and (len(texts) < 2 or (p ^ prints[0]).bit_count() > 4):
+            texts, prints = [*texts, " ".join(step)], [*prints, p]
+    other = " ".join(f"x{i}" for i in range(90))
+    docs = make_docs((1, texts[0]), (None, texts[1]), (3, texts[2]), *[(None, other)] * 3, (5, texts[0]), (5, other), (1, "own words"))
+    got = simhash.near_duplicates(docs).collect()
+    assert [r.component_id for r in got if r.doc_id == 3] == [1]
+    assert sorted(str(r.component_id) for r in got if r.doc_id is None) == ["1", "5", "5", "5"]
+    kept = sorted((r.doc_id, r.text) for r in simhash.keep_first(docs).collect())
+    assert kept == sorted([(1, texts[0]), (1, "own words"), (5, other)])
+    alone = simhash.keep_first(make_docs(*[(None, other)] * 2, (None, texts[0]), (None, texts[1]))).collect()
+    assert [r.text for r in alone].count(other) == 2 and len(alone) == 3
+
+
 def test_odd_documents(spark, odd_docs):
     got = simhash.near_duplicates(odd_docs)
     assert got.count() == odd_docs.count()
-    assert got.where("doc_id is null and component_id is not null").count() == 0
+    # The null text without doc_id links with the texts without words; the other one is alone.
+    assert sorted((r.component_id is None, r.fp == 0) for r in got.where("doc_id is null").collect()) == [(False, True), (True, False)]
     assert {r.component_id for r in got.where("doc_id in (1, 2, 3)").collect()} == {1}
     kept = simhash.keep_first(odd_docs)
     assert kept.columns[0] == "doc_id" and set(kept.columns) == set(odd_docs.columns)
-    assert kept.where("doc_id = 4").count() == 2 and kept.where("doc_id is null").count() == 2
+    assert kept.where("doc_id = 4").count() == 2 and [r.text for r in kept.where("doc_id is null").collect()] == ["no id at all"]
     assert kept.where("doc_id in (6, 9)").count() == 0
     assert simhash.near_duplicates(odd_docs.limit(0)).count() == 0
     assert simhash.keep_first(odd_docs.limit(0)).count() == 0
