@@ -79,7 +79,7 @@ def _unpacked(blocks: DataFrame, above: DataFrame) -> DataFrame:
 def _tiers(nodes: DataFrame) -> list[DataFrame]:
     """Tables of blocks, from those of ``nodes`` to those that hold a tree's root, one for each tree."""
     tiers = [materialize(_blocks(nodes), "merkle-blocks")]
-    while tiers[-1].where("block > 0").take(1):
+    while tiers[-1].where("block > 0").select("block").take(1):
         roots = tiers[-1].select("tree", F.col("block").alias("pos"), F.col("root").alias("node"))
         tiers.append(materialize(_blocks(roots), "merkle-blocks"))
     return tiers

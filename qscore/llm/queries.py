@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from qscore.llm import chat, decontamination, embeddings, merkle, mixing, quality, sharding, simhash, substrings, suffixes, toxicity
+from qscore.llm import chat, decontamination, embeddings, merkle, mixing, packing, quality, sharding, simhash, substrings, suffixes, toxicity, whitening
 from qscore.llm.common import load
 from qscore.llm.samples import remainder
 
@@ -112,6 +112,11 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(load(spark, sf_dir, "embeddings"), components=8)
+
+
 @query
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit("")))
@@ -124,3 +129,13 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(merkle.proof(F.col("way")).cast("binary"), 256).alias("proof_sha256"),
         F.col("folded").cast("string").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"),
     )
+
+
+@query
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = packing.pack(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
