@@ -2,22 +2,29 @@
 
 Documents longer than a window are first cut into full windows. What remains of each is placed, longest first,
 into the open window that it leaves the least room in: a segment tree indexed by remaining capacity finds it.
-Lengths alone are packed, in groups of some thousand documents; the ids join their pieces once, at the end.
+Documents are packed with those of their partition, in groups of some thousand, while they are read: each text
+is tokenized once, and nothing is written or shuffled on the way.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from array import array
+from collections.abc import Iterator
 
-from qscore.llm.repeats import lean
-from qscore.llm.tokens import token_ids
-from qscore.shared import materialize
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
+
+from qscore.llm.tokens import encoder
 
 WINDOW = 2048
 END = 1
 PADDING = 0.005
 _GROUP = 8192  # documents that are packed together
+_SENT = 8 << 20  # bytes of pieces that go back to Spark at once
+_COLUMNS = ("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
+_TYPES = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
 
 
 class Open:
@@ -93,23 +100,67 @@ def filled_up(windows: list[list[Piece]], window: int, padding: float) -> list[l
     return kept
 
 
-def _plan(window: int, padding: float):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("key")
-        whole, rests = [], []
-        for i, n in enumerate(rows["n"].tolist()):
-            whole += [[(i, start, window)] for start in range(0, n - window + 1, window)]
-            if n % window:
-                rests.append((i, n - n % window, n % window))
-        windows = whole + filled_up(best_fit(rests, window), window, padding)
-        first, keys = int(rows["group"].iloc[0]) << 32, rows["key"].to_numpy()
-        out = []
-        for at, pieces in enumerate(windows):
-            offset = 0
-            for i, start, length in pieces:
-                out.append((keys[i], start, length, first + at, offset))
-                offset += length
-        return pd.DataFrame(out, columns=["key", "start", "length", "sequence_id", "offset"])
+class _Packer:
+    """Rows of pieces; full windows at once, what remains of documents in groups."""
+
+    def __init__(self, window: int, padding: float, sequence: int) -> None:
+        self.window, self.padding, self.sequence = window, padding, sequence
+        self.rests: list[tuple] = []  # doc_id, start, ids, doc_tokens
+        self.rows: list[tuple] = []
+        self.size = 0
+
+    def _put(self, pieces: list[tuple]) -> None:
+        offset = 0
+        for doc_id, start, ids, n in pieces:
+            self.rows.append((doc_id, start, len(ids) // 4, ids, n, self.sequence, offset))
+            offset += len(ids) // 4
+            self.size += 100 + len(ids)
+        self.sequence += 1
+
+    def add(self, doc_id, ids: bytes) -> None:
+        n, step = len(ids) // 4, 4 * self.window
+        for at in range(0, len(ids) - step + 1, step):
+            self._put([(doc_id, at // 4, ids[at : at + step], n)])
+        if len(ids) % step:
+            at = len(ids) - len(ids) % step
+            self.rests.append((doc_id, at // 4, ids[at:], n))
+        if len(self.rests) == _GROUP:
+            self.close()
+
+    def close(self) -> None:
+        """Places what remains of the documents so far."""
+        rests, self.rests = self.rests, []
+        pieces = [(i, 0, len(r[2]) // 4) for i, r in enumerate(rests)]
+        for pieces in filled_up(best_fit(pieces, self.window), self.window, self.padding):
+            self._put(
+                [(rests[i][0], rests[i][1] + at, rests[i][2][4 * at : 4 * (at + n)], rests[i][3]) for i, at, n in pieces]
+            )
+
+    def taken(self) -> list[tuple]:
+        rows, self.rows, self.size = self.rows, [], 0
+        return rows
+
+
+def _packed(sent, window: int, last: int, padding: float):
+    end = array("I", [last]).tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, packer = encoder(sent.value).ids, _Packer(window, padding, TaskContext.get().partitionId() << 32)
+        kind = None
+
+        def table() -> pa.RecordBatch:
+            columns = zip(_COLUMNS, [kind, *_TYPES], zip(*packer.taken()))
+            return pa.RecordBatch.from_pydict({name: pa.array(values, of) for name, of, values in columns})
+
+        for batch in batches:
+            kind = batch.schema.field("doc_id").type
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist())):
+                packer.add(doc_id, ids + end)
+                if packer.size > _SENT:
+                    yield table()
+        packer.close()
+        if packer.rows:
+            yield table()
 
     return run
 
@@ -119,23 +170,16 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, last: int = END
     (binary, 4 bytes each, little-endian) from ``start`` stand at ``offset`` of a sequence of at most ``window`` ids.
 
     A document is the ids of its text and ``last`` after them. Needs doc_id and text; other columns are not looked
-    at. A null or empty text is ``last`` alone. Repeated rows are packed each, as is a row without doc_id. Every
-    id lies in one piece, offsets are gapless from 0, and sequence_id is unique but not gapless. A document is cut
-    only where it is longer than a window, or where best-fit leaves more than ``padding`` of the room. An empty table
-    gives no rows.
+    at. ``vocabulary`` is the path of a file of the tokenizers library on the driver; its few megabytes are broadcast.
+    A null or empty text is ``last`` alone. Repeated rows are packed each, as is a row without doc_id. Every id lies
+    in one piece, offsets are gapless from 0, and sequence_id is unique but not gapless. A document is cut only
+    where it is longer than a window, or where best-fit leaves more than ``padding`` of the room. Documents are packed
+    with others of their partition, so nothing is shuffled, and each partition may end with a window that is not
+    full: read tables in partitions of thousands of documents. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    with lean(spark):
-        rows = docs.select("doc_id", token_ids(spark, vocabulary, last=last).alias("ids"))
-        rows = rows.select(F.monotonically_increasing_id().alias("key"), "doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n"))
-        rows = materialize(rows, "packing-ids")
-        groups = max(1, -(-rows.count() // _GROUP))
-        lengths = rows.select(F.pmod(F.xxhash64("key"), F.lit(groups)).alias("group"), "key", "n")
-        plan = lengths.groupBy("group").applyInPandas(
-            _plan(window, padding), "key long, start long, length long, sequence_id long, offset long"
-        )
-        plan = materialize(plan, "packing-plan")
-    ids = F.substring("ids", (F.col("start") * 4 + 1).cast("int"), (F.col("length") * 4).cast("int"))
-    return rows.join(plan, "key").select(
-        "doc_id", "start", "length", ids.alias("ids"), F.col("n").alias("doc_tokens"), "sequence_id", "offset"
-    )
+    with open(vocabulary, encoding="utf-8") as file:
+        sent = docs.sparkSession.sparkContext.broadcast(file.read())
+    rows = docs.select("doc_id", "text")
+    key = StructType([rows.schema["doc_id"]])
+    schema = StructType.fromDDL("start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return rows.mapInArrow(_packed(sent, window, last, padding), StructType(key.fields + schema.fields))

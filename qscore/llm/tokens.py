@@ -1,28 +1,33 @@
-"""Token ids of whole texts by a public tokenizer, whose vocabulary the driver reads and sends to the tasks."""
+"""Token ids of whole texts by a public tokenizer."""
 
 from __future__ import annotations
 
 import json
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, SparkSession, functions as F
 
-#: Byte-level pieces never go on past white space that follows anything else, so texts may be cut before it. The
-#: white space before is any; that after is what every engine takes for such.
+# Byte-level pieces do not go on past white space that follows anything else, and take one blank at most before
+# them. So a text may be cut before white space that follows anything else, and the ids of the parts are those
+# of the whole. What is white space differs from engine to engine: that after a cut is what all take for such,
+# that before is any.
+_RUN = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?=[ \t\n\r])")
-_HELD = 48 << 20  # bytes of parts of texts, with their ids, that a worker keeps
+_LETTER, _SIGN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff", r"!-/:-@\[-`{-~"
+_SMALL = re.compile(rf"(?<=\S)(?=\n)|(?<=[{_LETTER}])(?=[{_SIGN}])|(?<=\S\n)(?=[{_LETTER}])")
+_WORD = re.compile(f" ?[{_LETTER}]+")
+_HELD = 128 << 20  # bytes of parts of texts, with their ids, that a worker keeps, and as much of older ones
+_AT_ONCE = 1 << 20  # characters of texts that are looked at together
 
 
 class Encoder:
     """Ids as little-endian unsigned 32-bit numbers.
 
-    Where the vocabulary allows it, parts of texts between white space are looked up among those encoded before;
-    the ids are those of the whole text. Strings of special tokens in a text are its own, unless the
-    vocabulary's file says otherwise for the whole text, too.
+    Where the vocabulary allows it, texts are cut at white space, and parts are looked up among those encoded
+    before; the ids are those of the whole text. Special tokens in a text are what the vocabulary's file says.
     """
 
     def __init__(self, vocabulary: str) -> None:
@@ -30,44 +35,117 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, said = Tokenizer.from_str(vocabulary), json.loads(vocabulary)
-        cut = said.get("pre_tokenizer") or {}
-        added = said.get("added_tokens") or []
+        cut, added = said.get("pre_tokenizer") or {}, said.get("added_tokens") or []
         self.by_part = (
             said.get("normalizer") is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True)
             and not cut.get("add_prefix_space")
             and not any(t.get("lstrip") or t.get("rstrip") or re.search(r"\s", t["content"]) for t in added)
         )
-        self.known: dict[str, bytes] = {}
+        self.added = [t["content"] for t in added]
+        self.known: dict[str, dict[str, bytes]] = {"": {}, " ": {}}  # by what stands before a part
+        self.forget()
+
+    def forget(self) -> None:
+        """Only parts that come again are taken over from those known before."""
+        self.old, self.known = self.known, {"": {}, " ": {}}
         self.held = 0
 
-    def ids(self, text: str | None) -> bytes:
-        parts = _CUT.split(text or "") if self.by_part else [text or ""]
-        new = [p for p in dict.fromkeys(parts) if p not in self.known]
-        for part, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[part] = np.array(found.ids, "<u4").tobytes()
-            self.held += 200 + 2 * len(part) + len(self.known[part])
-        out = b"".join([self.known[p] for p in parts])
+    def _get(self, piece: str) -> bytes | None:
+        before = " " if piece[:1] == " " else ""
+        part = piece[len(before) :]
+        found = self.known[before].get(part)
+        if found is None and (found := self.old[before].get(part)) is not None:
+            self._keep(piece, found)
+        return found
+
+    def _keep(self, piece: str, ids: bytes) -> None:
+        before = " " if piece[:1] == " " else ""
+        self.known[before][piece[len(before) :]] = ids
+        self.held += 200 + len(piece) + len(ids)
+
+    def _words(self, words: list[str], before: str) -> None:
+        """Words of letters, encoded as one text: each is a piece of its own, after ``before`` if that is one, too."""
+        for at in range(0, len(words), 2000):
+            some = words[at : at + 2000]
+            found = self.tokenizer.encode("".join([before + w for w in some]), add_special_tokens=False)
+            ids, number = np.array(found.ids, "<u4").tobytes(), np.array(found.word_ids)
+            ends = np.flatnonzero(np.r_[number[1:] != number[:-1], True]) + 1
+            starts = np.r_[0, ends[:-1]]
+            step = 1 + len(before)
+            for word, lo, hi in zip(some, (4 * starts[step - 1 :: step]).tolist(), (4 * ends[step - 1 :: step]).tolist()):
+                self._keep(word, ids[lo:hi])
+
+    def _learn(self, parts: list[str]) -> None:
+        made_of = {}  # of parts that are no words
+        unknown: dict[str, None] = {}
+        for part in parts:
+            if self._get(part) is not None:
+                continue
+            if _WORD.fullmatch(part):
+                unknown[part] = None
+                continue
+            made_of[part] = [part] if any(a in part for a in self.added) else _SMALL.split(part)
+            unknown.update(dict.fromkeys(p for p in made_of[part] if self._get(p) is None))
+        words = [p for p in unknown if _WORD.fullmatch(p)]
+        self._words([w for w in words if w[0] == " "], "")
+        self._words([w for w in words if w[0] != " "], "\n")
+        others = [p for p in unknown if not _WORD.fullmatch(p)]
+        for part, found in zip(others, self.tokenizer.encode_batch(others, add_special_tokens=False)):
+            self._keep(part, np.array(found.ids, "<u4").tobytes())
+        for part, pieces in made_of.items():
+            if len(pieces) > 1:
+                self._keep(part, b"".join([self._get(p) for p in pieces]))
+
+    def _cut(self, text: str) -> list[tuple[str, list[str]]]:
+        """Parts of a text, by what stands before them."""
+        if _RUN.search(text):
+            first, others = _CUT.split(text), []
+            return [(p[0], [p[1:]]) if p[0] == " " else ("", [p]) for p in first]
+        first, *others = text.split(" ")
+        return [("", [first] if first else []), (" ", others)]
+
+    def _some(self, texts: list[str]) -> list[bytes]:
+        looked, new = [], {"": {}, " ": {}}
+        for text in texts:
+            mine = []
+            for before, parts in self._cut(text) if text else ():
+                out = list(map(self.known[before].get, parts))
+                if None in out:
+                    new[before].update(dict.fromkeys(p for p, ids in zip(parts, out) if ids is None))
+                mine.append((before, parts, out))
+            looked.append(mine)
+        self._learn([before + p for before, parts in new.items() for p in parts])
+        whole = []
+        for mine in looked:
+            ids = []
+            for before, parts, out in mine:
+                if None in out:
+                    known = self.known[before]
+                    out = [known[p] if i is None else i for p, i in zip(parts, out)]
+                ids += out
+            whole.append(b"".join(ids))
         if self.held > _HELD:
-            self.known, self.held = {}, 0
-        return out
+            self.forget()
+        return whole
+
+    def ids(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text; a null text has none."""
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and size < _AT_ONCE:
+                size += len(texts[end] or "")
+                end += 1
+            some = [t or "" for t in texts[at:end]]
+            if self.by_part:
+                yield from self._some(some)
+            else:
+                for text in some:
+                    yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            at = end
 
 
 @lru_cache(maxsize=2)
-def _encoder(vocabulary: str) -> Encoder:
+def encoder(vocabulary: str) -> Encoder:
     """One for all batches of a worker."""
     return Encoder(vocabulary)
-
-
-def token_ids(spark: SparkSession, vocabulary: str, text: str = "text", last: int | None = None) -> Column:
-    """The ids of a text (null: empty) as binary, 4 bytes each, and ``last`` after them. ``vocabulary`` is the path of
-    a file of the tokenizers library on the driver; its few megabytes are broadcast."""
-    with open(vocabulary, encoding="utf-8") as file:
-        sent = spark.sparkContext.broadcast(file.read())
-    end = b"" if last is None else np.array([last], "<u4").tobytes()
-
-    @F.pandas_udf("binary")
-    def of(texts: pd.Series) -> pd.Series:
-        encoder = _encoder(sent.value)
-        return pd.Series([encoder.ids(t) + end for t in texts], dtype=object)
-
-    return of(F.col(text))
