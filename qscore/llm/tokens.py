@@ -18,9 +18,8 @@ _RUN = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?=[ \t\n\r])")
 _LETTER, _SIGN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff", r"!-/:-@\[-`{-~"
 _SMALL = re.compile(rf"(?<=\S)(?=\n)|(?<=[{_LETTER}])(?=[{_SIGN}])|(?<=\S\n)(?=[{_LETTER}])")
-_WORD = re.compile(f" ?[{_LETTER}]+")
 _HELD = 128 << 20  # bytes of parts of texts, with their ids, that a worker keeps, and as much of older ones
-_AT_ONCE = 1 << 20  # characters of texts that are looked at together
+_AT_ONCE = 1 << 21  # characters of texts that are looked at together
 
 
 class Encoder:
@@ -50,83 +49,70 @@ class Encoder:
         self.old, self.known = self.known, {"": {}, " ": {}}
         self.held = 0
 
-    def _get(self, piece: str) -> bytes | None:
-        before = " " if piece[:1] == " " else ""
-        part = piece[len(before) :]
-        found = self.known[before].get(part)
-        if found is None and (found := self.old[before].get(part)) is not None:
-            self._keep(piece, found)
-        return found
+    def _keep(self, before: str, parts: list[str], ids: list[bytes]) -> None:
+        self.known[before].update(zip(parts, ids))
+        self.held += 200 * len(parts) + sum(map(len, parts)) + sum(map(len, ids))
 
-    def _keep(self, piece: str, ids: bytes) -> None:
-        before = " " if piece[:1] == " " else ""
-        self.known[before][piece[len(before) :]] = ids
-        self.held += 200 + len(piece) + len(ids)
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str], before: str) -> None:
-        """Words of letters, encoded as one text: each is a piece of its own, after ``before`` if that is one, too."""
-        for at in range(0, len(words), 2000):
-            some = words[at : at + 2000]
-            found = self.tokenizer.encode("".join([before + w for w in some]), add_special_tokens=False)
-            ids, number = np.array(found.ids, "<u4").tobytes(), np.array(found.word_ids)
-            ends = np.flatnonzero(np.r_[number[1:] != number[:-1], True]) + 1
-            starts = np.r_[0, ends[:-1]]
-            step = 1 + len(before)
-            for word, lo, hi in zip(some, (4 * starts[step - 1 :: step]).tolist(), (4 * ends[step - 1 :: step]).tolist()):
-                self._keep(word, ids[lo:hi])
-
-    def _learn(self, parts: list[str]) -> None:
-        made_of = {}  # of parts that are no words
-        unknown: dict[str, None] = {}
-        for part in parts:
-            if self._get(part) is not None:
-                continue
-            if _WORD.fullmatch(part):
-                unknown[part] = None
-                continue
-            made_of[part] = [part] if any(a in part for a in self.added) else _SMALL.split(part)
-            unknown.update(dict.fromkeys(p for p in made_of[part] if self._get(p) is None))
-        words = [p for p in unknown if _WORD.fullmatch(p)]
-        self._words([w for w in words if w[0] == " "], "")
-        self._words([w for w in words if w[0] != " "], "\n")
-        others = [p for p in unknown if not _WORD.fullmatch(p)]
-        for part, found in zip(others, self.tokenizer.encode_batch(others, add_special_tokens=False)):
-            self._keep(part, np.array(found.ids, "<u4").tobytes())
-        for part, pieces in made_of.items():
-            if len(pieces) > 1:
-                self._keep(part, b"".join([self._get(p) for p in pieces]))
+        """Words of letters after a blank, or after nothing: many encoded as one text, where each is one piece."""
+        gap = before or "\n"  # a piece of its own before a word
+        for at in range(0, len(words), 4000):
+            some = words[at : at + 4000]
+            found = self.tokenizer.encode(gap + gap.join(some), add_special_tokens=False)
+            number = np.array(found.word_ids)
+            edges = np.r_[0, np.flatnonzero(number[1:] != number[:-1]) + 1, len(number)]
+            if len(edges) - 1 == len(some) * (1 if before else 2):
+                edges, ids = (4 * edges).tolist(), np.array(found.ids, "<u4").tobytes()
+                starts, ends = (edges[:-1], edges[1:]) if before else (edges[1:-1:2], edges[2::2])
+                self._keep(before, some, [ids[lo:hi] for lo, hi in zip(starts, ends)])
+            else:  # the engines do not agree on what a letter is
+                self._keep(before, some, self._encoded([before + w for w in some]))
+
+    def _learn(self, before: str, parts: set[str], whole: bool) -> None:
+        """Parts that are not known; ``whole``: they must not be cut further."""
+        known, old = self.known[before], self.old[before]
+        new = parts.difference(known)
+        again = [p for p in new if p in old]
+        self._keep(before, again, [old[p] for p in again])
+        new.difference_update(again)
+        words = [p for p in new if p.isalpha()]
+        self._words(words, before)
+        new.difference_update(words)
+        if not new:
+            return
+        others = list(new)
+        if whole or len(others) == 1:
+            self._keep(before, others, self._encoded([before + p for p in others]))
+            return
+        cut = [_SMALL.split(before + p) for p in others]
+        blank, bare = set(), set()
+        for pieces in cut:
+            for p in pieces:
+                blank.add(p[1:]) if p[0] == " " else bare.add(p)
+        for lead, some in ((" ", blank), ("", bare)):
+            self._learn(lead, some, True)
+        of = {" ": self.known[" "], "": self.known[""]}
+        self._keep(before, others, [b"".join([of[" "][p[1:]] if p[0] == " " else of[""][p] for p in pieces]) for pieces in cut])
 
     def _cut(self, text: str) -> list[tuple[str, list[str]]]:
         """Parts of a text, by what stands before them."""
         if _RUN.search(text):
-            first, others = _CUT.split(text), []
-            return [(p[0], [p[1:]]) if p[0] == " " else ("", [p]) for p in first]
+            return [(" ", [p[1:]]) if p[0] == " " else ("", [p]) for p in _CUT.split(text)]
         first, *others = text.split(" ")
-        return [("", [first] if first else []), (" ", others)]
+        return [("", [first]), (" ", others)] if first else [(" ", others)]
 
     def _some(self, texts: list[str]) -> list[bytes]:
-        looked, new = [], {"": {}, " ": {}}
-        for text in texts:
-            mine = []
-            for before, parts in self._cut(text) if text else ():
-                out = list(map(self.known[before].get, parts))
-                if None in out:
-                    new[before].update(dict.fromkeys(p for p, ids in zip(parts, out) if ids is None))
-                mine.append((before, parts, out))
-            looked.append(mine)
-        self._learn([before + p for before, parts in new.items() for p in parts])
-        whole = []
-        for mine in looked:
-            ids = []
-            for before, parts, out in mine:
-                if None in out:
-                    known = self.known[before]
-                    out = [known[p] if i is None else i for p, i in zip(parts, out)]
-                ids += out
-            whole.append(b"".join(ids))
+        cut = [self._cut(t) if t else [] for t in texts]
+        special = any(a in t for t in texts for a in self.added)
+        for lead in ("", " "):
+            self._learn(lead, set().union(*[parts for mine in cut for before, parts in mine if before == lead]), special)
+        out = [b"".join([i for before, parts in mine for i in map(self.known[before].__getitem__, parts)]) for mine in cut]
         if self.held > _HELD:
             self.forget()
-        return whole
+        return out
 
     def ids(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text; a null text has none."""
