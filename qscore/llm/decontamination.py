@@ -116,8 +116,10 @@ def contaminated(
         *[F.bit_count(F.col("_same").bitwiseAND(F.lit(((1 << stretch) - 1) << s).cast("long"))) for s in range(_PLACES - stretch + 1)]
     )
     pairs = join_few(found, items, "seed", ["text_hash", "place"])
+    # Exploded, so that Spark does not put the whole comparison in each place that asks for its outcome.
+    same = F.explode(F.array(reduce(lambda a, b: a.bitwiseOR(b), bits))).alias("_same")
     sure = (
-        pairs.withColumn("_same", reduce(lambda a, b: a.bitwiseOR(b), bits)).where(most >= F.col("needed"))
+        pairs.select("text_hash", "place", "item_id", "needed", same).where(most >= F.col("needed"))
         .withColumn("equal_words", F.bit_count("_same").cast("int"))
     )
     best = F.max_by(F.struct("item_id", "equal_words"), F.struct("equal_words", -F.col("item_id")))
