@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,10 +19,21 @@ _RUN = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?=[ \t\n\r])")
 _LETTER, _SIGN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff", r"!-/:-@\[-`{-~"
 _SMALL = re.compile(rf"(?<=\S)(?=\n)|(?<=[{_LETTER}])(?=[{_SIGN}])|(?<=\S\n)(?=[{_LETTER}])")
+_WORD = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+")  # letters in any version of Unicode
 _HELD = 128 << 20  # bytes of parts of texts, with their ids, that a worker keeps, and as much of older ones
 _AT_ONCE = 1 << 21  # characters of texts that are looked at together
 
 
+class _Bytes(dict):
+    """For each character, by its number, the characters that stand for its bytes in a byte-level vocabulary."""
+
+    def __missing__(self, number: int) -> str:
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self[number] = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(number))[0][0]
+        return self[number]
+
+
 class Encoder:
     """Ids as little-endian unsigned 32-bit numbers.
 
@@ -37,10 +49,11 @@ class Encoder:
         cut, added = said.get("pre_tokenizer") or {}, said.get("added_tokens") or []
         self.by_part = (
             said.get("normalizer") is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True)
-            and not cut.get("add_prefix_space")
+            and not cut.get("add_prefix_space") and said["model"]["type"] == "BPE" and not said["model"].get("dropout")
             and not any(t.get("lstrip") or t.get("rstrip") or re.search(r"\s", t["content"]) for t in added)
         )
         self.added = [t["content"] for t in added]
+        self.bytes_of = _Bytes()
         self.known: dict[str, dict[str, bytes]] = {"": {}, " ": {}}  # by what stands before a part
         self.forget()
 
@@ -57,19 +70,9 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str], before: str) -> None:
-        """Words of letters after a blank, or after nothing: many encoded as one text, where each is one piece."""
-        gap = before or "\n"  # a piece of its own before a word
-        for at in range(0, len(words), 4000):
-            some = words[at : at + 4000]
-            found = self.tokenizer.encode(gap + gap.join(some), add_special_tokens=False)
-            number = np.array(found.word_ids)
-            edges = np.r_[0, np.flatnonzero(number[1:] != number[:-1]) + 1, len(number)]
-            if len(edges) - 1 == len(some) * (1 if before else 2):
-                edges, ids = (4 * edges).tolist(), np.array(found.ids, "<u4").tobytes()
-                starts, ends = (edges[:-1], edges[1:]) if before else (edges[1:-1:2], edges[2::2])
-                self._keep(before, some, [ids[lo:hi] for lo, hi in zip(starts, ends)])
-            else:  # the engines do not agree on what a letter is
-                self._keep(before, some, self._encoded([before + w for w in some]))
+        """Words of letters after a blank, or after nothing, are one piece each, which the model can take as it is."""
+        split, bytes_of = self.tokenizer.model.tokenize, self.bytes_of
+        self._keep(before, words, [array("I", [t.id for t in split((before + w).translate(bytes_of))]).tobytes() for w in words])
 
     def _learn(self, before: str, parts: set[str], whole: bool) -> None:
         """Parts that are not known; ``whole``: they must not be cut further."""
@@ -78,7 +81,7 @@ class Encoder:
         again = [p for p in new if p in old]
         self._keep(before, again, [old[p] for p in again])
         new.difference_update(again)
-        words = [p for p in new if p.isalpha()]
+        words = [p for p in new if _WORD.fullmatch(p)]
         self._words(words, before)
         new.difference_update(words)
         if not new:
