@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -20,7 +21,7 @@ _CUT = re.compile(r"(?<=\S)(?=[ \t\n\r])")
 _LETTER, _SIGN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff", r"!-/:-@\[-`{-~"
 _SMALL = re.compile(rf"(?<=\S)(?=\n)|(?<=[{_LETTER}])(?=[{_SIGN}])|(?<=\S\n)(?=[{_LETTER}])")
 _WORD = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+")  # letters in any version of Unicode
-_HELD = 128 << 20  # bytes of parts of texts, with their ids, that a worker keeps, and as much of older ones
+_HELD = 176 << 20  # bytes of parts of texts, with their ids, that a worker keeps, and as much of older ones
 _AT_ONCE = 1 << 21  # characters of texts that are looked at together
 
 
@@ -108,6 +109,15 @@ class Encoder:
         return [("", [first]), (" ", others)] if first else [(" ", others)]
 
     def _some(self, texts: list[str]) -> list[bytes]:
+        collects = gc.isenabled()
+        gc.disable()  # of very many parts none refers to another
+        try:
+            return self._joined(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _joined(self, texts: list[str]) -> list[bytes]:
         cut = [self._cut(t) if t else [] for t in texts]
         special = any(a in t for t in texts for a in self.added)
         for lead in ("", " "):
