@@ -17,7 +17,6 @@ from qscore.llm.repeats import Levels, Tables, covered, lean, marks
 
 WORDS = 35
 _GRAM = 20
-_SMALLEST = -(1 << 63)
 
 
 def _read(text: bytes | None) -> np.ndarray:
@@ -25,11 +24,6 @@ def _read(text: bytes | None) -> np.ndarray:
     return np.array([digest(w) for w in text.split()] if text else [], dtype=np.uint64)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(doc, text) with the text as bytes; a null doc_id is the smallest."""
-    return docs.select(F.coalesce("doc_id", F.lit(_SMALLEST)).cast("long").alias("doc"), F.col("text").cast("binary").alias("text"))
-
-
 def _key() -> Column:
     """Of a row's doc_id and text: what repeats in one text says nothing about another of the same doc_id."""
     return F.xxhash64("doc_id", "text")
