@@ -92,6 +92,11 @@ def _only(files: DataFrame, changed: DataFrame, most: int = _FEW_PATHS) -> DataF
     return files.join(F.broadcast(touched), list(_FILE), "left_semi")
 
 
+def opened(files: DataFrame, changed: DataFrame) -> DataFrame:
+    """The files that are in ``changed`` (repo, path); null content is no file."""
+    return _only(files, changed).join(changed.select(*_FILE), list(_FILE), "left_semi").where(F.col("content").isNotNull())
+
+
 def changed_lines(base: DataFrame, target: DataFrame, changed: DataFrame | None = None) -> DataFrame:
     """(repo, path, change, line, copies): lines added to and removed from each file.
 

@@ -382,6 +382,11 @@ _SELECTS: dict[str, str] = {
         {_IS_SOURCE} AS is_source, {_IS_NON_CODE} AS is_non_code FROM files""",
     "non_code_files": f"SELECT repo, path FROM files WHERE {_IS_NON_CODE}",
     "snapshot_changes": "SELECT repo, path, change_type FROM snap",
+    "patched_files": """SELECT repo, path, sha256(content) AS content_sha256 FROM target_files
+        JOIN snap USING (repo, path)""",
+    "line_change_counts": """SELECT repo, path, CAST(coalesce(len(string_split(t.content, chr(10))), 0)
+        - coalesce(len(string_split(b.content, chr(10))), 0) AS BIGINT) AS net_lines FROM snap
+        LEFT JOIN target_files t USING (repo, path) LEFT JOIN base_files b USING (repo, path)""",
     "range_changes": "SELECT range, repo, path FROM range_files",
     "commits_in_range": """SELECT range, c.repo, seq, regexp_extract(log_line, '^([0-9a-f]+) ', 1) AS hash,
         regexp_extract(log_line, '^[0-9a-f]+ (.+)$', 1) AS message FROM commit_log c JOIN

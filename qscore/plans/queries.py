@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from qscore import constants as K
 from qscore.functions import code, paths, text
 from qscore.operators import changes as chg
+from qscore.operators import diffs as dif
 from qscore.operators import duplicates as dup
 from qscore.operators import findings as fnd
 from qscore.operators import gate as gt
@@ -156,6 +157,31 @@ def changed_lines(spark, sf_dir):
     return chg.changed_lines(base, target, _changed(base, target))
 
 
+def _diffs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    base, target = corpus.base_files(spark, sf_dir), corpus.target_files(spark, sf_dir)
+    return base, materialize(dif.unified_diffs(base, target, _changed(base, target)), "diffs")
+
+
+@query
+def unified_diffs(spark, sf_dir):
+    return _diffs(spark, sf_dir)[1]
+
+
+@query
+def patched_files(spark, sf_dir):
+    """Each changed file, as the diff of its two versions makes it from the first one."""
+    after = dif.apply_diffs(*_diffs(spark, sf_dir))
+    return after.select(*_FILE, F.sha2(F.col("content").cast("binary"), 256).alias("content_sha256"))
+
+
+@query
+def line_change_counts(spark, sf_dir):
+    """Lines that diffs add to and remove from each file, as one number: the files' lengths follow from it."""
+    found = dif.line_changes(_diffs(spark, sf_dir)[1])
+    sign = F.when(F.col("change") == "added", 1).otherwise(-1)
+    return found.groupBy(*_FILE).agg(F.sum(sign).alias("net_lines"))
+
+
 @query
 def diff_lines(spark, sf_dir):
     diffs = corpus.view(spark, sf_dir, "diffs")
