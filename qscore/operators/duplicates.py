@@ -12,7 +12,7 @@ from qscore import constants as K
 from qscore.functions import code
 from qscore.functions.text import bind, collapse_space, once
 from qscore.operators.findings import function_segments
-from qscore.operators.skew import join_few
+from qscore.operators.skew import join_few, spread_out
 from qscore.shared import materialize
 
 
@@ -148,7 +148,7 @@ def near_duplicates(
     """
     # One narrow pass over the texts; its small result is read several times below.
     sketches = materialize(
-        texts.where(F.col(column).isNotNull()).select(
+        spread_out(texts.where(F.col(column).isNotNull()), key).select(
             key,
             F.sha2(F.col(column).cast("binary"), 256).alias("_hash"),
             bands(word_runs(F.col(column))).alias("_bands"),

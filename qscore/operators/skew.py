@@ -18,6 +18,13 @@ _PARTS = 10_000
 _MIN_ROWS = 100_000
 
 
+def spread_out(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows`` on all cores before work that is costly for each row: a scan that has fewer partitions than there are
+    cores, as of one small file, is dealt out; any other is not shuffled."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, *by) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def hot_keys(sizes: DataFrame, weight: str, min_rows: int = _MIN_ROWS) -> DataFrame:
     """Rows of ``sizes`` (one per key) whose ``weight`` is above 1/10,000 of the sum."""
     total = sizes.agg(F.sum(weight)).scalar()

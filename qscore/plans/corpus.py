@@ -128,6 +128,23 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
                ELSE ' order ' || o_orderpriority END AS log_line""",
         ],
     ),
+    "commit_numbers": (
+        "orders",
+        [
+            "o_custkey - o_custkey % 10 AS repo",
+            "row_number() OVER (PARTITION BY o_custkey - o_custkey % 10 ORDER BY o_orderkey) AS n",
+        ],
+    ),
+    # Branches from every third commit, a merge at every fifth, and a new root at every 29th.
+    "commit_parents": (
+        "commit_numbers",
+        [
+            "repo",
+            "CAST(n AS BIGINT) AS n",
+            "CAST(CASE WHEN n % 29 = 1 THEN NULL WHEN n % 3 = 0 THEN n - 2 ELSE n - 1 END AS BIGINT) AS p0",
+            "CAST(CASE WHEN n % 29 = 1 THEN NULL WHEN n % 5 = 0 AND n > 9 THEN n - 4 WHEN n % 31 = 0 THEN n - 30 END AS BIGINT) AS p1",
+        ],
+    ),
     "findings_in": (
         "orders",
         [

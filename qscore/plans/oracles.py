@@ -360,6 +360,11 @@ def _md_block(section: int, lines: list[str], where: str) -> str:
         unnest([{', '.join(lines)}]) AS text FROM markdown_frame WHERE {where}"""
 
 
+_ANCESTORS = """WITH RECURSIVE up AS (SELECT repo, n AS c, p0 AS p FROM commit_parents WHERE p0 IS NOT NULL
+        UNION ALL SELECT repo, n, p1 FROM commit_parents WHERE p1 IS NOT NULL),
+        anc(repo, tip, c) AS (SELECT repo, n, n FROM commit_parents
+          UNION SELECT a.repo, tip, p FROM anc a JOIN up u ON u.repo = a.repo AND u.c = a.c),
+        pair AS (SELECT repo * 1000000 + n AS id, repo, n - 5 AS base, n AS target FROM commit_parents WHERE n % 7 = 0)"""
 _HISTORY = "PARTITION BY repo ORDER BY ts, event_id"
 _SELECTS: dict[str, str] = {
     "exclude_paths": f"SELECT repo, path FROM files WHERE NOT {_EXCLUDED}",
@@ -382,6 +387,14 @@ _SELECTS: dict[str, str] = {
         {_IS_SOURCE} AS is_source, {_IS_NON_CODE} AS is_non_code FROM files""",
     "non_code_files": f"SELECT repo, path FROM files WHERE {_IS_NON_CODE}",
     "snapshot_changes": "SELECT repo, path, change_type FROM snap",
+    "reachable_commits": f"""SELECT * FROM ({_ANCESTORS}
+        SELECT id, p.repo, t.c AS "commit" FROM pair p JOIN anc t ON t.repo = p.repo AND t.tip = p.target
+        WHERE NOT EXISTS (SELECT 1 FROM anc b WHERE b.repo = p.repo AND b.tip = p.base AND b.c = t.c))""",
+    "merge_bases": f"""SELECT * FROM ({_ANCESTORS},
+        common AS (SELECT id, p.repo, t.c FROM pair p JOIN anc t ON t.repo = p.repo AND t.tip = p.target
+          JOIN anc b ON b.repo = p.repo AND b.tip = p.base AND b.c = t.c),
+        led AS (SELECT DISTINCT o.id, a.c FROM common o JOIN anc a ON a.repo = o.repo AND a.tip = o.c AND a.c <> o.c)
+        SELECT o.id, o.repo, o.c AS "commit" FROM common o LEFT JOIN led l ON l.id = o.id AND l.c = o.c WHERE l.c IS NULL)""",
     "patched_files": """SELECT repo, path, sha256(content) AS content_sha256 FROM target_files
         JOIN snap USING (repo, path)""",
     "line_change_counts": """SELECT repo, path, CAST(coalesce(len(string_split(t.content, chr(10))), 0)

@@ -13,6 +13,7 @@ from qscore.operators import diffs as dif
 from qscore.operators import duplicates as dup
 from qscore.operators import findings as fnd
 from qscore.operators import gate as gt
+from qscore.operators import history as hst
 from qscore.operators import ranking as rnk
 from qscore.operators import review as rev
 from qscore.operators import scoring as scr
@@ -146,6 +147,28 @@ def commits_in_range(spark, sf_dir):
     return cmt.commits_in_range(log, _ranges(log).drop("org"))
 
 
+def _history(spark: SparkSession, sf_dir: str) -> tuple[hst.Graph, DataFrame]:
+    """The commit graph, and pairs (id, repo, base, target) of commits of all repos."""
+    rows = materialize(corpus.view(spark, sf_dir, "commit_parents"), "commit-parents")
+    first = rows.selectExpr("repo", "n AS commit", "0 AS nth", "p0 AS parent")
+    second = rows.where("p1 is not null").selectExpr("repo", "n AS commit", "1 AS nth", "p1 AS parent")
+    pairs = rows.where("n % 7 = 0").selectExpr("repo * 1000000 + n AS id", "repo", "n - 5 AS base", "n AS target")
+    return hst.graph(first.unionByName(second)), pairs
+
+
+@query
+def reachable_commits(spark, sf_dir):
+    """``base..target`` of every pair."""
+    of, pairs = _history(spark, sf_dir)
+    target, base = (pairs.select("id", "repo", F.col(c).alias("commit")) for c in ("target", "base"))
+    return hst.reachable(of, target, base)
+
+
+@query
+def merge_bases(spark, sf_dir):
+    return hst.merge_bases(*_history(spark, sf_dir))
+
+
 def _changed(base: DataFrame, target: DataFrame) -> DataFrame:
     """The changed paths as a written table: found once, and of known size for later joins."""
     return materialize(chg.snapshot_changes(base, target), "changed")
