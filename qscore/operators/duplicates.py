@@ -6,6 +6,10 @@ the output grows with the copies, not with their square. Groups of any size are
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from qscore import constants as K
@@ -78,11 +82,12 @@ def as_findings(duplicates: DataFrame) -> DataFrame:
 # ----------------------------------------------------------------------- near copies
 WORDS = 5
 SIMILAR = 0.8
-BANDS, ROWS = 8, 2
-_PRIME = 2**31 - 1
-# (a, b) of the hash h -> (a h + b) mod _PRIME, one per band and row: powers of two
-# primitive roots of the prime.
-_HASHES = [(pow(48271, k, _PRIME), pow(16807, k, _PRIME)) for k in range(1, BANDS * ROWS + 1)]
+# Texts from which common runs are learnt, and common runs that are sent to the tasks (8 bytes each) at
+# most. Both only set the order in which runs are looked at; no result depends on it.
+_SEEN_TEXTS, _COMMON_RUNS = 5_000, 100_000
+# Texts of one run that one task compares with as many others.
+_BLOCK = 1_000
+_EPSILON = 1e-9
 
 
 def word_runs(text: Column, words: int = WORDS) -> Column:
@@ -100,62 +105,104 @@ def shingles(text: Column, words: int = WORDS) -> Column:
     return F.array_distinct(word_runs(text, words))
 
 
-def bands(runs: Column) -> Column:
-    """Eight band keys of two min-hashes each.
-
-    Texts with Jaccard similarity s share a band with probability 1 - (1 - s^2)^8: 99.97 %
-    at 0.8. One md5 per run gives 28 bits, from which every min-hash is computed, so that
-    any engine can do the same.
-    """
-    numbers = F.transform(
-        runs, lambda r: F.conv(F.substring(F.md5(r.cast("binary")), 1, 7), 16, 10).cast("bigint")
+def run_hashes(text: Column, words: int = WORDS) -> Column:
+    """The distinct runs of a text as 64-bit hashes: one hash per word, then one per run of those."""
+    hashed = F.transform(F.split(collapse_space(F.lower(text)), " "), lambda w: F.xxhash64(w))
+    return bind(
+        hashed,
+        lambda tokens: F.array_distinct(
+            F.transform(
+                F.sequence(F.lit(0), F.greatest(F.size(tokens) - words, F.lit(0))),
+                lambda i: F.xxhash64(F.slice(tokens, i + 1, words)),
+            )
+        ),
     )
 
-    def least(hashes: Column, k: int) -> Column:
-        a, b = (F.lit(n).cast("bigint") for n in _HASHES[k])
-        return F.array_min(F.transform(hashes, lambda h: (h * a + b) % _PRIME)).cast("string")
 
-    def keys(hashes: Column) -> Column:
-        return F.array(
-            *[
-                F.concat_ws(":", F.lit(str(n)), *[least(hashes, n * ROWS + r) for r in range(ROWS)])
-                for n in range(BANDS)
-            ]
-        )
+def _common_runs(sets: DataFrame, n_texts: int) -> np.ndarray:
+    """Runs in more than one of a thousand texts of a bounded sample, the most common last."""
+    share = max(1, -(-n_texts // _SEEN_TEXTS))
+    seen = sets.where(F.pmod(F.xxhash64("_hash", F.lit(1)), F.lit(share)) == 0)
+    least = max(2, min(n_texts, _SEEN_TEXTS) // 1_000)
+    counts = seen.select(F.explode("_runs").alias("_run")).groupBy("_run").agg(F.count(F.lit(1)).alias("_n"))
+    common = counts.where(F.col("_n") > least).orderBy(F.desc("_n"), "_run").limit(_COMMON_RUNS).collect()
+    return np.array([r["_run"] for r in reversed(common)], np.int64)
 
-    return bind(numbers, keys)
 
+def _rarest(common: np.ndarray, spark, similar: float):
+    """The n - ceil(similar * n) + 1 rarest of the n runs of a text, rarest first: two texts of that
+    similarity share one of them at least, whatever order all texts agree on."""
+    order = np.argsort(common, kind="stable")
+    sent = spark.sparkContext.broadcast((common[order], order))
 
-def jaccard(one: Column, other: Column) -> Column:
-    """Exact similarity of the shingle sets of two texts."""
+    @F.pandas_udf("array<bigint>")
+    def rarest(sets: pd.Series) -> pd.Series:
+        known, rank = sent.value
 
-    def of(a: Column, b: Column) -> Column:
-        both = F.size(F.array_intersect(a, b))
-        return F.round(both / (F.size(a) + F.size(b) - both), 6)
+        def pick(runs: np.ndarray) -> np.ndarray:
+            runs = np.sort(np.asarray(runs, np.int64))
+            most = len(runs) - math.ceil(similar * len(runs) - _EPSILON) + 1
+            if len(known):
+                at = np.minimum(np.searchsorted(known, runs), len(known) - 1)
+                runs = runs[np.argsort(np.where(known[at] == runs, rank[at] + 1, 0), kind="stable")]
+            return runs[:most]
+
+        return sets.map(pick)
+
+    return rarest
+
+
+def _blocks(shared: DataFrame, key: str) -> DataFrame:
+    """Pairs of rows that share a run, the smaller key first. A run of many texts is cut into blocks of about
+    ``_BLOCK`` texts, and every pair of blocks is one group of its own."""
+    block = F.pmod(F.xxhash64(key, F.lit(2)), F.col("_blocks")).cast("int")
+    dealt = shared.withColumn("_i", block)
+
+    def side(name: str, row: Column, column: Column) -> DataFrame:
+        return dealt.select(
+            "_run", row.alias("_row"), column.alias("_column"),
+            F.struct(F.col(key).alias("id"), F.col("_size").alias("n"), F.col("_at").alias("at")).alias(name),
+        )
 
-    return bind(shingles(one), lambda a: bind(shingles(other), lambda b: of(a, b)))
+    one = side("_a", F.col("_i"), F.explode(F.sequence(F.col("_i"), F.col("_blocks") - 1)))
+    other = side("_b", F.explode(F.sequence(F.lit(0), F.col("_i"))), F.col("_i"))
+    pairs = one.join(other, ["_run", "_row", "_column"])
+    # In a block's group with itself a pair would come twice.
+    once_each = (F.col("_row") < F.col("_column")) | (F.col("_a.id") < F.col("_b.id"))
+    return pairs.where(once_each & (F.col("_a.id") != F.col("_b.id"))).select(
+        F.least(F.col("_a.id"), F.col("_b.id")).alias("_first"),
+        F.greatest(F.col("_a.id"), F.col("_b.id")).alias(key),
+        F.col("_a.n").alias("_n_a"), F.col("_b.n").alias("_n_b"),
+        F.least(F.col("_a.n") - F.col("_a.at"), F.col("_b.n") - F.col("_b.at")).alias("_left"),
+    )
 
 
 def near_duplicates(
     texts: DataFrame, key: str = "doc_id", column: str = "text", similar: float = SIMILAR
 ) -> DataFrame:
-    """(key, first_<key>, jaccard): texts close to the first text of a band they share.
-
-    Exact copies are linked to their first copy and then leave; the others are compared
-    with the first text of each of their eight bands on the exact Jaccard similarity of
-    their word shingles. At most eight comparisons per text, whatever the group sizes; a
-    text is reported once for each first text it is close to.
+    """(key, first_<key>, jaccard): all pairs of different texts whose word-run sets are ``similar``, and
+    every further copy of a text with its first copy.
+
+    Each text stands for its copies under their least key; the pairs are pairs of those. The result is
+    complete: texts meet on their rarest runs (of n runs, the n - ceil(similar n) + 1 that are rarest), on
+    one of which every similar pair agrees. Pairs whose sizes or places in that order rule the similarity
+    out go before any set of runs is fetched; the others are compared on the whole sets. Runs are 64-bit
+    hashes; texts never move. Keys are unique; a null text or key is left out. An empty text is one empty run.
     """
-    # One narrow pass over the texts; its small result is read several times below.
+    spark = texts.sparkSession
+    present = texts.where(F.col(column).isNotNull() & F.col(key).isNotNull())
+    # One pass over the texts; its result is read several times below.
     sketches = materialize(
-        spread_out(texts.where(F.col(column).isNotNull()), key).select(
+        spread_out(present, key).select(
             key,
             F.sha2(F.col(column).cast("binary"), 256).alias("_hash"),
-            bands(word_runs(F.col(column))).alias("_bands"),
+            once(_runs=run_hashes(F.col(column))),
         ),
         "sketches",
     )
-    groups = sketches.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_first"))
+    groups = materialize(
+        sketches.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_first")), "text-groups"
+    )
     copies = (
         join_few(
             sketches.select(key, "_hash"),
@@ -167,33 +214,34 @@ def near_duplicates(
         .where(F.col(key) != F.col("_first"))
         .select(key, F.col("_first").alias(f"first_{key}"), F.lit(1.0).alias("jaccard"))
     )
-    banded = (
-        sketches.join(groups.select(F.col("_first").alias(key)), key, "left_semi")
-        .select(key, F.explode("_bands").alias("_band"))
+    sets = sketches.join(groups.select(F.col("_first").alias(key)), key, "left_semi")
+    rarest = _rarest(_common_runs(sets, groups.count()), spark, similar)
+    index = materialize(
+        sets.select(key, F.size("_runs").alias("_size"), rarest("_runs").alias("_rare")).select(
+            key, "_size", F.posexplode("_rare").alias("_at", "_run")
+        ),
+        "rare-runs",
     )
-    firsts = banded.groupBy("_band").agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_first"))
+    met = index.groupBy("_run").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    met = materialize(met.withColumn("_blocks", F.ceil(F.col("_n") / _BLOCK).cast("int")), "shared-runs")
+    shared = join_few(index, met.select("_run", "_blocks"), "_run", spread=(key,), sizes=met.select("_run", "_n"))
+    least = F.lit(similar / (1 + similar)) * (F.col("_n_a") + F.col("_n_b")) - _EPSILON
+    near_in_size = F.least("_n_a", "_n_b") >= F.greatest("_n_a", "_n_b") * similar - _EPSILON
     candidates = materialize(
-        join_few(
-            banded, firsts.where("_n > 1").select("_band", "_first"), "_band",
-            spread=(key,), sizes=firsts.select("_band", "_n"),
-        )
-        .where(F.col(key) != F.col("_first"))
-        .select(key, "_first")
-        .distinct(),
+        _blocks(shared, key).where(near_in_size & (F.col("_left") >= least)).select(key, "_first").distinct(),
         "candidates",
     )
-    words = texts.select(key, F.col(column).alias("_text"))
-    others = texts.select(F.col(key).alias("_first"), F.col(column).alias("_other"))
-    sizes = candidates.groupBy("_first").agg(F.count(F.lit(1)).alias("_n"))
-    pairs = join_few(
-        candidates.join(words, key), others, "_first", spread=(key,), sizes=sizes
-    )
-    near = (
-        pairs.select(
-            key,
-            F.col("_first").alias(f"first_{key}"),
-            once(jaccard=jaccard(F.col("_text"), F.col("_other"))),
-        )
-        .where(F.col("jaccard") >= similar)
-    )
-    return near.unionByName(copies)
+
+    def fetched(rows: DataFrame, by: str, name: str) -> DataFrame:
+        sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+        found = sketches.select(F.col(key).alias(by), F.col("_runs").alias(name))
+        return join_few(rows, found, by, spread=(key, "_first"), sizes=sizes)
+
+    pairs = fetched(fetched(candidates, key, "_one"), "_first", "_other")
+    both = F.size(F.array_intersect("_one", "_other"))
+    near = pairs.select(
+        key,
+        F.col("_first").alias(f"first_{key}"),
+        once(jaccard=bind(both, lambda n: n / (F.size("_one") + F.size("_other") - n))),
+    ).where(F.col("jaccard") >= similar)
+    return near.withColumn("jaccard", F.round("jaccard", 6)).unionByName(copies)

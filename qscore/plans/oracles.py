@@ -323,25 +323,11 @@ _CTES |= {
     "grams": """SELECT doc_id, text, list_distinct(list_transform(
         range(0, greatest(len(w) - 5, 0) + 1), lambda i: array_to_string(w[i + 1:i + 5], ' '))) AS g FROM tokens""",
     "uniques": "SELECT min(doc_id) AS doc_id, text FROM documents WHERE text IS NOT NULL GROUP BY text",
-    "hashes": """SELECT doc_id, list_transform(g,
-        lambda x: CAST('0x' || substr(md5(x), 1, 7) AS BIGINT)) AS h
-        FROM grams WHERE doc_id IN (SELECT doc_id FROM uniques)""",
-    "mins": """SELECT doc_id, n, list_min(list_transform(h, lambda x: (x * a + b) % 2147483647)) AS m
-        FROM hashes CROSS JOIN factors""",
-    "factors": "SELECT * FROM (VALUES "
-    + ", ".join(
-        f"({k - 1}, CAST({pow(48271, k, 2**31 - 1)} AS BIGINT), CAST({pow(16807, k, 2**31 - 1)} AS BIGINT))"
-        for k in range(1, 17)
-    )
-    + ") AS t(n, a, b)",
-    "banded": """SELECT doc_id, n // 2 || ':' || string_agg(m, ':' ORDER BY n) AS band
-        FROM mins GROUP BY doc_id, n // 2""",
-    "linked": """SELECT DISTINCT b.doc_id, f.first_doc_id FROM banded b JOIN
-        (SELECT band, min(doc_id) AS first_doc_id FROM banded GROUP BY band) f ON b.band = f.band
-        WHERE b.doc_id <> f.first_doc_id""",
-    "near": """SELECT l.doc_id, l.first_doc_id, round(CAST(len(list_intersect(a.g, b.g)) AS DOUBLE)
-        / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))), 6) AS jaccard
-        FROM linked l JOIN grams a ON a.doc_id = l.doc_id JOIN grams b ON b.doc_id = l.first_doc_id""",
+    "sets": "SELECT doc_id, len(g) AS n, unnest(g) AS run FROM grams WHERE doc_id IN (SELECT doc_id FROM uniques)",
+    "near": """SELECT a.doc_id, b.doc_id AS first_doc_id,
+        CAST(count(*) AS DOUBLE) / (any_value(a.n) + any_value(b.n) - count(*)) AS exact
+        FROM sets a JOIN sets b ON a.run = b.run AND b.doc_id < a.doc_id AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n
+        GROUP BY a.doc_id, b.doc_id""",
 }
 
 _MD_HEAD = [
@@ -546,7 +532,7 @@ _SELECTS: dict[str, str] = {
           FROM b_scores b JOIN t_scores t ON b.repo = t.repo)""",
     "duplicate_blocks": _duplicates("bodies"),
     "structural_duplicates": _duplicates("shapes"),
-    "near_duplicates": """SELECT * FROM near WHERE jaccard >= 0.8 UNION ALL
+    "near_duplicates": """SELECT doc_id, first_doc_id, round(exact, 6) AS jaccard FROM near WHERE exact >= 0.8 UNION ALL
         SELECT d.doc_id, u.doc_id, CAST(1 AS DOUBLE) FROM documents d JOIN uniques u ON d.text = u.text
         WHERE d.doc_id <> u.doc_id""",
     "pack_payload": f"""SELECT source, {_trim(f"""coalesce(string_agg('=== ' || CAST(doc_id AS VARCHAR) || ' ===' || chr(10)

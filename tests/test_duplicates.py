@@ -73,6 +73,36 @@ def test_near_copies_against_all_pairs(spark):
     assert len(got) == len({(r.doc_id, r.first_doc_id) for r in got})
 
 
+@pytest.mark.parametrize("block", [1_000, 2])
+def test_all_near_pairs_of_templates_and_chains(spark, monkeypatch, block):
+    """Texts from one template, chains of edits, and texts of common words only: no pair is lost."""
+    monkeypatch.setattr(dup, "_BLOCK", block)
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(300)]
+    template = [rng.choice(words) for _ in range(80)]
+    made = [" ".join(template + [rng.choice(words) for _ in range(rng.randrange(5, 40))]) for _ in range(60)]
+    chain = [rng.choice(words) for _ in range(100)]
+    for step in range(60):
+        chain[rng.randrange(100)] = f"edit{step}"
+        made.append(" ".join(chain))
+    made += [" ".join(["to be or not"] * n) for n in range(1, 12)] + ["", " ", "one", "ONE", "a b c d e", "a b c d e f", made[3], made[3]]
+    texts = dict(enumerate(made))
+    rows = spark.createDataFrame([*texts.items(), (None, made[0]), (500, None)], "doc_id long, text string")
+    first = {}
+    for i, t in texts.items():
+        first.setdefault(t, i)
+    sets = {i: _sets(t) if t.strip() else {""} for i, t in texts.items()}
+    expected = {(i, first[t], 1.0) for i, t in texts.items() if first[t] != i}
+    for a in first.values():
+        for b in first.values():
+            both = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+            if b < a and both >= 0.8:
+                expected.add((a, b, round(both, 6)))
+    got = [tuple(r) for r in dup.near_duplicates(rows).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected and len(expected) > 200
+    assert dup.near_duplicates(rows.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("text,n", [("", 1), ("one two", 1), ("a b c d e", 1), ("a b c d e f", 2), ("x x x x x x x", 1)])
 def test_shingles(spark, text, n):
     row = spark.createDataFrame([(text,)], "t string")
