@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, functions as F
 from qscore import constants as K
 from qscore.functions import paths, text
 from qscore.operators import findings as fnd, scoring
+from qscore.operators.fetch import likely
 from qscore.operators.skew import join_few
+from qscore.shared import materialize
 
 _FILE = ("repo", "path")
-# Paths that are sent to every task at most: some 20 MB.
-_FEW_PATHS = 200_000
 
 
 def snapshot_changes(base: DataFrame, target: DataFrame) -> DataFrame:
@@ -77,39 +77,31 @@ def range_scores(
     a range are opened.
     """
     ends = changed.where(paths.is_source(F.col("path"))).select(key, *_FILE, "_last.*")
-    opened = versions.where(F.col("content").isNotNull()).join(ends, [*_FILE, *order])
-    found = fnd.findings(opened, keys=(key, "repo"))
+    last = likely(versions.where(F.col("content").isNotNull()), ends, (*_FILE, *order)).join(ends, [*_FILE, *order])
+    found = fnd.findings(last, keys=(key, "repo"))
     counts = scoring.finding_counts(found, [key])
     return scoring.pillar_scores(ranges.select(key).distinct(), counts, [key]), found
 
 
-def _only(files: DataFrame, changed: DataFrame, most: int = _FEW_PATHS) -> DataFrame:
-    """``files`` without those that are not in ``changed``, as long as the paths are few enough to be sent
-    to every task; above that all files pass, and what follows must cope. Content is not shuffled."""
-    touched = changed.select(*_FILE).distinct()
-    if touched.limit(most + 1).count() > most:
-        return files
-    return files.join(F.broadcast(touched), list(_FILE), "left_semi")
-
-
 def opened(files: DataFrame, changed: DataFrame) -> DataFrame:
-    """The files that are in ``changed`` (repo, path); null content is no file."""
-    return _only(files, changed).join(changed.select(*_FILE), list(_FILE), "left_semi").where(F.col("content").isNotNull())
+    """The files that are in ``changed`` (repo, path); null content is no file. Only their content is shuffled, if
+    any is: a Bloom filter tests the others where they lie. ``changed`` is read several times."""
+    named = changed.select(*_FILE)
+    return likely(files.where(F.col("content").isNotNull()), named, _FILE).join(named, list(_FILE), "left_semi")
 
 
 def changed_lines(base: DataFrame, target: DataFrame, changed: DataFrame | None = None) -> DataFrame:
     """(repo, path, change, line, copies): lines added to and removed from each file.
 
     Bags of lines are compared, so a moved line is no change. Only files in ``changed``
-    are opened (default: :func:`snapshot_changes`; pass a written table to have its size
-    known when the join is planned). Lines are counted before they are shuffled.
+    are opened (default: :func:`snapshot_changes`, written; pass a written table, as it is read
+    several times). Lines are counted before they are shuffled.
     """
     if changed is None:
-        changed = snapshot_changes(base, target)
+        changed = materialize(snapshot_changes(base, target), "changed")
 
     def counted(files: DataFrame, sign: int) -> DataFrame:
-        opened = _only(files, changed).join(changed.select(*_FILE), list(_FILE), "left_semi")
-        return opened.select(
+        return opened(files, changed).select(
             *_FILE,
             F.explode(text.lines_of(F.col("content"))).alias("line"),
             F.lit(sign).alias("sign"),
@@ -196,10 +188,10 @@ def changeset_scores(
 
     Exclusions do not apply here, and deleted files have no findings. Findings are
     counted per file where the file lies, so counts meet the changes and content never
-    moves. Where the changed paths are few, only those files are opened. A file in very many
+    moves. Files that a Bloom filter of the changed paths rules out are not opened. A file in very many
     change sets is spread by change set.
     """
-    sources = _only(target.where(paths.is_source(F.col("path"))), changes)
+    sources = likely(target.where(paths.is_source(F.col("path"))), changes.select(*_FILE).distinct(), _FILE)
     per_file = scoring.finding_counts(fnd.findings(sources, keys=_FILE), _FILE)
     touched = join_few(changes.select(key, *_FILE), per_file, list(_FILE), spread=(key,))
     counts = touched.groupBy(key).agg(
@@ -249,10 +241,10 @@ def changed_functions(base: DataFrame, target: DataFrame, changed: DataFrame | N
 
     One row per function: repo, path, line_start, line_end, code (header and body).
     """
-    added = changed_lines(base, target, changed).where("change = 'added'").select(*_FILE, "line")
+    lines = changed_lines(base, target, changed).where("change = 'added'").select(*_FILE, "line")
+    added = materialize(lines, "added-lines")
     sources = target.where(paths.is_source(F.col("path")))
-    opened = sources.join(added.select(*_FILE).distinct(), list(_FILE), "left_semi")
-    functions = fnd.function_segments(opened).select(
+    functions = fnd.function_segments(opened(sources, added.select(*_FILE).distinct())).select(
         *_FILE,
         "line_start",
         "line_end",

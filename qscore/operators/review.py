@@ -13,6 +13,7 @@ from qscore import constants as K, schemas
 from qscore.functions import paths
 from qscore.functions.strict_json import strict
 from qscore.functions.text import once, scrub, trim_space
+from qscore.operators.fetch import likely
 from qscore.operators.scoring import total
 from qscore.operators.skew import first_rows
 from qscore.shared import materialize
@@ -64,7 +65,8 @@ def pack_payload(
     fits = F.col("_before") + F.col("_size") <= cap
     cut = materialize(near_cut.select(key, name, "_before", fits.alias("_fits")), "payload-cuts")
     kept = cut.where("_fits").select(key, name, "_before")
-    body = files.where(F.octet_length(content) <= cap).select(
+    # Whatever is sent to the tasks, content of files that are not kept does not move.
+    body = likely(files.where(F.octet_length(content) <= cap), kept, (key, name)).select(
         key, name, F.concat(header, F.col(content), F.lit("\n")).alias("_text")
     )
     # Bounded groups: at most cap bytes of text per key.
