@@ -323,10 +323,10 @@ _CTES |= {
     "grams": """SELECT doc_id, text, list_distinct(list_transform(
         range(0, greatest(len(w) - 5, 0) + 1), lambda i: array_to_string(w[i + 1:i + 5], ' '))) AS g FROM tokens""",
     "uniques": "SELECT min(doc_id) AS doc_id, text FROM documents WHERE text IS NOT NULL GROUP BY text",
-    "sets": "SELECT doc_id, len(g) AS n, unnest(g) AS run FROM grams WHERE doc_id IN (SELECT doc_id FROM uniques)",
+    "run_sets": "SELECT doc_id, len(g) AS n, unnest(g) AS run FROM grams WHERE doc_id IN (SELECT doc_id FROM uniques)",
     "near": """SELECT a.doc_id, b.doc_id AS first_doc_id,
         CAST(count(*) AS DOUBLE) / (any_value(a.n) + any_value(b.n) - count(*)) AS exact
-        FROM sets a JOIN sets b ON a.run = b.run AND b.doc_id < a.doc_id AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n
+        FROM run_sets a JOIN run_sets b ON a.run = b.run AND b.doc_id < a.doc_id AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n
         GROUP BY a.doc_id, b.doc_id""",
 }
 
