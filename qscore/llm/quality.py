@@ -192,13 +192,16 @@ def score(docs: DataFrame, weights: list[float], into: str = "quality") -> DataF
             out.extend((np.add.reduceat(good * size, starts) / np.add.reduceat(size, starts)).tolist())
             x.clear(), sizes.clear(), lengths.clear()
 
+        held_lines = 0
         for t in texts:
             measures, size = _lines(t)
             x.append(_around(measures) @ w[:_WIDTH])
             sizes.append(size.astype(np.float64))
             lengths.append(len(size))
-            if sum(lengths[-1:]) + len(lengths) * 20 > _HELD:
+            held_lines += len(size)
+            if held_lines > _HELD:
                 flush()
+                held_lines = 0
         flush()
         return out
 

@@ -1,6 +1,9 @@
+import math
 import zlib
 
 import numpy as np
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from qscore.llm import quality, toxicity
@@ -91,3 +94,57 @@ def test_chains_are_the_same_together_or_alone():
     together, _ = quality._Chains(n).marginals(np.concatenate(x), np.eye(2))
     alone = np.concatenate([quality._Chains(np.array([len(v)])).marginals(v, np.eye(2))[0] for v in x])
     assert np.allclose(together, alone)
+
+
+def test_texts_are_held_up_to_a_number_of_lines(spark, make_docs, monkeypatch):
+    texts = [None, "", "One line.", "x | y\n" * 40, "A good line of words.\n" * 7, "WEIRD!! LINE!!\n" * 90]
+    docs = make_docs(*enumerate(texts * 5))
+    weights = list(np.random.default_rng(5).normal(size=quality._WIDTH + 4))
+    whole = {r.doc_id: r.quality for r in quality.score(docs, weights).collect()}
+    for most in (1, 50, 300):
+        monkeypatch.setattr(quality, "_HELD", most)
+        parts = {r.doc_id: r.quality for r in quality.score(docs.coalesce(1), weights).collect()}
+        assert parts.keys() == whole.keys()
+        assert np.allclose([parts[i] for i in whole], [whole[i] for i in whole])
+
+
+def plain_ftrl(samples, alpha, beta, l1, l2, epochs):
+    """One coordinate after the other, in dictionaries."""
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(epochs):
+        for buckets, label in samples:
+            w = {i: weight(i) for i in buckets}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - label
+            for i in buckets:
+                before = n.get(i, 0.0)
+                sigma = (math.sqrt(before + g * g) - math.sqrt(before)) / alpha
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = before + g * g
+    return {i: weight(i) for i in z if weight(i) != 0.0}
+
+
+@pytest.mark.parametrize("parameters", [{"l1": 0.0}, {"l1": 0.7, "alpha": 0.3, "l2": 0.2, "epochs": 3}, {"l1": 50.0}])
+def test_ftrl_gives_the_weights_of_a_plain_version(spark, parameters):
+    rng = np.random.default_rng(6)
+    words = ["you", "idiot", "kind", "thing", "the", "Stupid!", "day", "sun"]
+    rows = []
+    for i in range(80):
+        text = " ".join(rng.choice(words, size=rng.integers(0, 9)))
+        rows.append((i, text, int("idiot" in text or "Stupid" in text)))
+    sample = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    hasher = toxicity._Hasher()
+    ordered = sorted(rows, key=lambda r: xxhash.xxh64_intdigest(str(r[0])))
+    constant = 1 << toxicity.BITS
+    samples = [
+        ([*sorted({int(b) for part in toxicity._buckets(hasher.words(t)) for b in part}), constant], y) for _, t, y in ordered
+    ]
+    expected = plain_ftrl(samples, **(toxicity._PARAMETERS | parameters))
+    got = toxicity.fit(sample, **parameters)
+    assert got.keys() == expected.keys() and (len(got) > 20) == (parameters["l1"] < 50)
+    assert all(math.isclose(got[i], expected[i], rel_tol=1e-9, abs_tol=1e-12) for i in got)
