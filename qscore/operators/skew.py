@@ -126,6 +126,40 @@ def positions(rows: DataFrame, key: str, order: Sequence[str], name: str = "posi
     return placed.join(starts, same).select(*rows.columns, (F.col("_at") + F.col("_shift")).alias(name))
 
 
+def running_sum(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str
+) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over the rows of a key up to this one, in the order of ``order`` (total
+    within a key).
+
+    Rows are sorted over ranges of (keys, order) and written, so that no task holds all rows of a key. Few
+    keys cross from one range into the next, at most one for each range, so what they bring along is broadcast.
+    """
+    placed = materialize(
+        rows.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), "running-sums"
+    )
+    within = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    brought = (
+        placed.groupBy(*keys, "_part")
+        .agg(F.sum(value).alias("_sum"))
+        .select(
+            *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+            F.col("_part").alias("_p"),
+            F.sum("_sum").over(before).alias("_brought"),
+        )
+        .where("_brought is not null")
+    )
+    same = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    # Dealt out explicitly: a window would accept rows that already lie together by key.
+    own = placed.repartition(*keys, "_part").withColumn(name, F.sum(value).over(within))
+    return own.join(F.broadcast(brought), same, "left").select(
+        *rows.columns, (F.col(name) + F.coalesce("_brought", F.lit(0))).alias(name)
+    )
+
+
 def trailing_window(
     rows: DataFrame,
     key: str,

@@ -264,6 +264,26 @@ _CTES |= {
 }
 
 
+# Copies of lines, and the versions in which a file holds that many copies of the line.
+_CTES |= {
+    "vplace": """SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY seq, ln, nr) AS v FROM (
+        SELECT DISTINCT repo, path, seq, ln, nr, content FROM versions)""",
+    "vlines": """SELECT repo, path, v, line, count(*) AS n FROM (SELECT repo, path, v,
+        unnest(string_split(content, chr(10))) AS line FROM vplace WHERE content IS NOT NULL) GROUP BY repo, path, v, line""",
+    "vcopies": """SELECT repo, path, line, unnest(range(1, max(n) + 1)) AS copy FROM vlines GROUP BY repo, path, line""",
+    "vheld": """SELECT c.*, p.v, p.seq, p.ln, p.nr, coalesce(l.n, 0) >= c.copy AS held FROM vcopies c JOIN vplace p
+        ON p.repo = c.repo AND p.path = c.path
+        LEFT JOIN vlines l ON l.repo = c.repo AND l.path = c.path AND l.line = c.line AND l.v = p.v""",
+    "vliving": """SELECT r.range, h.repo, h.path, h.line, h.copy, coalesce(max(v) FILTER (WHERE NOT held), 0) + 1 AS version
+        FROM vheld h JOIN ranges r ON r.repo = h.repo AND h.seq <= r.to_seq
+        GROUP BY r.range, h.repo, h.path, h.line, h.copy HAVING arg_max(held, v)""",
+    "vfiles": "SELECT * FROM vplace QUALIFY v = max(v) OVER (PARTITION BY repo, path)",
+    "vnewest": """SELECT repo, path, line, copy, coalesce(max(v) FILTER (WHERE NOT held), 0) + 1 AS v
+        FROM vheld GROUP BY repo, path, line, copy HAVING arg_max(held, v)""",
+}
+_CTES |= _line_ctes("v_", "vfiles")
+
+
 def _check(key: str, totals: str, changes: str, org: str, skip_trivial: str) -> str:
     return f"""SELECT {key}, n AS n_changes, outcome,
         CASE WHEN outcome = 'scored' AND readable THEN total END AS total,
@@ -386,6 +406,17 @@ _SELECTS: dict[str, str] = {
     "line_change_counts": """SELECT repo, path, CAST(coalesce(len(string_split(t.content, chr(10))), 0)
         - coalesce(len(string_split(b.content, chr(10))), 0) AS BIGINT) AS net_lines FROM snap
         LEFT JOIN target_files t USING (repo, path) LEFT JOIN base_files b USING (repo, path)""",
+    "line_intervals": """SELECT repo, path, line, copy, v AS born, gone FROM (
+        SELECT *, lead(v) OVER (PARTITION BY repo, path, line, copy ORDER BY v) AS gone FROM (
+        SELECT *, lag(held, 1, FALSE) OVER (PARTITION BY repo, path, line, copy ORDER BY v) AS was FROM vheld)
+        WHERE held <> was) WHERE held""",
+    "living_lines": """SELECT l.range, l.repo, l.path, line, copy, version, seq, ln, nr FROM vliving l JOIN vplace p
+        ON p.repo = l.repo AND p.path = l.path AND p.v = l.version""",
+    "living_attribution": """SELECT f.repo, f.location AS path, f.pillar, f.line_start, p.seq, p.ln, p.nr FROM v_found f
+        JOIN (SELECT *, row_number() OVER (PARTITION BY repo, path, line ORDER BY line_no) AS copy FROM v_lines) l
+          ON l.repo = f.repo AND l.path = f.location AND l.line_no = f.line_start
+        JOIN vnewest i ON i.repo = l.repo AND i.path = l.path AND i.line = l.line AND i.copy = l.copy
+        JOIN vplace p ON p.repo = i.repo AND p.path = i.path AND p.v = i.v""",
     "range_changes": "SELECT range, repo, path FROM range_files",
     "commits_in_range": """SELECT range, c.repo, seq, regexp_extract(log_line, '^([0-9a-f]+) ', 1) AS hash,
         regexp_extract(log_line, '^[0-9a-f]+ (.+)$', 1) AS message FROM commit_log c JOIN

@@ -14,6 +14,7 @@ from qscore.operators import duplicates as dup
 from qscore.operators import findings as fnd
 from qscore.operators import gate as gt
 from qscore.operators import history as hst
+from qscore.operators import lineage as lng
 from qscore.operators import ranking as rnk
 from qscore.operators import review as rev
 from qscore.operators import scoring as scr
@@ -261,6 +262,33 @@ def finding_attribution(spark, sf_dir):
     return chg.attribution(_sources(spark, sf_dir), corpus.view(spark, sf_dir, "introductions"))
 
 
+def _copy_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    versions = _versions(spark, sf_dir)
+    return versions, materialize(lng.copy_events(lng.line_events(versions, _VERSION)), "copy-events")
+
+
+@query
+def line_intervals(spark, sf_dir):
+    return lng.line_intervals(_copy_events(spark, sf_dir)[1])
+
+
+@query
+def living_lines(spark, sf_dir):
+    """As of the ends of two ranges per repo."""
+    versions, copies = _copy_events(spark, sf_dir)
+    targets = _ranges(versions).select("range", "repo", F.col("to_seq").alias("at"))
+    return lng.living_lines(copies, targets, _VERSION, key="range")
+
+
+@query
+def living_attribution(spark, sf_dir):
+    """Findings of the last version of every file."""
+    versions, copies = _copy_events(spark, sf_dir)
+    newest = versions.groupBy(*_FILE).agg(F.max(F.struct(*_VERSION)).alias("v")).select(*_FILE, "v.*")
+    files = versions.join(newest, [*_FILE, *_VERSION]).where("content is not null")
+    return lng.living_attribution(files, lng.living_lines(copies, order=_VERSION), _VERSION)
+
+
 # ----------------------------------------------------------------------- lines, texts
 @query
 def numbered_lines(spark, sf_dir):
