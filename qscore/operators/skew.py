@@ -170,53 +170,21 @@ def trailing_window(
 ) -> DataFrame:
     """Window measures over the current and the ``depth`` rows before it, per key.
 
-    ``order[0]`` is numeric or a timestamp; ``order`` is a total order within a key.
-    ``measures`` maps a name to a function of the window spec. A hot key is cut into
-    ranges between quantiles of ``order[0]``; each range borrows the last ``depth`` rows before it, so the
-    result is that of one window over the whole key.
+    ``order`` is a total order within a key; ``measures`` maps a name to a function of the window spec. The
+    rows of a hot key are numbered in that order and cut into ranges of ``min_rows``, whatever their values; each
+    range borrows the ``depth`` rows before it, so the result is that of one window over the whole key.
     """
-    lead = F.col(order[0]).cast("timestamp").cast("double") if dict(rows.dtypes)[
-        order[0]
-    ].startswith("timestamp") else F.col(order[0]).cast("double")
     sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    hot = hot_keys(sizes, "_n", min_rows).select(key, F.ceil(F.col("_n") / min_rows).cast("int").alias("_cuts"))
-    # Cut at quantiles, so that one far-off row changes nothing.
-    share = F.percentile_approx(lead, F.expr(f"array({','.join(f'{i / 1000}D' for i in range(1, 1000))})"), 10_000)
-    cuts = rows.join(F.broadcast(hot), key).groupBy(key).agg(share.alias("_q"), F.first("_cuts").alias("_cuts"))
-    step = F.expr("transform(sequence(1, _cuts - 1), i -> _q[cast(i * 1000 div _cuts as int) - 1])")
-    hot = materialize(cuts.where("_cuts > 1").select(key, F.array_distinct(step).alias("_edges")), "hot-cuts")
-    place = F.size(F.filter("_edges", lambda e: e < lead))
-    own = (
-        rows.join(F.broadcast(hot), key, "left")
-        .withColumn("_range", F.coalesce(F.when(F.col("_edges").isNotNull(), place), F.lit(0)))
-        .withColumn("_hot", F.col("_edges").isNotNull())
-        .withColumn("_own", F.lit(True))
-        .drop("_edges")
-    )
-    # The last rows of every range of a hot key, numbered through the key: depth rows per
-    # range, so this window is short even for the largest key.
-    backwards = Window.partitionBy(key, "_range").orderBy(*[F.desc(c) for c in order])
-    through = Window.partitionBy(key).orderBy(*order)
-    tails = (
-        own.where("_hot")
-        .repartition(key, "_range")
-        .withColumn("_rn", F.row_number().over(backwards))
-        .where(F.col("_rn") <= depth)
-        .withColumn("_i", F.row_number().over(through))
-    )
-    starts = tails.groupBy(key, F.col("_range").alias("_to")).agg(F.min("_i").alias("_at"))
-    wanted = starts.select(
-        key, "_to", F.explode(F.sequence(F.col("_at") - depth, F.col("_at") - 1)).alias("_i")
-    )
-    borrowed = (
-        tails.join(wanted, [key, "_i"])
-        .withColumn("_range", F.col("_to"))
-        .withColumn("_own", F.lit(False))
-        .select(*own.columns)
-    )
+    hot = hot_keys(sizes, "_n", min_rows).select(F.col(key).alias("_k"), F.lit(True).alias("_hot"))
+    marked = rows.join(F.broadcast(hot), rows[key].eqNullSafe(F.col("_k")), "left").drop("_k")
+    others = marked.where("_hot is null").select(*rows.columns, F.lit(0).cast("long").alias("_range"), F.lit(True).alias("_own"))
+    own, last = (F.expr(f"(_at - 1 + {more}) div {min_rows}") for more in (0, depth))
+    numbered = positions(marked.where("_hot").drop("_hot"), key, order, "_at")
+    cut = numbered.select(*rows.columns, own.alias("_first"), F.explode(F.sequence(own, last)).alias("_range"))
+    cut = cut.select(*rows.columns, "_range", (F.col("_range") == F.col("_first")).alias("_own"))
     window = Window.partitionBy(key, "_range").orderBy(*order)
     # Dealt out explicitly: a window would accept rows that already lie together by key.
-    out = own.unionByName(borrowed).repartition(key, "_range")
+    out = others.unionByName(cut).repartition(key, "_range")
     for name, measure in measures.items():
         out = out.withColumn(name, measure(window))
-    return out.where("_own").drop("_range", "_hot", "_own")
+    return out.where("_own").drop("_range", "_own")
