@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -66,9 +66,36 @@ def exclude_by_policy(
     then their location): prefer findings, which are small, as the join may move its
     rows. Rows of a key that has very many are spread by path.
     """
-    ruled = join_few(rows, rules.select(key, F.col("regex").alias("_rx")), key, (path,), "left")
-    excluded = F.coalesce(F.rlike(path, F.col("_rx")), F.lit(False))
-    return ruled.where(~excluded).select(*rows.columns)
+    numbered, excluded = _by_rule(rules, "regex")
+    ruled = join_few(rows, numbered.select(key, "_rule"), key, (path,), "left")
+    return ruled.where(~F.coalesce(excluded(F.col(path)), F.lit(False))).select(*rows.columns)
+
+
+# Distinct patterns that become expressions of the plan at most.
+_FEW_RULES = 100
+
+
+def _by_rule(rules: DataFrame, column: str) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """``rules`` with ``_rule``, and whether a path matches the rule of its row.
+
+    Owners share few distinct patterns: up to 100 are numbered, and each is compiled once. Were there more, the
+    pattern itself would be ``_rule``, compiled for each row, with the same result.
+    """
+    found = rules.select(column).where(F.col(column).isNotNull()).distinct().limit(_FEW_RULES + 1).collect()
+    if len(found) > _FEW_RULES:
+        return rules.withColumn("_rule", F.col(column)), lambda path: F.rlike(path, F.col("_rule"))
+    known = sorted(r[0] for r in found)
+
+    def matches(path: Column) -> Column:
+        hit = F.lit(None).cast("boolean")
+        for i, regex in enumerate(known):
+            hit = F.when(F.col("_rule") == i, path.rlike(regex)).otherwise(hit)
+        return hit
+
+    number = F.lit(None).cast("int")
+    for i, regex in enumerate(known):
+        number = F.when(F.col(column) == regex, i).otherwise(number)
+    return rules.withColumn("_rule", number), matches
 
 
 @F.pandas_udf(StringType())
@@ -88,10 +115,10 @@ def policy_regexes(patterns: DataFrame, key: str = "repo") -> DataFrame:
     )
 
 
-def exclusion_rules(repos: DataFrame, policies: DataFrame, on: str = "org") -> DataFrame:
-    """(repo, regex): what the policy of a repo's owner excludes. ``repos``: (repo, ``on``)."""
+def exclusion_rules(repos: DataFrame, policies: DataFrame, on: str = "org", key: str = "repo") -> DataFrame:
+    """(repo, regex): what the policy of a repo's owner excludes. ``repos``: (repo, ``on``); ``key`` names another key."""
     rules = policy_regexes(exclusion_patterns(policies, on), key=on)
-    return repos.select("repo", on).join(rules, on).select("repo", "regex")
+    return repos.select(key, on).join(rules, on).select(key, "regex")
 
 
 def unmatched_exclusions(
@@ -134,9 +161,10 @@ def unmatched_by_policy(files: DataFrame, owners: DataFrame, patterns: DataFrame
     nothing. Paths are matched once per glob of their repo, and matches are counted before the shuffle.
     """
     compiled = patterns.select(on, "pattern", _compiled("pattern").alias("_rx")).distinct()
-    wanted = owners.select("repo", on).join(compiled, on).select("repo", "pattern", "_rx")
+    numbered, hit = _by_rule(compiled, "_rx")
+    wanted = owners.select("repo", on).join(numbered, on).select("repo", "pattern", "_rule")
     owned = join_few(files.select("repo", "path"), wanted, "repo", ("path",))
-    matched = owned.where(F.rlike("path", F.col("_rx"))).select("repo", "pattern").distinct()
+    matched = owned.where(hit(F.col("path"))).select("repo", "pattern").distinct()
     return (
         wanted.join(matched, ["repo", "pattern"], "left_anti")
         .select("repo", "pattern", F.concat(F.lit(K.UNMATCHED_PATTERN_TEXT), "pattern").alias("warning"))
