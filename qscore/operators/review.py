@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import json
+import re
+import time
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from qscore import constants as K, schemas
@@ -15,7 +19,7 @@ from qscore.functions.strict_json import strict
 from qscore.functions.text import once, scrub, trim_space
 from qscore.operators.fetch import likely
 from qscore.operators.scoring import total
-from qscore.operators.skew import first_rows
+from qscore.operators.skew import first_rows, join_few
 from qscore.shared import materialize
 from qscore.sources.files import exclude_by_policy, exclusion_rules
 
@@ -34,8 +38,10 @@ def pack_payload(
     allowed: DataFrame | None = None,
     cap: int = K.PAYLOAD_BYTES,
     keep: Callable[[DataFrame], DataFrame] | None = None,
+    listed: str | None = None,
 ) -> DataFrame:
-    """(key, payload, n_files, is_truncated): files in order, as many as the cap holds.
+    """(key, payload, n_files, is_truncated): files in order, as many as the cap holds; ``listed`` adds a column
+    of that name with the names of the files in the payload.
 
     Packing stops at the first file that does not fit; a marker says so. The line feed
     after a file is not part of the test. The cut is found on byte lengths and written;
@@ -75,9 +81,13 @@ def pack_payload(
         .groupBy(key)
         .agg(F.sort_array(F.collect_list(F.struct("_before", "_text"))).alias("_parts"))
     )
+    counts = [F.count_if("_fits").cast("int").alias("n_files"), F.bool_or(~F.col("_fits")).alias("is_truncated")]
+    if listed:
+        names = F.sort_array(F.collect_list(F.when(F.col("_fits"), F.struct("_before", name))))
+        counts.append(F.transform(names, lambda p: p[name]).alias(listed))
     packs = (
         cut.groupBy(key)
-        .agg(F.count_if("_fits").cast("int").alias("n_files"), F.bool_or(~F.col("_fits")).alias("is_truncated"))
+        .agg(*counts)
         .join(texts, key, "left")
         .withColumn("_parts", F.coalesce("_parts", F.array().cast(texts.schema["_parts"].dataType)))
     )
@@ -86,7 +96,7 @@ def pack_payload(
         F.when(F.col("is_truncated"), K.PAYLOAD_MARKER).otherwise(""),
     )
     return packs.select(
-        key, once(payload=trim_space(packed)), "n_files", "is_truncated"
+        key, once(payload=trim_space(packed)), "n_files", "is_truncated", *([listed] if listed else [])
     )
 
 
@@ -110,26 +120,62 @@ def review_requests(
     policy excludes are never part of one; secrets are scrubbed unless the policy says not to.
     """
     rules = exclusion_rules(repos, policies, on)
-    sending = repos.join(
-        may_send(policies).select(
-            on, "base_url", "model_name", "temperature", "timeout_ms", "data_scrubbing"
-        ),
-        on,
-    )
-    payloads = pack_payload(files, allowed=sending, keep=lambda rows: exclude_by_policy(rows, rules)).where(F.col("payload") != "")
+    sending = _sending(repos, policies, on)
+    payloads = pack_payload(files, allowed=sending, keep=lambda rows: exclude_by_policy(rows, rules))
+    return _requests(payloads, sending, "repo")
+
+
+def _sending(keyed: DataFrame, policies: DataFrame, on: str) -> DataFrame:
+    """``keyed`` whose policy lets text out, with what a request needs of the policy."""
+    wanted = may_send(policies).select(on, "base_url", "model_name", "temperature", "timeout_ms", "data_scrubbing")
+    return keyed.join(wanted, on)
+
+
+def _requests(payloads: DataFrame, sending: DataFrame, key: str, *more: str) -> DataFrame:
     scrubbed = F.when(
         F.coalesce("data_scrubbing", F.lit(True)), scrub(F.col("payload"))
     ).otherwise(F.col("payload"))
     timeout = F.when(F.col("timeout_ms") > 0, F.col("timeout_ms")).otherwise(K.REVIEW_TIMEOUT_MS)
-    return payloads.join(sending, "repo").select(
-        "repo",
+    return payloads.where(F.col("payload") != "").join(sending, key).select(
+        key,
         "base_url",
         "model_name",
         "temperature",
         timeout.alias("timeout_ms"),
         F.lit(K.REVIEW_PROMPT).alias("system_prompt"),
         scrubbed.alias("payload"),
+        *more,
+    )
+
+
+def changeset_requests(
+    segments: DataFrame,
+    changes: DataFrame,
+    changesets: DataFrame,
+    policies: DataFrame,
+    on: str = "org",
+    key: str = "changeset",
+) -> DataFrame:
+    """One request per change set (or range) that may send, with the changed functions only.
+
+    ``segments``: (repo, path, line_start, line_end, code), as :func:`qscore.operators.changes.changed_functions` gives
+    them, written; ``changes``: (key, repo, path); ``changesets``: (key, ``on``). Nothing else of a changed file is
+    sent, and nothing of a file that has no changed function or that the policy excludes. ``segments`` of the result
+    names what the payload holds, in order, as ``repo/path:first-last``. Exclusions apply to the
+    changes, before they meet any code.
+    """
+    sending = _sending(changesets.select(key, on).distinct(), policies, on)
+    kept = exclude_by_policy(
+        changes.select(key, "repo", "path").distinct().join(sending.select(key), key, "left_semi"),
+        exclusion_rules(changesets.select(key, on).distinct(), policies, on, key), key=key,
     )
+    place = F.concat_ws("-", "line_start", "line_end")
+    name = F.concat(F.col("repo").cast("string"), F.lit("/"), "path", F.lit(":"), place)
+    parts = join_few(kept, segments, ["repo", "path"], spread=(key,)).withColumn("_name", name)
+    payloads = pack_payload(
+        parts, key, "_name", [F.col("repo"), paths.walk_order(F.col("path")), F.col("line_start")], "code", listed="segments"
+    )
+    return _requests(payloads, sending, key, "segments")
 
 
 def batch_review(
@@ -137,32 +183,87 @@ def batch_review(
     ask: Callable[[dict], str],
     attempts: int = K.REVIEW_ATTEMPTS,
     at_once: int = 8,
+    key: str = "repo",
+    pause: float = 0.0,
+    journal: str | None = None,
 ) -> DataFrame:
-    """(repo, attempt, raw, ok): the answer of ``ask(request)`` to each request.
+    """(key, attempt, raw, ok): the answer of ``ask(request)`` to each request.
 
     ``request`` is the row of :func:`review_requests` as a dict, with the endpoint, the model, its
     temperature and the time limit that ``ask`` must keep. Requests run where their rows are,
-    ``at_once`` of a task side by side. An exception or an answer that is no JSON object is tried again; a
-    request that keeps failing becomes a row with ``ok`` false and never fails the job.
+    ``at_once`` of a task side by side. An exception or an answer that is no JSON object is tried again, after
+    ``pause`` seconds and twice as long each time; a request that keeps failing becomes a row with ``ok`` false and
+    never fails the job.
+
+    ``journal`` is a folder that all executors reach: each usable answer is put there as it comes, under the
+    hash of its request, and what lies there is never asked again, be it that a task is tried again, that the result
+    is computed twice, or that a whole run starts anew. An endpoint, a model, a temperature, a prompt or a payload that
+    differs is another request; requests that are alike but for ``key`` share an answer. Two tasks that ask for the same at the same moment may both be answered; the first answer stays.
     """
-    kind = requests.schema["repo"].dataType.simpleString()
+    kind = requests.schema[key].dataType.simpleString()
+    columns = [c for c in ("base_url", "model_name", "temperature", "system_prompt", "payload") if c in requests.columns]
+    names = F.sha2(F.to_json(F.struct(*columns)), 256) if journal else F.lit(None).cast("string")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        book = Journal(journal) if journal else None
+
+        def answer(row: dict) -> tuple:
+            name = row.pop("_request")
+            known = book.find(name) if book else None
+            if known:
+                return (row[key], *known, True)
+            got = _ask(ask, row, attempts, pause)
+            return (row[key], *(book.keep(name, *got[:2]) if book and got[2] else got[:2]), got[2])
+
         with ThreadPoolExecutor(at_once) as pool:
             for batch in batches:
-                rows = batch.to_dict("records")
-                answers = pool.map(lambda row: _ask(ask, row, attempts), rows)
                 yield pd.DataFrame(
-                    [(row["repo"], *answer) for row, answer in zip(rows, answers)],
-                    columns=["repo", "attempt", "raw", "ok"],
+                    list(pool.map(answer, batch.to_dict("records"))), columns=[key, "attempt", "raw", "ok"]
                 )
 
-    return requests.mapInPandas(run, f"repo {kind}, attempt int, raw string, ok boolean")
+    return requests.withColumn("_request", names).mapInPandas(run, f"{key} {kind}, attempt int, raw string, ok boolean")
+
 
+class Journal:
+    """Answers by the hash of their request, one small file each, in 256 folders.
+
+    A file is written aside and then moved into place, so no half answer is ever read. ``folder`` is a path or an
+    address that Arrow's file systems open (``file:``, ``hdfs:``, ``s3:``).
+    """
 
-def _ask(ask, request: dict, attempts: int) -> tuple[int, str | None, bool]:
+    def __init__(self, folder: str):
+        address = re.sub("^file:/*", "/", folder)
+        self.files, self.root = pafs.FileSystem.from_uri(address)
+
+    def _path(self, name: str) -> str:
+        return f"{self.root}/{name[:2]}/{name}.json"
+
+    def find(self, name: str) -> tuple[int, str] | None:
+        if self.files.get_file_info(self._path(name)).type == pafs.FileType.NotFound:
+            return None
+        with self.files.open_input_stream(self._path(name)) as f:
+            held = json.loads(f.read())
+        return held["attempt"], held["raw"]
+
+    def keep(self, name: str, attempt: int, raw: str) -> tuple[int, str]:
+        """Keeps the answer unless there is one already; gives the one that stays."""
+        self.files.create_dir(f"{self.root}/{name[:2]}", recursive=True)
+        aside = f"{self._path(name)}.{uuid.uuid4().hex}"
+        with self.files.open_output_stream(aside) as f:
+            f.write(json.dumps({"attempt": attempt, "raw": raw}).encode())
+        known = self.find(name)
+        if known:
+            self.files.delete_file(aside)
+            return known
+        self.files.move(aside, self._path(name))
+        return attempt, raw
+
+
+def _ask(ask, request: dict, attempts: int, pause: float = 0.0) -> tuple[int, str | None, bool]:
     raw = None
     for attempt in range(1, attempts + 1):
+        if attempt > 1 and pause > 0:
+            time.sleep(pause * 2 ** (attempt - 2))
         try:
             raw = ask(request)
             if _usable(json.loads(raw)):

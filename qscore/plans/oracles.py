@@ -581,6 +581,14 @@ _SELECTS: dict[str, str] = {
           || '[truncated: remaining files omitted to fit provider context window]' || chr(10) ELSE '' END""")} AS payload
           FROM src_sums GROUP BY repo) r
         JOIN senders s ON s.org = 'org' || CAST(r.repo % 25 AS VARCHAR) WHERE payload <> ''""",
+    "changeset_requests": f"""SELECT r.changeset, base_url, model_name, temperature, CAST(4000 AS INT) AS timeout_ms,
+        CASE WHEN data_scrubbing IS NULL OR data_scrubbing THEN {_scrub('payload')} ELSE payload END AS payload, segments
+        FROM (SELECT changeset, coalesce(string_agg(name, ',' ORDER BY o) FILTER (WHERE pre + n <= 24576), '') AS segments,
+          {_trim(f"""coalesce(string_agg('=== ' || name || ' ===' || chr(10) || code || chr(10), '' ORDER BY o)
+          FILTER (WHERE pre + n <= 24576), '') || CASE WHEN bool_or(pre + n > 24576) THEN chr(10)
+          || '[truncated: remaining files omitted to fit provider context window]' || chr(10) ELSE '' END""")} AS payload
+          FROM seg_sums GROUP BY changeset) r
+        JOIN senders s ON s.org = 'org' || CAST(r.changeset % 25 AS VARCHAR) WHERE payload <> ''""",
     "parse_reviews": """SELECT a.review_id, a.attempt, g.raw IS NOT NULL AS ok,
         coalesce(g.static_deduction, 0) AS static_deduction,
         coalesce(g.architecture_deduction, 0) AS architecture_deduction,
@@ -676,6 +684,20 @@ def _with_ctes(select: str) -> str:
     return f"WITH {body}\n{select}" if needed else select
 
 
+_CTES |= {
+    "seg_functions": _SELECTS["changed_functions"],
+    "seg_rows": f"""SELECT f.repo % 500 AS changeset, f.*, CAST(f.repo AS VARCHAR) || '/' || f.path || ':'
+        || CAST(line_start AS VARCHAR) || '-' || CAST(line_end AS VARCHAR) AS name
+        FROM seg_functions f JOIN policy p ON p.org = 'org' || CAST(f.repo % 500 % 25 AS VARCHAR)
+        WHERE {_IS_SOURCE} AND NOT coalesce(CASE p.exclusion_paths
+          WHEN '**/vendor/**' THEN path LIKE 'vendor/%' OR path LIKE '%/vendor/%'
+          WHEN '' THEN FALSE ELSE (path LIKE 'src/%.rs' AND path NOT LIKE 'src/%/%') OR path LIKE 'a/%' OR path LIKE 'b/%'
+          END, FALSE)""",
+    "seg_sizes": """SELECT *, strlen('=== ' || name || ' ===' || chr(10)) + strlen(code) AS n,
+        row_number() OVER (PARTITION BY changeset ORDER BY repo, string_split(path, '/'), line_start) AS o FROM seg_rows""",
+    "seg_sums": """SELECT *, coalesce(sum(n + 1) OVER (PARTITION BY changeset ORDER BY o
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pre FROM seg_sizes""",
+}
 _CTES["asked"] = f"SELECT repo, CAST(length(payload) AS BIGINT) AS n FROM ({_SELECTS['review_requests']})"
 _SELECTS |= {
     "batch_review": """SELECT repo, CAST(CASE WHEN n < 60 THEN 3 ELSE 1 END AS INT) AS attempt,
@@ -683,6 +705,10 @@ _SELECTS |= {
           '{"pillar_adjustments":{"static_health_deduction":' || CAST(n // 100 * CAST(0.5 AS DOUBLE) AS VARCHAR) || '}}'
         END AS raw, n >= 60 AS ok, CASE WHEN n < 60 THEN CAST(0 AS DOUBLE) ELSE n // 100 * CAST(0.5 AS DOUBLE) END
         AS static_deduction, CAST(0 AS DOUBLE) AS architecture_deduction FROM asked""",
+    "bucketed_changed_lines": _SELECTS["changed_lines"],
+    "resumed_review": """SELECT repo, CAST(1 AS INT) AS attempt,
+        '{"pillar_adjustments":{"static_health_deduction":' || CAST(n // 100 * CAST(0.5 AS DOUBLE) AS VARCHAR) || '}}' AS raw,
+        TRUE AS ok FROM asked WHERE n >= 60""",
     "standard_scores": f"""SELECT *, round(static + architecture + verification + security, 6) AS total FROM (
         SELECT r.repo, round(coalesce(style + linter + dead_code, 20), 6) AS static,
         round(coalesce(cyclomatic + cognitive, 25), 6) AS architecture,

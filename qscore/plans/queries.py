@@ -24,6 +24,7 @@ from qscore.sources import commits as cmt
 from qscore.sources import files as fls
 from qscore.sources import policies as pol
 from qscore.sources import reports as rpt
+from qscore.sources import snapshots as snp
 from qscore.streaming import detection as std
 from qscore.streaming import trends as stt
 
@@ -206,6 +207,14 @@ def line_change_counts(spark, sf_dir):
     return found.groupBy(*_FILE).agg(F.sum(sign).alias("net_lines"))
 
 
+@query
+def bucketed_changed_lines(spark, sf_dir):
+    """As ``changed_lines``, over snapshots that are kept in buckets."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    base, target = (snp.bucketed(f(spark, sf_dir), buckets) for f in (corpus.base_files, corpus.target_files))
+    return chg.changed_lines(base, target, _changed(base, target))
+
+
 @query
 def diff_lines(spark, sf_dir):
     diffs = corpus.view(spark, sf_dir, "diffs")
@@ -554,6 +563,31 @@ def batch_review(spark, sf_dir):
     return rev.parse_reviews(answers.drop("ok")).drop("remediations")
 
 
+@query
+def changeset_requests(spark, sf_dir):
+    """The changed functions of each change set, and their names."""
+    sets, changes, target = _pushes(spark, sf_dir)
+    changed = materialize(changes.select(*_FILE).distinct(), "changed-paths")
+    functions = chg.changed_functions(corpus.base_files(spark, sf_dir), target, changed)
+    asked = rev.changeset_requests(materialize(functions, "segments"), changes, sets, _policies(spark, sf_dir))
+    return asked.drop("system_prompt").withColumn("segments", F.array_join("segments", ","))
+
+
+@query
+def resumed_review(spark, sf_dir):
+    """Answers of a second run, whose model answers nothing: they come from the journal of the first."""
+    requests = rev.review_requests(
+        _sources(spark, sf_dir), corpus.repos(spark, sf_dir), _policies(spark, sf_dir)
+    )
+    requests, journal = materialize(requests, "requests"), fresh_path(spark, "journal")
+    rev.batch_review(requests, _reviewer, journal=journal).write.format("noop").mode("overwrite").save()
+    return rev.batch_review(requests, _silent, journal=journal).where("ok")
+
+
+def _silent(request: dict) -> str:
+    raise ConnectionError
+
+
 def _reviewer(request: dict) -> str:
     """Stands for a model: half a point per 100 characters; never answers a very short payload."""
     payload = request["payload"]
