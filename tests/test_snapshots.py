@@ -1,0 +1,70 @@
+"""Snapshots in buckets meet without a shuffle; rules and windows that were made to hold for ties and many patterns."""
+
+import re
+
+import pytest
+from pyspark.sql import Window, functions as F
+
+from qscore.operators import changes as chg, skew
+from qscore.sources import files as fls, snapshots
+from tests.test_fetch import no_broadcasts
+
+
+def _snapshot(spark, n, every):
+    return spark.range(n).where(f"id % {every} <> 0").selectExpr(
+        "concat('r', id % 7) AS repo", "concat('p', id, '.go') AS path", f"concat('a\\nline ', if(id % 10 = 1, {every}, id)) AS content"
+    )
+
+
+def _plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_buckets_meet_without_a_shuffle(spark):
+    plain = _snapshot(spark, 4000, 11), _snapshot(spark, 4000, 13)
+    base, target = (snapshots.bucketed(f, 4) for f in plain)
+    with no_broadcasts(spark):
+        changed = chg.snapshot_changes(base, target)
+        assert "Exchange" not in _plan(changed)
+        want = chg.snapshot_changes(*plain)
+        assert sorted(changed.collect()) == sorted(want.collect()) and changed.count() > 500
+        # Names and lines move, content does not.
+        opened = chg.opened(target, changed.cache())
+        shuffled = [x for x in _plan(opened).splitlines() if "Exchange hashpartitioning" in x]
+        assert shuffled and all("content" not in x for x in shuffled)
+        text = _plan(opened)
+        assert not re.search(r"Exchange hashpartitioning\(repo#\d+, path#\d+, 4\).*\n.*\n.*content", text)
+    lines = sorted(chg.changed_lines(base, target, changed).collect())
+    assert lines == sorted(chg.changed_lines(*plain, want).collect()) and lines
+
+
+def test_named_snapshot(spark, tmp_path):
+    table = snapshots.write_snapshot(_snapshot(spark, 50, 7), "kept_snapshot", 2, str(tmp_path / "t"))
+    try:
+        assert table.count() == spark.table("kept_snapshot").count() == 42
+        described = {r.col_name: r.data_type for r in spark.sql("DESCRIBE EXTENDED kept_snapshot").collect()}
+        assert described["Num Buckets"] == "2" and described["Bucket Columns"] == "[`repo`, `path`]"
+    finally:
+        spark.sql("DROP TABLE kept_snapshot")
+
+
+@pytest.mark.parametrize("few", [0, 2, 100])
+def test_rules_however_many(spark, monkeypatch, few):
+    monkeypatch.setattr(fls, "_FEW_RULES", few)
+    rows = spark.createDataFrame([(k, p) for k in ("a", "b", "c", "d", None) for p in ("x/1", "y/1", "z", None)], "repo string, path string")
+    rules = spark.createDataFrame([("a", "^x/"), ("b", "^y/"), ("c", None), ("e", "."), ("d", "^x/|z")], "repo string, regex string")
+    got = [tuple(r) for r in fls.exclude_by_policy(rows, rules).collect()]
+    out = {"a": "^x/", "b": "^y/", "d": "^x/|z"}
+    want = [(r.repo, r.path) for r in rows.collect() if r.path is None or r.repo not in out or not re.search(out[r.repo], r.path)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_window_over_rows_of_one_time(spark):
+    """All rows of a key at one moment are cut like any others; a key that is null may be hot, too."""
+    rows = spark.range(3000).selectExpr("if(id % 2 = 0, null, 'k') AS k", "id % 2 AS at", "id", "id * 31 % 97 AS v")
+    measures = {"s": lambda w: F.sum("v").over(w.rowsBetween(-4, 0)), "n": lambda w: F.count(F.lit(1)).over(w.rowsBetween(-10_000, 10_000))}
+    out = skew.trailing_window(rows, "k", ("at", "id"), 4, measures, min_rows=100).cache()
+    assert out.agg(F.max("n")).first()[0] <= 104
+    plain = rows.withColumn("s", F.sum("v").over(Window.partitionBy("k").orderBy("at", "id").rowsBetween(-4, 0)))
+    assert sorted(map(str, out.drop("n").collect())) == sorted(map(str, plain.collect()))
