@@ -60,7 +60,8 @@ def pack_payload(
         (F.octet_length(header) + F.octet_length(content)).cast("long").alias("_size"),
     )
     if keep is not None:
-        sizes = keep(sizes)
+        # Written once, as a filter by rules reads its rows several times: names and sizes, no content.
+        sizes = keep(materialize(sizes, "payload-sizes"))
     sort = [F.col(f"_o{i}") for i in range(len(order))]
     head = first_rows(sizes, [key], sort, cap // _LEAST_BYTES + 2, spread=(name,), only=allowed)
     before = Window.partitionBy(key).orderBy(*sort).rowsBetween(Window.unboundedPreceding, -1)
@@ -169,6 +170,7 @@ def changeset_requests(
         changes.select(key, "repo", "path").distinct().join(sending.select(key), key, "left_semi"),
         exclusion_rules(changesets.select(key, on).distinct(), policies, on, key), key=key,
     )
+    kept = materialize(kept, "kept-changes")
     place = F.concat_ws("-", "line_start", "line_end")
     name = F.concat(F.col("repo").cast("string"), F.lit("/"), "path", F.lit(":"), place)
     parts = join_few(kept, segments, ["repo", "path"], spread=(key,)).withColumn("_name", name)
