@@ -17,7 +17,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, usable: Column, mos
     """(text, label) of at most ``most`` documents of each class 0 and 1, chosen by a hash of doc_id.
 
     ``usable`` is a condition on doc_id. Labels other than 0 and 1, null doc_ids and labels without a
-    document are left out; of rows that share a doc_id one is taken. Only the chosen ids, of which there are 2 x ``most`` at most, are broadcast,
+    document are left out; of rows that share a doc_id the one whose text has the least hash is taken. Only the chosen ids, of which there are 2 x ``most`` at most, are broadcast,
     and no text is shuffled but that of the sample.
     """
     known = labels.where(usable & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
@@ -27,4 +27,6 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, usable: Column, mos
         part = known.where(F.col("label") == value).orderBy(hash63("doc_id"), "doc_id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
-    return found.dropDuplicates(["doc_id"])
+    # The same row of a shared doc_id in every run, whichever task comes first.
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label")).alias("first")
+    return found.groupBy("doc_id").agg(first).select("doc_id", "first.text", "first.label")

@@ -148,3 +148,18 @@ def test_ftrl_gives_the_weights_of_a_plain_version(spark, parameters):
     got = toxicity.fit(sample, **parameters)
     assert got.keys() == expected.keys() and (len(got) > 20) == (parameters["l1"] < 50)
     assert all(math.isclose(got[i], expected[i], rel_tol=1e-9, abs_tol=1e-12) for i in got)
+
+
+def test_sample_is_the_same_whatever_order_rows_come_in(spark):
+    from pyspark.sql import functions as F
+
+    from qscore.llm.samples import labelled
+
+    docs = spark.range(200).selectExpr("id % 40 AS doc_id", "if(id % 9 = 0, null, concat('text ', id)) AS text")
+    labels = spark.range(40).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS toxic")
+    samples = [
+        sorted(map(tuple, labelled(rows, labels, "toxic", F.lit(True), 10).collect()), key=str)
+        for rows in (docs, docs.orderBy(F.desc("text")).coalesce(1), docs.repartition(7, "text"))
+    ]
+    assert samples[0] == samples[1] == samples[2]
+    assert len(samples[0]) == len({r[0] for r in samples[0]}) == 20 and all(r[2] == r[0] % 2 for r in samples[0])
