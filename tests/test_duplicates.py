@@ -107,3 +107,26 @@ def test_all_near_pairs_of_templates_and_chains(spark, monkeypatch, block):
 def test_shingles(spark, text, n):
     row = spark.createDataFrame([(text,)], "t string")
     assert len(row.select(dup.shingles(F.col("t"))).first()[0]) == n
+
+
+def test_sets_move_only_for_pairs_that_may_be_near(spark, monkeypatch):
+    """Texts of one size that share a passage meet, but their whole sets are fetched only where parities allow it."""
+    tables = {}
+    write = dup.materialize
+    monkeypatch.setattr(dup, "materialize", lambda df, label: tables.setdefault(label, write(df, label)))
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(150)]
+    texts = [" ".join(passage + [f"w{rng.randrange(10**6)}" for _ in range(100)]) for _ in range(40)]
+    texts += [f"{texts[0]} more", f"{texts[1]} more words"]
+    got = dup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.first_doc_id) for r in got} == {(40, 0), (41, 1)}
+    assert tables["close-candidates"].count() == 2 and tables["close-texts"].count() == 4
+
+
+def test_common_runs_are_common_at_a_count(spark):
+    """Runs in a few of many texts are learnt, too: at a share of them pairs would grow with the square."""
+    sets = spark.range(20_000).selectExpr(
+        "id AS doc_id", "sha2(cast(id AS string), 256) AS _hash", "array(id + 1000, id div 100) AS _runs"
+    )
+    common = dup._common_runs(sets, sets.select("doc_id"), 20_000)
+    assert set(range(200)) - set(common.tolist()) == set() and len(common) == 200
