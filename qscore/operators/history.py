@@ -17,6 +17,12 @@ from qscore.shared import materialize
 _ROUNDS = 200
 
 
+def _met(rows: DataFrame, others: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join whose sides are both as many as commits. Places and links of like chains lie packed on disk, many
+    million rows in a few megabytes, by which Spark would send them whole through the driver to all tasks."""
+    return rows.join(others.hint("merge"), on, how)
+
+
 class Graph(NamedTuple):
     """``places``: (repo, commit, chain, pos), pos 0 at the chain's oldest commit. ``links``: (repo, chain, pos,
     to_chain, to_pos) for each parent that lies on another chain."""
@@ -34,13 +40,13 @@ def graph(parents: DataFrame) -> Graph:
     commits = rows.select("repo", "commit").unionByName(known.select("repo", F.col("parent").alias("commit"))).distinct()
     # Of the children that a commit is the first parent of, the smallest goes on with its chain.
     on = known.where("nth = 0").groupBy("repo", "parent").agg(F.min("commit").alias("commit"))
-    start = commits.join(on, ["repo", "commit"], "left").select(
+    start = _met(commits, on, ["repo", "commit"], "left").select(
         "repo", "commit", F.coalesce("parent", "commit").alias("chain"), F.col("parent").isNotNull().cast("long").alias("pos")
     )
     places = materialize(start, "commit-places")
     for _ in range(commits.count().bit_length() + 1):
         far = places.select("repo", F.col("commit").alias("chain"), F.col("chain").alias("_next"), F.col("pos").alias("_more"))
-        moved = places.join(far, ["repo", "chain"]).select(
+        moved = _met(places, far, ["repo", "chain"]).select(
             "repo", "commit", F.col("_next").alias("chain"), (F.col("pos") + F.col("_more")).alias("pos"), F.col("_more")
         )
         moved = materialize(moved, "commit-places")
@@ -50,18 +56,18 @@ def graph(parents: DataFrame) -> Graph:
     else:
         raise ValueError("the history has a cycle")
     to = places.select("repo", F.col("commit").alias("parent"), F.col("chain").alias("to_chain"), F.col("pos").alias("to_pos"))
-    links = known.join(places, ["repo", "commit"]).join(to, ["repo", "parent"]).where("chain <> to_chain")
+    links = _met(_met(known, places, ["repo", "commit"]), to, ["repo", "parent"]).where("chain <> to_chain")
     return Graph(places, materialize(links.select("repo", "chain", "pos", "to_chain", "to_pos").distinct(), "commit-links"))
 
 
 def _reach(of: Graph, tips: DataFrame) -> DataFrame:
     """(id, repo, chain, pos): the last commit of each chain that can be reached from ``tips`` (id, repo, commit)."""
-    now = materialize(tips.join(of.places, ["repo", "commit"]).select("id", "repo", "chain", "pos").distinct(), "reach")
+    now = materialize(_met(tips, of.places, ["repo", "commit"]).select("id", "repo", "chain", "pos").distinct(), "reach")
     links = of.links.withColumnRenamed("pos", "_from")
     new = now
     for _ in range(_ROUNDS):
         # Only what the last round brought can bring more.
-        more = new.join(links, ["repo", "chain"]).where("_from <= pos")
+        more = _met(new, links, ["repo", "chain"]).where("_from <= pos")
         more = more.select("id", "repo", F.col("to_chain").alias("chain"), F.col("to_pos").alias("pos"))
         both = now.select("*", F.lit(True).alias("_old")).unionByName(more.select("*", F.lit(False).alias("_old")))
         old = F.coalesce(F.max(F.when(F.col("_old"), F.col("pos"))), F.lit(-1))
@@ -82,8 +88,10 @@ def reachable(of: Graph, tips: DataFrame, without: DataFrame | None = None) -> D
         found = found.withColumn("_after", F.lit(-1))
     else:
         less = _reach(of, without).withColumnRenamed("pos", "_after")
-        found = found.join(less, ["id", "repo", "chain"], "left").withColumn("_after", F.coalesce("_after", F.lit(-1)))
-    return of.places.join(found, ["repo", "chain"]).where("pos > _after and pos <= _to").select("id", "repo", "commit")
+        found = _met(found, less, ["id", "repo", "chain"], "left").withColumn("_after", F.coalesce("_after", F.lit(-1)))
+    # Chains of which nothing is left would meet all their commits for none.
+    found = found.where("_to > _after")
+    return _met(of.places, found, ["repo", "chain"]).where("pos > _after and pos <= _to").select("id", "repo", "commit")
 
 
 def merge_bases(of: Graph, pairs: DataFrame) -> DataFrame:
@@ -93,11 +101,11 @@ def merge_bases(of: Graph, pairs: DataFrame) -> DataFrame:
         _reach(of, pairs.select("id", "repo", F.col(c).alias("commit"))).select("id", "repo", "chain", F.col("pos").alias(f"_{c}"))
         for c in ("base", "target")
     ]
-    common = sides[0].join(sides[1], ["id", "repo", "chain"])
+    common = _met(*sides, ["id", "repo", "chain"])
     common = materialize(common.select("id", "repo", "chain", F.least("_base", "_target").alias("pos")), "common-ancestors")
     # A common ancestor that another one leads to is led to from the chain's own last common ancestor, in one step.
     links = of.links.withColumnRenamed("pos", "_from")
-    led = common.join(links, ["repo", "chain"]).where("_from <= pos")
+    led = _met(common, links, ["repo", "chain"]).where("_from <= pos")
     led = led.groupBy("id", "repo", F.col("to_chain").alias("chain")).agg(F.max("to_pos").alias("_led"))
-    best = common.join(led, ["id", "repo", "chain"], "left").where("_led is null or _led < pos")
-    return best.join(of.places, ["repo", "chain", "pos"]).select("id", "repo", "commit")
+    best = _met(common, led, ["id", "repo", "chain"], "left").where("_led is null or _led < pos")
+    return _met(best, of.places, ["repo", "chain", "pos"]).select("id", "repo", "commit")

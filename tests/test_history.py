@@ -92,3 +92,14 @@ def test_odd_graphs(spark):
     assert sorted(r.commit for r in history.merge_bases(crossed, pair).collect()) == ["b", "c"]
     with pytest.raises(ValueError, match="cycle"):
         _graph(spark, {("r", "a"): ["b"], ("r", "b"): ["a"]})
+
+
+def test_no_table_of_commits_is_broadcast(spark):
+    """Tables as long as the history may be small on disk: none of them goes through the driver."""
+    commits, rng = _random(3, 40), random.Random(3)
+    of = _graph(spark, commits)
+    pairs = [(i, "a", f"c{rng.randrange(40):03}", f"c{rng.randrange(40):03}") for i in range(9)]
+    df = spark.createDataFrame(pairs, "id int, repo string, base string, target string")
+    tips, less = (df.selectExpr("id", "repo", f"{c} AS commit") for c in ("target", "base"))
+    for found in (history.merge_bases(of, df), history.reachable(of, tips, less)):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
