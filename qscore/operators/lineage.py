@@ -12,13 +12,13 @@ from collections import Counter
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from qscore.functions import text
 from qscore.operators import findings as fnd
 from qscore.operators.changes import _FILE
-from qscore.operators.skew import join_few, positions, running_sum
+from qscore.operators.skew import following, hot_groups, join_few, parted, positions, running_sum
 from qscore.shared import materialize
 
 _LINE = (*_FILE, "line")
@@ -31,9 +31,38 @@ def line_events(versions: DataFrame, order: Sequence[str] = ("seq",)) -> DataFra
 
     ``versions``: (repo, path, order, content), null content for a file that is gone. ``order`` is total within a file;
     versions for which one of its columns is null are left out. ``version`` counts a file's versions from 1. Content is shuffled once,
-    to meet its number; a version takes its lines back from the next one, so no two versions meet.
+    to meet its number; a version takes its lines back from the next one, so no two versions meet. ``versions`` are read
+    several times, so written ones are best.
     """
     whole = versions.dropna(subset=[*_FILE, *order])
+    # A file's content counts by its length, about as many lines as that.
+    hot = hot_groups(whole, _FILE, F.coalesce(F.length("content"), F.lit(0)) / 32 + 1)
+    if hot is None:
+        return _file_events(whole, order)
+    cold, few = parted(whole, _FILE, hot)
+    return _file_events(cold, order).unionByName(_ranged_events(few, order))
+
+
+def _file_events(whole: DataFrame, order: Sequence[str]) -> DataFrame:
+    """:func:`line_events` of files whose versions may meet in one task: dealt out once, by file."""
+    window = Window.partitionBy(*_FILE).orderBy(*order)
+    numbered = whole.select(
+        *_FILE, *order, "content",
+        F.row_number().over(window).cast("long").alias("version"), F.lead(F.struct(*order)).over(window).alias("_next"),
+    )
+    lines = numbered.where("content is not null").select(
+        *_FILE, *order, "version", "_next", F.explode(text.lines_of(F.col("content"))).alias("line")
+    )
+    here = F.struct("version", F.lit(1).alias("net"), *order)
+    after = F.struct((F.col("version") + 1).alias("version"), F.lit(-1).alias("net"), *[F.col("_next")[c].alias(c) for c in order])
+    # Nothing comes after the last version.
+    both = F.when(F.col("_next").isNull(), F.array(here)).otherwise(F.array(here, after))
+    net = lines.select(*_LINE, F.inline(both)).groupBy(*_FILE, "version", "line", *order).agg(F.sum("net").alias("net"))
+    return net.where("net <> 0").select(*_FILE, "version", "line", "net", *order)
+
+
+def _ranged_events(whole: DataFrame, order: Sequence[str]) -> DataFrame:
+    """:func:`line_events` of files with very many versions, none of which is held or sorted by one task."""
     numbered = positions(whole.select(F.struct(*_FILE).alias("_file"), *order), "_file", order, "version")
     places = materialize(numbered.select("_file.*", *order, "version"), "versions")
     lines = whole.join(places, [*_FILE, *order]).select(
@@ -56,13 +85,10 @@ def copy_events(events: DataFrame) -> DataFrame:
 
 def line_intervals(copies: DataFrame) -> DataFrame:
     """(repo, path, line, copy, born, gone): each life of each copy, from the version it came with to the version it
-    was gone with; null ``gone`` for what is still there. ``copies``: :func:`copy_events`."""
-    rows = copies.select(F.struct(*_COPY).alias("_copy"), "version")
+    was gone with; null ``gone`` for what is still there. ``copies``: :func:`copy_events`, best written."""
     # A copy comes and goes by turns.
-    lives = positions(rows, "_copy", ("version",), "_nth").withColumn("_life", F.expr("(_nth - 1) div 2"))
-    return lives.groupBy("_copy", "_life").agg(
-        F.min("version").alias("born"), F.max(F.when(F.col("_nth") % 2 == 0, F.col("version"))).alias("gone")
-    ).select("_copy.*", "born", "gone")
+    lives = following(copies.select(*_COPY, "version", "born"), _COPY, ("version",), ("version",), "_next").where("born")
+    return lives.select(*_COPY, F.col("version").alias("born"), F.col("_next.version").alias("gone"))
 
 
 def living_lines(
@@ -74,14 +100,15 @@ def living_lines(
     With ``targets`` (``key``, repo, at) as of each of them, and ``key`` is a column of the result: what happened at
     ``order[0]`` = at or before counts. A repo may have any number of targets, or none. ``copies``: :func:`copy_events`.
     """
-    keys: list[str] = list(_COPY)
-    if targets is not None:
-        asked = targets.select(key, "repo", "at")
-        copies = join_few(copies, asked, "repo", spread=("path", "line")).where(F.col(order[0]) <= F.col("at"))
-        keys.insert(0, key)
-    last = F.struct("born", "version", *order)
-    found = copies.groupBy(*keys).agg(F.max_by(last, "version").alias("_last")).where("_last.born")
-    return found.select(*keys, "_last.version", *[F.col("_last")[c].alias(c) for c in order])
+    # A copy comes and goes by turns, so its life at a time began before that and has no end, or a later one.
+    lives = following(copies.select(*_COPY, "version", *order, "born"), _COPY, ("version",), (order[0],), "_next").where("born")
+    if targets is None:
+        return lives.where("_next is null").select(*_COPY, "version", *order)
+    asked = targets.groupBy(key, "repo").agg(F.max("at").alias("at"))
+    sizes = copies.groupBy("repo").agg(F.count(F.lit(1)).alias("_n"))
+    found = join_few(lives, asked, "repo", spread=("path", "line"), sizes=sizes)
+    there = (F.col(order[0]) <= F.col("at")) & (F.col("_next").isNull() | (F.col("_next")[order[0]] > F.col("at")))
+    return found.where(there).select(key, *_COPY, "version", *order)
 
 
 @F.pandas_udf(ArrayType(IntegerType()))

@@ -104,3 +104,31 @@ def test_running_sum_over_ranges(spark):
         sums[r.k] += r.v
         assert r.s == sums[r.k]
     assert len(out) == 3000
+
+
+def test_small_files_are_not_sorted_over_ranges(spark, history, monkeypatch):
+    """Ranges, which cost several passes, are for hot keys only."""
+
+    def ranged(*args, **kwargs):
+        raise AssertionError("no key is hot")
+
+    monkeypatch.setattr(lineage, "positions", ranged)
+    monkeypatch.setattr(skew, "positions", ranged)
+    rows, _ = history
+    copies = lineage.copy_events(lineage.line_events(spark.createDataFrame(rows, VERSIONS), ("seq", "part"))).cache()
+    lives, _ = _lives(rows)
+    assert lineage.line_intervals(copies).count() == sum(map(len, lives.values()))
+
+
+def test_hot_files_have_the_same_lives(spark, history, monkeypatch):
+    """With some files, lines and copies hot, and the others not."""
+    rows, copies = history
+    want = sorted(map(tuple, lineage.line_intervals(copies).collect()))
+    living = sorted(map(tuple, lineage.living_lines(copies, order=("seq", "part")).collect()))
+    monkeypatch.setattr(skew, "_MIN_ROWS", 8)
+    frame = spark.createDataFrame(rows, VERSIONS)
+    assert 0 < skew.hot_groups(frame, ("repo", "path")).count() < frame.select("repo", "path").distinct().count()
+    hot = lineage.copy_events(lineage.line_events(frame, ("seq", "part"))).cache()
+    assert skew.hot_groups(hot, ("repo", "path", "line", "copy")) is not None
+    assert sorted(map(tuple, lineage.line_intervals(hot).collect())) == want
+    assert sorted(map(tuple, lineage.living_lines(hot, order=("seq", "part")).collect())) == living
