@@ -10,7 +10,7 @@ from qscore import constants as K
 from qscore.functions import paths, text
 from qscore.operators import findings as fnd, scoring
 from qscore.operators.fetch import likely
-from qscore.operators.skew import join_few
+from qscore.operators.skew import hot_groups, join_few
 from qscore.shared import materialize
 
 _FILE = ("repo", "path")
@@ -45,18 +45,22 @@ def range_changes(
     (key, repo, from_seq, to_seq), any number per repo, overlapping or not. One aggregation
     finds both end states of each; a file changed and changed back is not listed. ``_last`` (the
     order columns) says which version is the last of the range. ``order`` starts with seq and is total within a file.
+    ``versions`` are read more than once, so written ones are best.
     """
     stamped = versions.select(
-        *_FILE,
-        "seq",
-        F.struct(*order, F.sha2(F.col("content").cast("binary"), 256).alias("h")).alias("v"),
+        *_FILE, F.struct(*order, F.unhex(F.sha2(F.col("content").cast("binary"), 256)).alias("h")).alias("v")
     )
-    ranged = join_few(stamped, ranges, "repo", spread=("path",))
+    asked = ranges.select(key, "repo", "from_seq", "to_seq")
+    if hot_groups(versions, ("repo",)) is None:
+        # Dealt out by repo once: what has met the ranges there is aggregated where it lies.
+        ranged = stamped.join(asked.hint("merge"), "repo")
+    else:
+        ranged = join_few(stamped, asked, "repo", spread=("path",))
     ends = (
-        ranged.where(F.col("seq") <= F.col("to_seq"))
+        ranged.where(F.col("v.seq") <= F.col("to_seq"))
         .groupBy(key, *_FILE)
         .agg(
-            F.max(F.when(F.col("seq") <= F.col("from_seq"), F.col("v")))["h"].alias("_b"),
+            F.max(F.when(F.col("v.seq") <= F.col("from_seq"), F.col("v")))["h"].alias("_b"),
             F.max("v").alias("_t"),
         )
     )

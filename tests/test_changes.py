@@ -1,6 +1,7 @@
 import pytest
 
-from qscore.operators import changes as chg
+from qscore.operators import changes as chg, skew
+
 from qscore.sources import commits as cmt
 
 FILES = "repo string, path string, content string"
@@ -120,3 +121,25 @@ def test_diff_lines(spark):
     rows = spark.createDataFrame([(1, "--- a/x\n+++ b/x\n@@ -1 +1 @@\n-old\n+new\n same")], "id int, diff string")
     got = [r.kind for r in chg.diff_lines(rows, ["id"]).orderBy("line_no").collect()]
     assert got == ["header", "header", "header", "removed", "added", "context"]
+
+
+def test_versions_of_a_range_move_once(spark, monkeypatch):
+    """What met its ranges is aggregated where it lies; a hot repo is spread, with the same result."""
+    rows = [(r, f"f{f}.go", s, None if (r + f + s) % 5 == 0 else f"x{(f * s) % 3}") for r in range(3) for f in range(4) for s in range(1, 9)]
+    rows = [x for x in rows if x[0] < 2 or x[2] < 3]
+    versions = spark.createDataFrame(rows, "repo int, path string, seq long, content string")
+    ranges = spark.createDataFrame([(1, 0, 2, 6), (2, 0, 4, 8), (3, 1, 0, 5), (4, 2, 1, 2), (5, 7, 1, 2)], "range int, repo int, from_seq long, to_seq long")
+    found = chg.range_changes(versions, ranges)
+    assert "hashpartitioning(range" not in found._jdf.queryExecution().executedPlan().toString()
+    want = set()
+    for key, repo, lo, hi in ranges.collect():
+        for f in {x[1] for x in rows}:
+            ends = [[x for x in sorted(rows) if x[:2] == (repo, f) and x[2] <= at] for at in (lo, hi)]
+            before, after = (e[-1][3] if e else None for e in ends)
+            if before != after:
+                want.add((key, repo, f, ends[1][-1][2]))
+    assert {(r["range"], r.repo, r.path, r._last.seq) for r in found.collect()} == want and len(want) > 5
+    monkeypatch.setattr(skew, "_MIN_ROWS", 8)
+    assert skew.hot_groups(versions, ("repo",)).count() == 2
+    spread = chg.range_changes(versions, ranges)
+    assert {(r["range"], r.repo, r.path, r._last.seq) for r in spread.collect()} == want
