@@ -1,7 +1,7 @@
 import pytest
 
 from qscore.operators import changes as chg, skew
-
+from qscore.plans import corpus, queries
 from qscore.sources import commits as cmt
 
 FILES = "repo string, path string, content string"
@@ -143,3 +143,13 @@ def test_versions_of_a_range_move_once(spark, monkeypatch):
     assert skew.hot_groups(versions, ("repo",)).count() == 2
     spread = chg.range_changes(versions, ranges)
     assert {(r["range"], r.repo, r.path, r._last.seq) for r in spread.collect()} == want
+
+
+def test_target_of_pushes_is_made_once(spark, tmp_path):
+    lines = spark.range(400).selectExpr(
+        "id div 4 AS l_orderkey", "cast(id % 4 AS int) AS l_linenumber", "cast(id % 50 AS double) AS l_quantity", "id * 7 AS l_partkey"
+    )
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    _, changed, target = queries._pushes(spark, str(tmp_path))
+    assert "Aggregate" not in target._jdf.queryExecution().optimizedPlan().toString()
+    assert changed.count() and sorted(target.collect()) == sorted(corpus.target_files(spark, str(tmp_path)).collect())
