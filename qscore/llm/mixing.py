@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from qscore.llm.common import WORD, hash63, n_words, packed, running, unpacked
+from qscore.operators.fetch import parted
 from qscore.shared import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -179,9 +180,12 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     times = times.groupBy("doc_id", "_id", "_copy").agg(
         F.collect_list(F.struct("_first", "_words", "size")).alias("_times")
     )
-    numbered = packed(docs, needed).withColumn("_id", F.xxhash64("text")).withColumn(
-        "_copy", F.row_number().over(Window.partitionBy("doc_id", "_id").orderBy(F.xxhash64("source")))
-    )
+    # Rows without words are never taken, and may be very many of one key. Of the others, only those that repeat move to be numbered.
+    worded = packed(docs, needed).where(F.col("text").rlike(WORD)).withColumn("_id", F.xxhash64("text"))
+    repeated = seen.where("size > 0").groupBy("doc_id", "_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    single, several = parted(worded, materialize(repeated.drop("_n"), "mix-repeated"), ("doc_id", "_id"))
+    number = F.row_number().over(Window.partitionBy("doc_id", "_id").orderBy(F.xxhash64("source")))
+    numbered = single.withColumn("_copy", F.lit(1)).unionByName(several.withColumn("_copy", number))
     same = [numbered[c].eqNullSafe(times[c]) for c in ("doc_id", "_id", "_copy")]
     out = numbered.join(times, same).withColumn("_time", F.explode("_times"))
     part = F.array_join(
